@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import bpe, packing, secrets, sharding, simhash, urls
+from cuelight.llm import bpe, html, packing, quality, secrets, sharding, simhash, spotsigs, toxicity, urls
 from cuelight.llm.common import table
 
 
@@ -27,7 +27,24 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.byte_bpe_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.byte_bpe_files())
+
+
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +58,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,
+        "op6_spotsigs": op6_spotsigs,
+        "op7_html": op7_html,
+        "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
         "op10_urls": op10_urls,
     }
 
