@@ -84,4 +84,4 @@ def ass_time(ms: Column) -> Column:
 def ass_text(text: Column) -> Column:
     text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     text = F.replace(F.replace(text, F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
-    return F.regexp_replace(text, r"\r?\n", r"\\\\N")
+    return F.regexp_replace(text, r"\r?\n", r"\\N")
