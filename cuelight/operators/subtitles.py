@@ -18,7 +18,7 @@ def parse_subtitles(files: DataFrame) -> DataFrame:
     blocks = files.select("video_id", F.posexplode(F.split(body, "\n{2,}")).alias("block", "raw"))
     rows = blocks.withColumn("lines", F.split("raw", "\n"))
     at = F.array_position(F.transform("lines", lambda x: x.rlike(T.TIMECODE)), True)
-    timed = rows.withColumn("at", at.cast("int")).where("at > 0").withColumn("code", F.element_at("lines", F.col("at")))
+    timed = rows.withColumn("at", at.cast("int")).where("at > 0").withColumn("code", F.get("lines", F.col("at") - 1))
     spoken = F.array_join(F.slice("lines", F.col("at") + 1, F.size("lines")), "\n")
     cues = timed.select(
         "video_id",
