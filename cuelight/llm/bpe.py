@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,10 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import small_text_batches, text_of
+from cuelight.llm.common import small_text_batches, text_of, unassigned_class
 
 WORD_END = "</w>"
 END = "\ue000"  # stands for the word end while a word is cut
+SYMBOL = "\ue001"  # of private use: neither letter nor digit nor space
 NEVER = int(np.iinfo(np.int64).max)
 NO_RULE = (NEVER, -1)
 
@@ -55,7 +57,8 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.vocab = {self._marked(t): i for t, i in model["vocab"].items()}
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.open = re.compile(unassigned_class())
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.letters = {b: c for b, c in byte_alphabet().items()}
         self._rules(model["merges"])
@@ -176,8 +179,15 @@ class WordBpe:
         return found
 
     def words(self, text: str) -> list[str]:
-        """Words of normalised text; white space separates words and is dropped, whatever its run."""
-        return self.pattern(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        """Words of normalised text; white space separates words and is dropped, whatever its run.
+
+        Code points that Unicode left open count as symbols, as they are none of
+        the tokenizer's letters yet.
+        """
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if self.open.search(text):
+            return [text[m.start() : m.end()] for m in self.pattern.finditer(self.open.sub(SYMBOL, text))]
+        return self.pattern.findall(text)
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text; the strings of special tokens stand as they are."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +38,20 @@ def small_text_batches(spark: SparkSession) -> None:
 
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def unassigned_class() -> str:
+    """A character class of the code points that Unicode leaves open, as Python knows it.
+
+    Newer tables make letters of some of them, and libraries differ in the tables
+    they have; texts that hold any are cut with care.
+    """
+    ranges, start = [], None
+    for code in range(0x110001):
+        is_open = code < 0x110000 and unicodedata.category(chr(code)) == "Cn"
+        if is_open and start is None:
+            start = code
+        elif not is_open and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+            start = None
+    return "[" + "".join(ranges) + "]"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import small_text_batches, stable, text_of
+from cuelight.llm.common import small_text_batches, stable, text_of, unassigned_class
 
 #: Runs of non-blanks or blanks that merge slowly by ranks.
 LONG_RUN = r"\S{1000}|\s{1000}"
@@ -43,9 +43,9 @@ class Codec:
 
     ``tokenizer`` is the file that defines the ids. The same vocabulary as ranks
     gives the same ids for ordinary text at a fourth of the CPU time, so most
-    texts are encoded with that. Those that hold the string of a special token,
-    or a run that the ranks' quadratic merge would be slow on, go to the
-    tokenizer itself.
+    texts are encoded with that. Those that hold the string of a special token, a
+    code point that Unicode left open, or a run that the ranks' quadratic merge
+    would be slow on, go to the tokenizer itself.
     """
 
     def __init__(self, tokenizer: str, ranks: str):
@@ -59,7 +59,7 @@ class Codec:
             known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.hard = re.compile("|".join([*map(re.escape, special), LONG_RUN]))
+        self.hard = re.compile("|".join([*map(re.escape, special), LONG_RUN, unassigned_class()]))
 
     def encode(self, text: str) -> bytes:
         if self.hard.search(text):
