@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import bpe, html, packing, quality, secrets, sharding, simhash, spotsigs, toxicity, urls
+from cuelight.llm import bpe, html, oracles, packing, quality, secrets, sharding, simhash, spotsigs, toxicity, urls
 from cuelight.llm.common import table
 
 
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secrets": oracles.secrets_sql(), "op6_spotsigs": oracles.spotsigs_sql(), "op10_urls": oracles.urls_sql()}
