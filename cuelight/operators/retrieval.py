@@ -233,3 +233,50 @@ def context(lines: DataFrame, moments: DataFrame, pad_ms: int = 15_000) -> DataF
     """Lines of a moment's video that overlap it, padded; an equi-join with a range on top."""
     m = moments.select("moment_id", "video_id", F.col("start_ms").alias("lo"), F.col("end_ms").alias("hi"))
     return lines.join(m, "video_id").where((F.col("end_ms") > F.col("lo") - pad_ms) & (F.col("start_ms") < F.col("hi") + pad_ms)).drop("lo", "hi")
+
+
+def stems(vocabulary: DataFrame) -> DataFrame:
+    """``term, stem`` of a table of distinct terms: stemming runs over the vocabulary, never over the text."""
+
+    @F.pandas_udf("string")
+    def stem_of(terms: pd.Series) -> pd.Series:
+        from cuelight.functions.porter import stem
+
+        return terms.map(stem)
+
+    return vocabulary.select("term", stem_of("term").alias("stem"))
+
+
+def phrase_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, line_id, tf`` where a term's index tokens stand next to each other, compared by stem.
+
+    A term with an apostrophe is several tokens of the index, and matches where
+    they follow one another. Tokens meet the wanted stems before the shuffle; a
+    phrase is the place of its first token, found as often as it has tokens.
+    """
+    parts = terms.select("term").distinct().select("term", F.posexplode(T.index_tokens(F.col("term"))).alias("at", "part"))
+    wanted = parts.join(stems(parts.select(F.col("part").alias("term")).distinct()).withColumnRenamed("term", "part"), "part").select("term", "at", "stem")
+    size = wanted.groupBy("term").agg(F.count("*").alias("size"))
+    tokens = lines.select("line_id", F.posexplode(T.index_tokens(F.col("text"))).alias("place", "token"))
+    vocabulary = stems(tokens.select(F.col("token").alias("term")).distinct()).withColumnRenamed("term", "token")
+    useful = vocabulary.join(wanted.select("stem").distinct(), "stem", "left_semi")
+    met = tokens.join(useful, "token").join(wanted, "stem")
+    starts = met.groupBy("term", "line_id", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
+    return starts.join(size, "term").where("n = size").groupBy("term", "line_id").agg(F.count("*").alias("tf"))
+
+
+def stemmed_bm25(lines: DataFrame, queries: DataFrame, k: int, min_idf: float = MIN_IDF) -> DataFrame:
+    """:func:`bm25` over stems and phrases."""
+    terms = terms_of(queries)
+    lengths = lines.select("line_id", F.size(T.index_tokens(F.col("text"))).alias("len"))
+    hits = phrase_hits(lines, terms).join(lengths, "line_id")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    corpus = F.broadcast(corpus_size(lines))  # one row
+    idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    weights = df.crossJoin(corpus).where(F.log(F.col("total") / F.col("df")) >= min_idf).select("term", "avg_len", idf.alias("idf"))
+    tf = F.col("tf").cast("double")
+    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scored = terms.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(weights, "term").join(hits, "term")
+    scored = scored.groupBy("query_id", "line_id").agg(F.round(F.sum(F.col("times") * part), 9).alias("bm25"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "line_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -220,6 +220,11 @@ SELECT m.line_id AS moment_id, l.line_id, l.start_ms, l.end_ms FROM lines l JOIN
 WHERE m.line_id % 50 = 0 AND l.end_ms > m.start_ms - 15000 AND l.start_ms < m.end_ms + 15000"""
 
 
+def stemmed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.stemmed_bm25(views.lines(spark, sf_dir), views.requests(spark, sf_dir), 10, min_idf=3.0)
+    return found.select("query_id", "line_id", F.round("bm25", 6).alias("bm25"), "rank")
+
+
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents")
     return docs.select("doc_id", V.hash_embedding(F.coalesce("text", F.lit("")), 64).alias("embedding"))
@@ -244,7 +249,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_topk, knn_scoped, knn_batch, query_terms, term_df_idf_gate, bm25_topk, rrf_fusion, distance_backfill, hybrid_search,
-        greedy_distinct_moments, position_band_rank, context_overlap, embed_hash, lsh_knn,
+        greedy_distinct_moments, position_band_rank, context_overlap, stemmed_bm25, embed_hash, lsh_knn,
     )
 }
 SQL = {
