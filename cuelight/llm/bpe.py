@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import small_text_batches, text_of, unassigned_class
+from cuelight.llm.common import open_points, small_text_batches, text_of
 
 WORD_END = "</w>"
 END = "\ue000"  # stands for the word end while a word is cut
@@ -58,7 +57,6 @@ class WordBpe:
         self.token = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.vocab = {self._marked(t): i for t, i in model["vocab"].items()}
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.open = re.compile(unassigned_class())
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.letters = {b: c for b, c in byte_alphabet().items()}
         self._rules(model["merges"])
@@ -185,8 +183,9 @@ class WordBpe:
         the tokenizer's letters yet.
         """
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if self.open.search(text):
-            return [text[m.start() : m.end()] for m in self.pattern.finditer(self.open.sub(SYMBOL, text))]
+        if left_open := open_points(text):
+            shown = text.translate({ord(c): SYMBOL for c in left_open})
+            return [text[m.start() : m.end()] for m in self.pattern.finditer(shown)]
         return self.pattern.findall(text)
 
     def pieces(self, text: str) -> list[str]:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that carries whole texts: bounds a Python worker's memory.
-TEXT_ROWS_PER_BATCH = 256
+#: Bytes of one Arrow batch that carries whole texts: bounds a Python worker's memory.
+TEXT_BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,28 +31,28 @@ def stable(df: DataFrame) -> DataFrame:
 
 
 def small_text_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, as a batch holds whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_ROWS_PER_BATCH:
-        spark.conf.set(key, str(TEXT_ROWS_PER_BATCH))
+    """Bound the bytes of an Arrow batch, as a batch holds whole texts; batches of numbers stay as long as before."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).lower()
+    size = int(now.rstrip("kmgb")) << {"k": 10, "m": 20, "g": 30}.get(now.rstrip("b")[-1:], 0)
+    if size <= 0 or size > TEXT_BATCH_BYTES:
+        spark.conf.set(key, f"{TEXT_BATCH_BYTES}b")
 
 
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def unassigned_class() -> str:
-    """A character class of the code points that Unicode leaves open, as Python knows it.
+#: Code points up to U+0377 are all assigned.
+BEYOND = re.compile("[^\x00-\u0377]")
+
+
+def open_points(text: str) -> set[str]:
+    """Code points of a text that Unicode leaves open, as Python knows it.
 
     Newer tables make letters of some of them, and libraries differ in the tables
     they have; texts that hold any are cut with care.
     """
-    ranges, start = [], None
-    for code in range(0x110001):
-        is_open = code < 0x110000 and unicodedata.category(chr(code)) == "Cn"
-        if is_open and start is None:
-            start = code
-        elif not is_open and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{code - 1:08x}")
-            start = None
-    return "[" + "".join(ranges) + "]"
+    if text.isascii():
+        return set()
+    return {c for c in set(BEYOND.findall(text)) if unicodedata.category(c) == "Cn"}

@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import small_text_batches, stable, text_of, unassigned_class
+from cuelight.llm.common import open_points, small_text_batches, stable, text_of
 
-#: Runs of non-blanks or blanks that merge slowly by ranks.
-LONG_RUN = r"\S{1000}|\s{1000}"
+#: Length of a run of non-blanks or blanks that merges slowly by ranks.
+LONG_RUN = 1000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -58,11 +58,18 @@ class Codec:
         with open(ranks, "rb") as f:
             known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.hard = re.compile("|".join([*map(re.escape, special), LONG_RUN, unassigned_class()]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def hard(self, text: str) -> bool:
+        """Whether a text is one for the tokenizer itself."""
+        if any(s in text for s in self.special) or open_points(text):
+            return True
+        words = text.split()
+        blanks = len(text) - sum(map(len, words))
+        return max(map(len, words), default=0) >= LONG_RUN or (blanks >= LONG_RUN and re.search(r"\s{%d}" % LONG_RUN, text) is not None)
 
     def encode(self, text: str) -> bytes:
-        if self.hard.search(text):
+        if self.hard(text):
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids)
         else:
             ids = self.ranks.encode_to_numpy(text, disallowed_special=())
