@@ -176,35 +176,48 @@ def band(start_ms: Column, runtime_ms: Column, when: Column) -> Column:
     return F.when(when.isNull(), 0).when(F.coalesce(inside, F.lit(False)), 0).otherwise(1)
 
 
-def distinct_moments(candidates: DataFrame, limit: int, radius_ms: int = DISTINCT_MS, by: str = "query_id") -> DataFrame:
+def distinct_moments(candidates: DataFrame, limit: int, radius_ms: int = DISTINCT_MS, by: str = "query_id", carry: str | None = None) -> DataFrame:
     """Greedy selection in order of ``pos``: no two kept within ``radius_ms`` in one video.
 
     Whether a candidate stays depends on those kept before it, so the candidates
-    of a query, a few hundred by construction, are folded in order.
+    of a query, a few hundred by construction, are folded in order. ``carry`` is a
+    column of doubles that comes along.
     """
-    ranked = F.array_sort(F.collect_list(F.struct("pos", "line_id", "video_id", "start_ms")))
+    carried = F.col(carry).cast("double") if carry else F.lit(None).cast("double")
+    one = F.struct(
+        F.col("pos").cast("int").alias("pos"), F.col("line_id").cast("long").alias("line_id"), "video_id", F.col("start_ms").cast("long").alias("start_ms"), carried.alias("carried")
+    )
     kept = F.aggregate(
-        ranked,
-        F.array().cast("array<struct<pos:int,line_id:bigint,video_id:string,start_ms:bigint>>"),
+        F.array_sort(F.collect_list("c")),
+        F.array().cast("array<struct<pos:int,line_id:bigint,video_id:string,start_ms:bigint,carried:double>>"),
         lambda acc, c: F.when(
             (F.size(acc) >= limit)
             | F.exists(acc, lambda x: (x["video_id"] == c["video_id"]) & (F.abs(x["start_ms"] - c["start_ms"]) < radius_ms)),
             acc,
         ).otherwise(F.concat(acc, F.array(c))),
     )
-    typed = candidates.select(by, F.col("pos").cast("int").alias("pos"), F.col("line_id").cast("long").alias("line_id"), "video_id", F.col("start_ms").cast("long").alias("start_ms"))
-    return typed.groupBy(by).agg(kept.alias("kept")).select(by, F.posexplode("kept").alias("place", "m")).select(by, "place", "m.line_id", "m.video_id", "m.start_ms")
+    rows = candidates.select(by, one.alias("c")).groupBy(by).agg(kept.alias("kept")).select(by, F.posexplode("kept").alias("place", "m"))
+    return rows.select(by, "place", "m.line_id", "m.video_id", "m.start_ms", *([F.col("m.carried").alias(carry)] if carry else []))
 
 
 def hybrid_search(lines: DataFrame, queries: DataFrame, limit: int = 5, min_idf: float = MIN_IDF) -> DataFrame:
-    """The best distinct moments of each query, with a score; wide columns join last."""
+    """The best distinct moments of each query, with a score.
+
+    The fused candidates meet the lines once, for place, time and, where only
+    words found a line, its true distance; text joins what is left at the end.
+    """
     k = over_fetch(limit)
     fused = fuse(knn_batch(lines, queries, k), bm25(lines, queries, k, min_idf))
-    filled = backfill(fused, queries, lines)
-    placed = filled.join(lines.select("line_id", "video_id", "start_ms"), "line_id")
-    kept = distinct_moments(placed, limit).select("query_id", "place", "line_id")
-    scored = kept.join(filled.select("query_id", "line_id", "distance"), ["query_id", "line_id"])
-    return scored.join(lines.select("line_id", "title_id", "video_id", "start_ms", "end_ms", "text"), "line_id").select(
+    placed = (
+        fused.join(lines.select("line_id", "video_id", "start_ms", "embedding"), "line_id")
+        .join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+        .select(
+            "query_id", "pos", "line_id", "video_id", "start_ms",
+            F.coalesce("distance", V.cosine_distance(F.col("embedding"), F.col("q")), F.lit(2.0)).alias("distance"),
+        )
+    )
+    kept = distinct_moments(placed, limit, carry="distance").select("query_id", "place", "line_id", "distance")
+    return kept.join(lines.select("line_id", "title_id", "video_id", "start_ms", "end_ms", "text"), "line_id").select(
         "query_id", "place", "line_id", "title_id", "video_id", "start_ms", "end_ms", "text", F.round(V.score(F.col("distance")), 6).alias("score")
     )
 
