@@ -85,3 +85,55 @@ def ass_text(text: Column) -> Column:
     text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     text = F.replace(F.replace(text, F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
     return F.regexp_replace(text, r"\r?\n", r"\\N")
+
+
+def edge_limits(edge: str, match_start: Column, match_end: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """Least and greatest place of the ``start`` or ``end`` edge: in the window, a shortest clip off the other edge."""
+    if edge == "start":
+        return window_start(match_start), end - MIN_CLIP
+    return start + MIN_CLIP, window_end(match_end)
+
+
+def move_edge(edge: str, to: Column, match_start: Column, match_end: Column, start: Column, end: Column) -> Column:
+    lo, hi = edge_limits(edge, match_start, match_end, start, end)
+    return half_up(F.least(hi, F.greatest(lo, to)))
+
+
+def move_clip(by: Column, match_start: Column, match_end: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """Both edges moved by the same, as far as the window lets them: the length stays."""
+    held = clamp(by, window_start(match_start) - start, window_end(match_end) - end)
+    return start + held, end + held
+
+
+def tile_offset_percent(index: Column, count: Column) -> Column:
+    return F.when(count > 1, index / (count - 1) * 100).otherwise(0.0)
+
+
+def spine_tiles(count: Column, wanted: Column) -> Column:
+    """Evenly spread tiles, the first and the last among them."""
+    n = clamp(wanted, F.lit(1), count)
+    return F.when(n == 1, F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), n - 1), lambda i: half_up(i / (n - 1) * (count - 1)).cast("int"))
+    )
+
+
+def time_at_percent(start: Column, end: Column, percent: Column) -> Column:
+    return start + (end - start) * clamp(percent, F.lit(0.0), F.lit(100.0)) / 100
+
+
+def cue_key(start: Column) -> Column:
+    return half_up(start).cast("long").cast("string")
+
+
+def caption_style(height: Column, meme: Column, size: Column, placement: Column) -> Column:
+    """Font, outline, margin and alignment of a caption, all growing with the picture."""
+    by = lambda big, small: F.when(meme, big).otherwise(small)
+    held = caption_size(size)
+    top = F.when(placement == "auto", meme).otherwise(placement == "top")
+    return F.struct(
+        half_up(height * by(0.085, 0.055) * held).cast("int").alias("font"),
+        F.greatest(F.lit(2), half_up(height * by(0.006, 0.004) * held)).cast("int").alias("outline"),
+        half_up(height * by(0.04, 0.035)).cast("int").alias("margin"),
+        F.when(top, 8).otherwise(2).alias("alignment"),
+        F.when(meme, -1).otherwise(0).alias("bold"),
+    )
