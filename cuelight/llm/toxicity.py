@@ -1,22 +1,24 @@
 """Toxicity by subword-bag embeddings (after Joulin et al. and Bojanowski et al., 2017).
 
-A word is the mean of the vectors of its character n-grams and of itself, a
-text the mean of its words, and a linear softmax on top tells the classes. The
-vectors and the softmax are trained jointly in numpy, on a bounded sample of the
-labelled rows of the training folds. A misspelling that was never seen shares
-most n-grams with the word it stands for, and so its vector.
+A word is the mean of the vectors of its character n-grams and of itself, a text
+the weighted mean of its words, and a linear softmax on top tells the classes.
+The vectors and the softmax are trained jointly in numpy, on a bounded sample of
+the labelled rows of the training folds (``SAMPLE``). A misspelling that was
+never seen shares most n-grams with the word it stands for, and so its vector.
 
 Training text becomes sparse bags on the executors; the driver gets the bags of
-at most ``sample`` documents. Scoring needs one number per bucket, the
-difference of its class scores, so the model that is sent out is one array of
-fixed size, and a text's score is the mean of the scores of its words.
+the sample. Scoring needs one number per bucket, the difference of its class
+scores, so the model that is sent out is one array of fixed size, and a text's
+score is the weighted mean of the scores of its words.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from math import log1p
 from typing import NamedTuple
 
 import numpy as np
@@ -55,17 +57,24 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def weighted(text: str) -> tuple[dict[str, float], float]:
+    """Words of a text with their weights, and the sum of all weights.
+
+    A word weighs the logarithm of one more than its count, so a text that
+    repeats an ordinary word is no more than a text that has it.
+    """
+    weights = {w: log1p(n) for w, n in Counter(words(text)).items()}
+    return weights, sum(weights.values()) + PADDING
+
+
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their weights, which sum to nearly one for a long text."""
-    found = words(text)
+    found, total = weighted(text)
     weights: dict[int, float] = {}
-    counts: dict[str, int] = {}
-    for w in found:
-        counts[w] = counts.get(w, 0) + 1
-    for w, c in counts.items():
+    for w, own_weight in found.items():
         own = subwords(w)
         for b in own:
-            weights[b] = weights.get(b, 0.0) + c / (len(own) * (len(found) + PADDING))
+            weights[b] = weights.get(b, 0.0) + own_weight / (len(own) * total)
     return np.fromiter(weights, np.uint16, len(weights)), np.fromiter(weights.values(), np.float32, len(weights))
 
 
@@ -118,17 +127,17 @@ class Scorer:
         self.model, self.known = model, {}
 
     def score(self, text: str) -> float:
-        found, known = words(text), self.known
+        (found, whole), known = weighted(text), self.known
         if len(known) > self.KEPT:
             known.clear()
         total = 0.0
-        for w in found:
+        for w, weight in found.items():
             s = known.get(w)
             if s is None:
                 own = subwords(w)
                 s = known[w] = float(self.model.buckets[own].sum()) / len(own)
-            total += s
-        odds = self.model.bias + total / (len(found) + PADDING)
+            total += weight * s
+        odds = self.model.bias + total / whole
         return 1.0 / (1.0 + float(np.exp(-min(max(odds, -60.0), 60.0))))
 
 
