@@ -31,7 +31,7 @@ from cuelight.llm.common import open_points, small_text_batches, text_of
 
 WORD_END = "</w>"
 END = "\ue000"  # stands for the word end while a word is cut
-SYMBOL = "\ue001"  # of private use: neither letter nor digit nor space
+SYMBOL, LETTER = "\ue001", "\u4e00"  # a code point of private use, neither letter nor digit nor space; a letter without case
 NEVER = int(np.iinfo(np.int64).max)
 NO_RULE = (NEVER, -1)
 
@@ -60,6 +60,8 @@ class WordBpe:
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.letters = {b: c for b, c in byte_alphabet().items()}
         self._rules(model["merges"])
+        self.path, self.own = path, None
+        self.stand_ins: dict[str, str] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
 
     @staticmethod
@@ -176,17 +178,33 @@ class WordBpe:
             found[k] = self.exact(spelled[k])
         return found
 
+    def library(self):
+        """The tokenizers library's own object, for what only its Unicode tables tell."""
+        if self.own is None:
+            from tokenizers import Tokenizer
+
+            self.own = Tokenizer.from_file(self.path)
+        return self.own
+
+    def stand_in(self, point: str) -> str:
+        """A code point that the tokenizer's pattern takes like ``point``, which only it may know."""
+        if point not in self.stand_ins:
+            cut = self.library().pre_tokenizer.pre_tokenize_str
+            joins = [c for c in (LETTER, SYMBOL) if len(cut(c + point)) == 1]
+            self.stand_ins[point] = joins[0] if joins else "1"
+        return self.stand_ins[point]
+
     def words(self, text: str) -> list[str]:
         """Words of normalised text; white space separates words and is dropped, whatever its run.
 
-        Code points that Unicode left open count as symbols, as they are none of
-        the tokenizer's letters yet.
+        Texts with code points that Python's Unicode tables leave open are
+        normalised by the library, and such a point counts as its tables have it.
         """
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if left_open := open_points(text):
-            shown = text.translate({ord(c): SYMBOL for c in left_open})
+        if open_points(text):
+            text = self.library().normalizer.normalize_str(text)
+            shown = text.translate({ord(c): self.stand_in(c) for c in open_points(text)})
             return [text[m.start() : m.end()] for m in self.pattern.finditer(shown)]
-        return self.pattern.findall(text)
+        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text; the strings of special tokens stand as they are."""
