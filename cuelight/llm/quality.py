@@ -45,6 +45,8 @@ CUTOFF = 5.0
 #: Estimates of up to so many groups are broadcast (under 10 MB); more are joined by a shuffle.
 BROADCAST_GROUPS = 20_000
 D = len(FLOORS)
+#: Width of a bin of the starting medians, well under the floors.
+BIN = 0.005
 
 
 def repeated(words: list[str], size: int = 5) -> int:
@@ -161,15 +163,28 @@ def _side(estimates: DataFrame, groups: int) -> DataFrame:
     return F.broadcast(estimates) if groups <= BROADCAST_GROUPS else estimates
 
 
+def _medians(values: DataFrame) -> DataFrame:
+    """``group, n, middle`` of ``values(group, dim, v)``: medians of each dimension, to a bin's width.
+
+    What is shuffled are counts by group, dimension and bin, never one group's state.
+    """
+    bins = values.groupBy("group", "dim", F.floor(F.col("v") / BIN).alias("bin")).agg(F.count("*").alias("c"))
+    one = Window.partitionBy("group", "dim")
+    upto = one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    half = bins.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(one)).where(F.col("upto") * 2 >= F.col("n"))
+    middle = half.groupBy("group", "dim").agg(F.first("n").alias("n"), ((F.min("bin") + 0.5) * BIN).alias("middle"))
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "middle")))  # a row a dimension
+    return middle.groupBy("group").agg(F.first("n").alias("n"), F.transform(ordered, lambda m: m["middle"]).alias("middle"))
+
+
 def concentrate(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """``group, n, center, inverse`` for each group of ``vectors(group, x)``."""
-    middle = [F.percentile_approx(F.get("x", i), 0.5, 2000).cast("double") for i in range(D)]
-    center = stable(vectors.groupBy("group").agg(F.count("*").alias("n"), F.array(*middle).alias("center")))
+    center = stable(_medians(vectors.select("group", F.posexplode("x").alias("dim", "v"))).withColumnRenamed("middle", "center"))
     groups = center.count()
-    spread = [F.percentile_approx(F.abs(F.get("x", i) - F.get("center", i)), 0.5, 2000).cast("double") for i in range(D)]
-    start = vectors.join(_side(center, groups), "group").groupBy("group").agg(
-        F.first("n").alias("n"), F.first("center").alias("center"), F.array(*spread).alias("mad")
+    off = vectors.join(_side(center, groups), "group").select(
+        "group", F.posexplode(F.zip_with("x", "center", lambda a, b: F.abs(a - b))).alias("dim", "v")
     )
+    start = center.join(_medians(off).select("group", F.col("middle").alias("mad")), "group")
     scatter = F.array(*[F.pow(F.get("mad", i) * 1.4826, F.lit(2.0)) if i == j else F.lit(0.0) for i in range(D) for j in range(D)])
     estimates = stable(start.select("group", "n", "center", _inverse(scatter).alias("inverse")))
     for _ in range(steps):
