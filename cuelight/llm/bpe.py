@@ -17,6 +17,7 @@ pair goes first).
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -33,7 +34,6 @@ WORD_END = "</w>"
 END = "\ue000"  # stands for the word end while a word is cut
 SYMBOL, LETTER = "\ue001", "\u4e00"  # a code point of private use, neither letter nor digit nor space; a letter without case
 NEVER = int(np.iinfo(np.int64).max)
-NO_RULE = (NEVER, -1)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -46,8 +46,8 @@ def byte_alphabet() -> dict[int, str]:
 class WordBpe:
     """A word-level BPE tokenizer file: encodes whole texts and decodes ids."""
 
-    #: Words whose encoding one Python worker keeps; gathered anew beyond it.
-    KEPT = 300_000
+    #: Words whose encoding one Python worker keeps, and letters in them; gathered anew beyond either.
+    KEPT, KEPT_LETTERS = 300_000, 6_000_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -63,6 +63,7 @@ class WordBpe:
         self.path, self.own = path, None
         self.stand_ins: dict[str, str] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.letters_known = 0
 
     @staticmethod
     def _marked(token: str) -> str:
@@ -147,19 +148,26 @@ class WordBpe:
         return ids
 
     def exact(self, word: str) -> list[int]:
-        """Merge step by step, the best-ranked pair and of those the leftmost first."""
+        """Merge step by step, the best-ranked pair and of those the leftmost first; a heap holds the pairs, so long words take little more a letter."""
         rules = self.merge
         ids = [self.vocab[c] for c in [*word[:-2], word[-2:]]]
-        ranks = [rules.get(p, NO_RULE)[0] for p in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) < NEVER:
-            k = ranks.index(best)
-            ids[k : k + 2] = [rules[ids[k], ids[k + 1]][1]]
-            del ranks[k]
-            if k:
-                ranks[k - 1] = rules.get((ids[k - 1], ids[k]), NO_RULE)[0]
-            if k < len(ranks):
-                ranks[k] = rules.get((ids[k], ids[k + 1]), NO_RULE)[0]
-        return ids
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(rules[p][0], k, *p) for k, p in enumerate(zip(ids, ids[1:])) if p in rules]
+        heapq.heapify(heap)
+        while heap:
+            _, k, a, b = heapq.heappop(heap)
+            right = after[k]
+            if ids[k] != a or right < 0 or ids[right] != b:
+                continue  # a merge has changed one of the two since
+            ids[k], ids[right] = rules[a, b][1], -1
+            after[k] = after[right]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and after[left] >= 0 and (pair := (ids[left], ids[after[left]])) in rules:
+                    heapq.heappush(heap, (rules[pair][0], left, *pair))
+        return [i for i in ids if i >= 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The encoding of each word: proposals, one check of all borders, exact merges for the rest."""
@@ -215,9 +223,10 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         fresh = [w for w in words.difference(self.known) if w not in self.special]
-        if len(self.known) + len(fresh) > self.KEPT:
-            self.known = {}
+        if len(self.known) + len(fresh) > self.KEPT or self.letters_known > self.KEPT_LETTERS:
+            self.known, self.letters_known = {}, 0
             fresh = [w for w in words if w not in self.special]
+        self.letters_known += sum(map(len, fresh))
         for w, i in self.special.items():
             self.known[w] = (1, str(i), w)
         for w, ids in zip(fresh, self.encode_words(fresh) if fresh else []):

@@ -31,6 +31,21 @@ def test_speculation_is_verified_not_trusted(pair):
     assert any(g != e for g, e in zip(greedy, exact)) and any(g == e for g, e in zip(greedy, exact))
 
 
+def test_long_words_are_merged_whole(pair):
+    own, lib = pair
+    for word in ("a" * 200_000, "thequickbrownfox" * 10_000, "été" * 30_000, "!?" * 40_000):
+        assert own.encode(word) == lib.encode(word, add_special_tokens=False).ids
+
+
+def test_kept_words_are_bounded(pair):
+    fresh = B.WordBpe(B.word_bpe_path())
+    fresh.KEPT_LETTERS = 1000
+    for k in range(50):
+        text = " ".join(chr(97 + k % 26) * (100 + j + k) for j in range(5))
+        assert fresh.encode(text) == pair[1].encode(text, add_special_tokens=False).ids
+        assert sum(map(len, fresh.known)) < 5000
+
+
 def test_rows(spark, documents, pair):
     _, lib = pair
     want = []
