@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cuelight.llm.common import small_text_batches, stable, text_of
 from cuelight.llm.graph import connected_components
+from cuelight.llm.resemblance import similar_components
 
 BITS = np.arange(64, dtype=np.uint64)
 
@@ -111,12 +112,16 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, at_least: float = 0.8) -> DataFrame:
     """Rows of ``docs`` that come first, by ``key``, in their component; all columns.
 
-    Rows that repeat a kept key with another text of the same component stay
-    only once per key.
+    Components are those of texts whose sets of ``shingle`` words have at least
+    this Jaccard similarity. Fingerprints of such texts can differ in many more
+    bits than two, and blocks of 64 bits are too short to find those without
+    meeting nearly all pairs; so the pairs come from :mod:`cuelight.llm.resemblance`, which loses none. Rows
+    that repeat a kept key with another text of the same component stay only once
+    per key.
     """
-    classes = simhash_components(docs, key, text)
+    classes = similar_components(docs, key, text, shingle, at_least)
     kept = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs[key].eqNullSafe(kept["__kept"]), "left_semi")
