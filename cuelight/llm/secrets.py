@@ -7,8 +7,9 @@ c of its characters: when a character leaves and one enters, only those two
 counts change, and the sum by two table steps. The entropy follows from the
 sum; whether a window is hot depends on the character class of its candidate
 (hexadecimal, one letter case, or mixed), whose alphabets bound the entropy
-differently. Hot windows that touch are one span. Allow-listed candidates are
-suppressed: UUIDs, parts of URLs and paths, placeholders.
+differently. Hot windows that touch are one span. Candidates that the allow-list
+covers whole are suppressed: UUIDs, paths and names of words, placeholders. A
+candidate that holds a placeholder beside a run of 20 other characters is scanned.
 
 All of it is native expressions in the scan's own tasks; nothing is shuffled.
 Entropies are sums of whole numbers (c * log2(c) in millionths), so any engine
@@ -39,12 +40,16 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 TERMS = [0] + [round(c * math.log2(c) * 1_000_000) for c in range(1, WINDOW + 1)]
 #: Least entropy of a hot window, in bits a character, for each character class.
 THRESHOLDS = {"hex": 2.9, "single": 3.6, "mixed": 3.7}
-#: Candidates that are no secrets although their entropy is high.
+#: A word of a path or name: letters of one case or in humps, few digits after them; or a short number.
+WORD = r"(?:[A-Z]?[a-z]{1,12}(?:[A-Z][a-z]{2,12}){0,3}[0-9]{0,4}|[A-Z]{1,12}[0-9]{0,4}|[0-9]{1,8})"
+#: Candidates that are no secrets although their entropy is high: UUIDs; those of
+#: which every window overlaps a placeholder (what lies before, between and after is
+#: shorter than a window); those without a digit or a letter; paths and names of words.
 ALLOWED = (
     r"\A[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z",
-    r"(?i)example|placeholder|changeme|sample|dummy|x{6,}",
+    r"(?i)\A.{0,19}(?:(?:example|placeholder|changeme|sample|dummy).{0,19}|x{6,}(?:[^x].{0,18})?){1,3}\z",
     r"\A[0-9=+/_-]*\z|\A[A-Za-z=+/_-]*\z",
-    r"\A[a-z0-9]+([/_-][a-z0-9]+){2,}\z|/.*/",
+    rf"\A(?:/+{WORD}(?:[/_-]+{WORD})+|{WORD}(?:[/_-]+{WORD}){{2,}})[/_-]*\z",
 )
 
 

@@ -80,3 +80,27 @@ def test_redaction(spark, documents):
     out = {r.doc_id: r.text for r in S.redact_secrets(documents).collect()}
     assert out[10] == "[secret]\", [secret] [secret] tail" and out[6] is None and out[1] == documents.where("doc_id = 1").first().text
     assert S.redact_secrets(documents).columns == documents.columns
+
+
+def test_planted_keys_are_not_allowed(spark):
+    """Keys with slashes, underscored lower-case keys and keys beside placeholder words have spans; paths, names and placeholders none."""
+    import base64
+    import random
+
+    rng = random.Random(8)
+    keys = [base64.b64encode(rng.randbytes(n)).decode() for n in (30, 48, 66, 129) for _ in range(50)]
+    assert sum(k.count("/") > 1 for k in keys) > 50
+    low = ["sk_live_" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=32)) for _ in range(20)]
+    beside = ["sample_key=" + base64.b64encode(rng.randbytes(30)).decode().replace("/", "a") for _ in range(20)]
+    none = [
+        "path/to/some/long/file/name12/that/is/no/secret", "/usr/lib/python3/site-packages/urllib3", "a-long-title-of-2024-about-many-things",
+        "com/assets/imageGallery/thumbs2/large", "my-example-key-4f7Q2z", "xxxxxxxxxxxxxxxxxxxxxxxxxxxx1A", "123e4567-e89b-12d3-a456-426614174000",
+    ]
+    rows = [f"see {k} there" for k in keys + low + beside + none]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in S.secret_spans(df).collect()}
+    planted = len(keys) + len(low) + len(beside)
+    assert [k for k in range(planted) if "entropy" not in got[k] and "hex" not in got[k]] == []
+    assert [rows[k] for k in range(planted, len(rows)) if got[k]] == []
+    out = {r.doc_id: r.text for r in S.redact_secrets(df).collect()}
+    assert all(low[k][-12:] not in out[len(keys) + k] for k in range(len(low)))
