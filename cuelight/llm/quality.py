@@ -6,9 +6,10 @@ scatter of the most concentrated share of its documents, and a document far from
 them by Mahalanobis distance is rejected. The estimates follow Rousseeuw and Van
 Driessen (1999), from the fixed starts of Hubert, Rousseeuw and Verdonck (2012):
 
-1. Offsets from the language's median are scaled by its median deviation, and by
-   ``sqrt(n / (n + NOISE_WORDS))``, as the statistics of a text of few words n
-   scatter with the draw of its words.
+1. Offsets from the group's median are scaled by their median deviation in the
+   language, and by ``sqrt(n / (n + NOISE_WORDS))``, as the statistics of a text of
+   few words n scatter with the draw of its words. So wider groups have the
+   scatter within sources, not that between them.
 2. Three starts a group, about its median: unit scatter, the covariance of the
    offsets' signs in space, and that of their hyperbolic tangents.
 3. Concentration steps for all starts at once; of each group the start with the
@@ -18,7 +19,10 @@ Driessen (1999), from the fixed starts of Hubert, Rousseeuw and Verdonck (2012):
 5. An estimate shrinks towards that of its language, and a language's towards
    that of all documents, by ``PRIOR`` documents: a group of any size has one.
 
-The cutoff is a quantile of the chi-square distribution.
+Texts of a group are mixtures (quotations, addresses, lists, other languages), so
+distances have longer tails than those of normal data. The cutoff is the quantile
+of the multivariate t distribution of ``FREEDOM`` degrees of freedom; with many
+degrees it would be that of the chi-square distribution.
 
 The steps run over all rows and never gather a group. One step bins the distances
 of all rows finely and sums moments by group, start and bin (combined before the
@@ -59,8 +63,8 @@ STARTS = 3
 NOISE_WORDS = 200
 #: Documents that the estimate of the wider group weighs as much as: two for each of its numbers.
 PRIOR = 2 * (D + D * (D + 1) // 2)
-#: Probability that a document of a normal group is rejected. Real groups have longer tails.
-TAIL = 1e-9
+#: Degrees of freedom of the tails of a group, and the probability that one of its documents is rejected.
+FREEDOM, TAIL = 4, 1e-3
 #: Variance added to every direction, in units of the language's: keeps constant statistics invertible.
 RIDGE = 1e-3
 #: Estimates of up to so many groups are broadcast (under 10 MB); more are joined by a shuffle.
@@ -118,12 +122,12 @@ def statistics(text: str) -> tuple[int, ...]:
 
 
 def _vector() -> Column:
-    """Log odds of characters that aren't letters, log share of capitals, log word length, and Herdan's C."""
+    """Shares of other characters than letters and of capitals (as roots), log word length, and Herdan's C."""
     n = F.greatest("n_words", F.lit(1))
     others = F.greatest(F.col("word_chars") - F.col("n_letters"), F.lit(0))
     return F.array(
-        F.log((others + 0.5) / (F.col("n_letters") + 0.5)),
-        F.log((F.col("n_upper") + 2.0) / (F.col("n_letters") + 100.0)),
+        F.sqrt(others / F.greatest("word_chars", F.lit(1))),
+        F.sqrt(F.col("n_upper") / F.greatest("n_letters", F.lit(1))),
         F.log(F.greatest("word_chars", F.lit(1)) / n),
         F.log(F.greatest("n_distinct", F.lit(1))) / F.log(n + 1.0),
     )
@@ -182,6 +186,20 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
+def t_cutoff(tail: float, k: int, freedom: float) -> float:
+    """Distance over which a point of a ``k``-dimensional t distribution lies with probability ``tail``; ``k`` is even."""
+    b = freedom / 2
+
+    def beyond(x: float) -> float:
+        return (1 - x) ** b * sum(math.gamma(b + j) / math.gamma(b) / math.factorial(j) * x**j for j in range(k // 2))
+
+    low, high = 0.0, 1.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if beyond(middle) > tail else (low, middle)
+    return math.sqrt(freedom * high / (1 - high))
+
+
 def consistency(share: float, k: int) -> float:
     """What the scatter of the nearest ``share`` of normal data is short of, as a factor."""
     return share / chi2_cdf(chi2_quantile(share, k), k + 2)
@@ -214,37 +232,44 @@ def _shrunk(own: Column, n: Column, wider: Column) -> Column:
 
 
 def scales(points: DataFrame) -> DataFrame:
-    """``lang_group, middle, deviation`` of ``points(lang_group, x)``, shrunk towards all languages' by ``PRIOR``.
+    """``own_group, middle, deviation`` of ``points(lang_group, own_group, n_words, x)``.
 
-    A deviation of zero, of a statistic constant in half of the documents, is that
-    of all languages, or one.
+    ``middle`` is the group's median, shrunk towards the language's and that of
+    all; ``deviation`` the language's median deviation from its groups' medians,
+    shrunk towards that of all. A deviation of zero, of a statistic constant in
+    half of the documents, is that of all languages, or one.
     """
-    levels = points.select(F.explode(F.array("lang_group", _group())).alias("group"), "x")
-    medians = stable(_medians(levels.select("group", F.posexplode("x").alias("dim", "v")), BIN))
+    levels = points.select(F.explode(F.array("own_group", "lang_group", _group())).alias("group"), F.posexplode("x").alias("dim", "v"))
+    medians = stable(_medians(levels, BIN))
     groups = medians.count()
-    off = levels.join(_side(medians.drop("n"), groups), "group").select(
-        "group", F.posexplode(F.zip_with("x", "middle", lambda a, b: F.abs(a - b))).alias("dim", "v")
+    keys = stable(points.select("own_group", "lang_group").distinct())
+    named = lambda df, k: df.select(F.col("group").alias(f"g{k}"), F.col("n").alias(f"n{k}"), F.col("middle").alias(f"m{k}"))
+
+    def of_language(df: DataFrame, told: DataFrame) -> DataFrame:
+        told = told.join(named(df, 1), F.col("lang_group") == F.col("g1"))
+        return told.crossJoin(F.broadcast(named(df, 0).where(F.col("g0") == _group())))  # one row
+
+    told = of_language(medians, keys.join(named(medians, 2), F.col("own_group") == F.col("g2")))
+    of_lang = _shrunk(F.col("m1"), F.col("n1"), F.col("m0"))
+    middles = stable(told.select("own_group", "lang_group", _shrunk(F.col("m2"), F.col("n2"), of_lang).alias("middle")))
+    off = F.transform(F.zip_with("x", "middle", lambda a, b: F.abs(a - b)), lambda v: v * _few())
+    spread = points.join(_side(middles.drop("lang_group"), groups), "own_group").select(
+        F.explode(F.array("lang_group", _group())).alias("group"), F.posexplode(off).alias("dim", "v")
     )
-    both = stable(medians.join(_medians(off, BIN).select("group", F.col("middle").alias("mad")), "group"))
-    whole = both.where(F.col("group") == _group()).select(F.col("middle").alias("all_middle"), F.col("mad").alias("all_mad"))
+    told = of_language(stable(_medians(spread, BIN)), middles)
     positive = lambda a: F.transform(a, lambda v: F.when(v > BIN, v))
-    of_all = F.transform(positive(F.col("all_mad")), lambda v: F.coalesce(v, F.lit(1.0)))
-    own = F.zip_with(positive(F.col("mad")), of_all, lambda a, b: F.coalesce(a, b))
-    return (
-        both.where(F.col("group") != _group())
-        .crossJoin(F.broadcast(whole))  # one row
-        .select(
-            F.col("group").alias("lang_group"),
-            _shrunk(F.col("middle"), F.col("n"), F.col("all_middle")).alias("middle"),
-            F.transform(_shrunk(own, F.col("n"), of_all), lambda v: v * 1.4826).alias("deviation"),
-        )
-    )
+    of_all = F.transform(positive(F.col("m0")), lambda v: F.coalesce(v, F.lit(1.0)))
+    own = F.zip_with(positive(F.col("m1")), of_all, lambda a, b: F.coalesce(a, b))
+    return told.select("own_group", "middle", F.transform(_shrunk(own, F.col("n1"), of_all), lambda v: v * 1.4826).alias("deviation"))
+
+
+def _few() -> Column:
+    return F.sqrt(F.col("n_words") / (F.col("n_words") + F.lit(float(NOISE_WORDS))))
 
 
 def _scaled() -> Column:
     """``x`` of ``n_words`` words about ``middle`` in units of ``deviation``."""
-    few = F.sqrt(F.col("n_words") / (F.col("n_words") + F.lit(float(NOISE_WORDS))))
-    return F.transform(F.zip_with("x", "middle", lambda a, b: a - b), lambda v, i: v / F.get("deviation", i) * few)
+    return F.transform(F.zip_with("x", "middle", lambda a, b: a - b), lambda v, i: v / F.get("deviation", i) * _few())
 
 
 def _squared(z: str, center: Column, inverse: Column) -> Column:
@@ -354,7 +379,7 @@ def estimates_of(points: DataFrame, share: float = SHARE) -> DataFrame:
     return _inverted(told.select("own_group", F.col("c").alias("center"), F.col("s").alias("scatter"))).select("own_group", "center", "inverse")
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", tail: float = TAIL) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", tail: float = TAIL, freedom: float = FREEDOM) -> DataFrame:
     """Base counts, ``base_failed``, ``kept`` and ``distance`` for every row.
 
     A null text has no words and fails the base rules. Null languages and
@@ -370,19 +395,17 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     # equal statistics of a group count once
     points = stable(sound.select("lang_group", "own_group", "n_words", "x").distinct())
     scale = stable(scales(points))
-    languages = scale.count()
-    scaled = stable(points.join(_side(scale, languages), "lang_group").select("lang_group", "own_group", _scaled().alias("z")))
-    estimates = stable(estimates_of(scaled))
-    groups = estimates.count()
+    groups = scale.count()
+    scaled = stable(points.join(_side(scale, groups), "own_group").select("lang_group", "own_group", _scaled().alias("z")))
+    estimates = stable(estimates_of(scaled).join(scale, "own_group"))
     columns = ["doc_id", "n_words", *BASE, "base_failed"]
     judged = (
-        sound.join(_side(scale, languages), "lang_group")
+        sound.join(_side(estimates, groups), "own_group")
         .withColumn("z", _scaled())
-        .join(_side(estimates, groups), "own_group")
         .select(*columns, F.sqrt(_squared("z", F.col("center"), F.col("inverse"))).alias("distance"))
     )
     failed = rows.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"))
-    cutoff = math.sqrt(chi2_quantile(1 - tail, D))
+    cutoff = t_cutoff(tail, D, freedom)
     return judged.unionByName(failed).select(*columns, F.coalesce(F.col("distance") <= cutoff, F.lit(False)).alias("kept"), "distance")
 
 
