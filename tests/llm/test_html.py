@@ -1,3 +1,6 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from cuelight.llm import html as H
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
@@ -27,6 +30,84 @@ def test_broken_pages():
     assert H.main_text('<article><p title="a>b">x</p></article>') == "x"
 
 
+LONG = "This sentence is a part of the article and goes on for quite a while here. " * 2
+
+
+def said(page):
+    return H.main_text(page).split("\n\n") if H.main_text(page) else []
+
+
+def test_names_of_frames_are_void():
+    text = f"<h1 id='related'>Head</h1><p>{LONG}</p><h2 class='notice-title'>More</h2><p>{LONG}</p>"
+    wanted = ["Head", LONG.strip(), "More", LONG.strip()]
+    junk = "<div class='sidebar'><p>Some words beside the article.</p></div>"
+    for page in (
+        f"<div class='content with-sidebar'>{text}</div>{junk}",
+        f"<article class='post has-sidebar no-comments'>{text}</article>{junk}",
+        f"<main class='with-header'>{text}</main>{junk}",
+        f"<div class='layout sidebar-right'><div class='body'>{text}</div>{junk}</div>",
+        f"<form id='page'><div>{text}</div>{junk}</form>",
+        f"<div class='menu'><a href=x>One</a><article>{text}</article></div>{junk}",
+    ):
+        assert said(page) == wanted, page[:60]
+
+
+def test_names_of_parts_hold():
+    reader = "I do not agree with any of this, and I say so at length. " * 4
+    comments = "".join(f"<li class='comment'><article class='comment-body'><p>{reader}</p></article></li>" for _ in range(5))
+    for frame in ("article", "div"):
+        page = f"<{frame}><h1>Head</h1><p>{LONG}</p></{frame}><ol class='commentlist'>{comments}</ol><div class='related'><article><p>{LONG}</p></article></div>"
+        assert said(page)[:2] == ["Head", LONG.strip()] and not any(reader.strip() == t for t in said(page)), frame
+    page = f"<article><p>{LONG}</p></article><div class='related'><article><p>Other</p></article></div><div>Outside of it</div>"
+    assert said(page) == [LONG.strip()]
+
+
+def test_links_between_text_stay():
+    page = f"<ul><li><a>Home</a></li><li><a>News</a></li></ul><p>{LONG}</p><ul><li><a>a source</a></li></ul><p><a>{LONG}</a></p><p>{LONG}</p><div><a>x</a></div><div><a>y</a></div>"
+    assert said(page) == [LONG.strip(), "a source", LONG.strip(), LONG.strip()]
+    for frame in ("article", "div"):
+        assert said(f"<{frame}><h1><a href=x>Head</a></h1><p>{LONG}</p><p><a>All of it is a link</a></p></{frame}>") == ["Head", LONG.strip(), "All of it is a link"]
+
+
+def test_omitted_end_tags_end_with_their_element():
+    wanted = [LONG.strip(), "Short."]
+    assert said(f"<ul><li class='share'>Share</ul><p>{LONG}<p>Short.") == wanted
+    assert said(f"<table><tr><td class='sidebar'>Side<tr><td>{LONG}<p>Short.</table>") == wanted
+    assert said(f"<div><p class='ad'>Buy<p>{LONG}<p>Short.</div>") == wanted
+    assert said(f"<div><span hidden>no <b>no</span><p>{LONG}</p></i></div></div><p>Short.") == wanted
+
+
+def brute_spans(lengths, window, surge):
+    sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
+    needed = min(surge, max(sums, default=0) / 2)
+    out = []
+    for a in range(len(sums)):
+        for b in range(a, len(sums)):
+            whole = all(sums[a : b + 1]) and (a == 0 or not sums[a - 1]) and (b == len(sums) - 1 or not sums[b + 1])
+            if whole and max(sums[a : b + 1]) > needed:
+                own = [k for k in range(a, b + 1) if lengths[k]]
+                out.append((own[0], own[-1]))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 30, 90]), max_size=25), st.integers(1, 4), st.integers(1, 120))
+def test_stretches_by_brute_force(lengths, window, surge):
+    assert H.spans(lengths, window, surge) == brute_spans(lengths, window, surge)
+
+
+def test_very_long_pages():
+    import time
+
+    start = time.time()
+    many = "<p>some words of text</p>" * 100_000
+    assert len(said(f"<article>{many}</article>")) == 100_000
+    assert H.main_text("<div class='menu'>" * 50_000 + f"<p>{LONG}</p>") == LONG.strip()
+    assert H.main_text("<b>" * 100_000 + f"<p>{LONG}" + "</i>" * 100_000) == LONG.strip()
+    assert H.main_text(f"<p>{'word ' * 400_000}</p>").count("word") == 400_000
+    assert time.time() - start < 60
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE), (2, None, None), (2, None, None), (3, "v", ""), (None, "w", "<p>x</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' as text", "1 as n_chars")
