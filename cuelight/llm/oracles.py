@@ -95,10 +95,10 @@ seen{k} AS (SELECT left(gram, {k}) AS context, sum(na) AS all_a, sum(nr) AS all_
 model{k} AS (SELECT l.gram, CASE WHEN all_a > 0 THEN (l.na + kinds_a * pa) / (all_a + kinds_a) ELSE pa END AS pa, CASE WHEN all_r > 0 THEN (l.nr + kinds_r * pr) / (all_r + kinds_r) ELSE pr END AS pr
   FROM level{k} l JOIN seen{k} ON context = left(l.gram, {k}) JOIN model{k - 1} b ON b.gram = right(l.gram, {k}))""")
     return f"""
-WITH raw AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)\\A.*?://([^/?#]*)([^?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '(?s)\\A.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-hosts AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM raw),
-parsed AS (SELECT *, host || path AS body, {name} AS rule, {says} AS says FROM hosts),
-bodies AS (SELECT body, any_value(says) AS says, ascii(md5(body)) % 2 AS half FROM parsed GROUP BY body),
+WITH raw AS (SELECT page_id, coalesce(url, '') AS body, regexp_extract(coalesce(url, ''), '(?s)\\A.*?://([^/?#]*)([^?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '(?s)\\A.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+hosts AS (SELECT page_id, body, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM raw),
+parsed AS (SELECT *, {name} AS rule, {says} AS says FROM hosts),
+bodies AS (SELECT body, any_value(says) AS says, ascii(md5(body)) % 2 AS half FROM parsed WHERE body <> '' GROUP BY body),
 grams AS (SELECT body, says, half, substr({start} || body || {stop}, i, {U.ORDER + 1}) AS gram FROM bodies, unnest(range(1, length(body) + 2)) AS r(i)),
 counts AS (SELECT gram, CAST(count(*) FILTER (says = 'allow' AND half = 0) AS DOUBLE) AS na, CAST(count(*) FILTER (says = 'block' AND half = 0) AS DOUBLE) AS nr FROM grams GROUP BY gram),
 single AS (SELECT right(gram, 1) AS gram, sum(na) AS na, sum(nr) AS nr FROM counts GROUP BY 1),
@@ -106,5 +106,5 @@ model0 AS (SELECT gram, (na + 1) / ((SELECT sum(na) FROM single) + {U.ALPHABET})
 scored AS (SELECT body, any_value(says) AS says, avg(ln(pa) - ln(pr)) AS score FROM grams JOIN model{U.ORDER} USING (gram) WHERE says IS NULL OR half = 1 GROUP BY body),
 held AS (SELECT avg(score) FILTER (says = 'allow') AS a, avg(score) FILTER (says = 'block') AS r, coalesce(stddev_samp(score) FILTER (says = 'allow'), 0) AS sa, coalesce(stddev_samp(score) FILTER (says = 'block'), 0) AS sr FROM scored),
 edge AS (SELECT coalesce(CASE WHEN sa + sr > 0 THEN (a * sr + r * sa) / (sa + sr) ELSE (a + r) / 2 END, CAST('-infinity' AS DOUBLE)) AS threshold FROM held)
-SELECT page_id, host, path, rule, coalesce(p.says, CASE WHEN score >= threshold OR p.body = '' THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
+SELECT page_id, host, path, rule, coalesce(p.says, CASE WHEN score >= threshold OR score IS NULL THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
 FROM parsed p LEFT JOIN (SELECT body, score FROM scored WHERE says IS NULL) s USING (body), edge"""
