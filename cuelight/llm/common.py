@@ -20,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share, and read back.
 
-    The folder is the one named by ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none (tests, a single machine).
+    The folder is the one named by ``spark.checkpoint.dir``. Where the session
+    names none, a temporary one is set on a single machine (``local`` masters);
+    elsewhere that is an error, as executors don't share such a folder.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 

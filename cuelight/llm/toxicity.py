@@ -23,16 +23,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import small_text_batches, text_of
+from cuelight.llm.common import small_text_batches, stable, text_of
 
 WORD = re.compile(r"\w+(?:['’*@$!-]\w+)*")
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
-#: Labelled documents that a class gives to the training sample, at most.
-SAMPLE = {1: 1500, 0: 2500}
+#: Labelled documents that a class gives to the training sample, and buckets of all their bags, at most (under 100 MB).
+SAMPLE, SAMPLE_BUCKETS = {1: 1500, 0: 2500}, 8_000_000
 FOLDS = 5
 BATCH = 64
 #: What a bucket's squared gradients start from: more keeps rarely seen buckets nearer to zero.
@@ -47,10 +47,12 @@ class Model(NamedTuple):
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams of a word between its borders, and of the word itself."""
+    """Buckets of the n-grams of a word between its borders, and of the word itself: at most ``BUCKETS`` numbers."""
     marked = f"<{word}>"
-    grams = {marked} | {marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)}
-    return [zlib.crc32(g.encode("utf-8")) % BUCKETS for g in sorted(grams)]
+    found = {zlib.crc32(marked.encode("utf-8")) % BUCKETS}
+    for n in GRAMS:
+        found.update(zlib.crc32(marked[k : k + n].encode("utf-8")) % BUCKETS for k in range(len(marked) - n + 1))
+    return sorted(found)
 
 
 def words(text: str) -> list[str]:
@@ -119,23 +121,28 @@ def train(
 
 
 class Scorer:
-    """Scores of texts under a model, with the scores of the words seen so far."""
+    """Scores of texts under a model, with the scores of the words seen so far; long words aren't kept."""
 
-    KEPT = 500_000
+    KEPT, LONG = 500_000, 40
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
+    def word(self, word: str) -> float:
+        own = subwords(word)
+        return float(self.model.buckets[own].sum()) / len(own)
+
     def score(self, text: str) -> float:
         (found, whole), known = weighted(text), self.known
-        if len(known) > self.KEPT:
-            known.clear()
         total = 0.0
         for w, weight in found.items():
             s = known.get(w)
             if s is None:
-                own = subwords(w)
-                s = known[w] = float(self.model.buckets[own].sum()) / len(own)
+                s = self.word(w)
+                if len(w) <= self.LONG:
+                    if len(known) >= self.KEPT:
+                        known.clear()
+                    known[w] = s
             total += weight * s
         odds = self.model.bias + total / whole
         return 1.0 / (1.0 + float(np.exp(-min(max(odds, -60.0), 60.0))))
@@ -149,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """A model from the labelled rows outside fold 0; None where a class has none.
 
     Of each class, the rows with the smallest hash of the key are taken, at most
-    ``SAMPLE``; their whole texts count.
+    ``SAMPLE``, as long as the bags of those before them have at most
+    ``SAMPLE_BUCKETS`` entries between them; their whole texts count. Of rows that
+    repeat a key one counts, whichever is least.
     """
     small_text_batches(docs.sparkSession)
     known = (
@@ -167,17 +176,30 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [bag(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "ids": [i.tobytes() for i, _ in made], "weights": [w.tobytes() for _, w in made]})
+            yield pd.DataFrame(
+                {"doc_id": b["doc_id"], "label": b["label"], "n": [len(i) for i, _ in made], "ids": [i.tobytes() for i, _ in made], "weights": [w.tobytes() for _, w in made]}
+            )
 
-    rows = (
+    rows = stable(
         docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
-        .join(F.broadcast(chosen), "doc_id")
-        .mapInPandas(bags, f"doc_id {dict(docs.dtypes)[key]}, label int, ids binary, weights binary")
+        .join(F.broadcast(chosen), "doc_id")  # SAMPLE rows at most
+        .dropDuplicates(["doc_id", "text"])
+        .mapInPandas(bags, f"doc_id {dict(docs.dtypes)[key]}, label int, n int, ids binary, weights binary")
+    )
+    told = rows.select("doc_id", "label", "n", F.md5(F.concat("ids", "weights")).alias("print"))
+    told = told.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct("print", "n")).alias("m"))
+    upto = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    told = told.withColumn("upto", F.sum("m.n").over(upto)).where(F.col("upto") <= SAMPLE_BUCKETS // 2).select("doc_id", F.col("m.print").alias("print"))
+    rows = (
+        rows.withColumn("print", F.md5(F.concat("ids", "weights")))
+        .join(told, ["doc_id", "print"], "left_semi")
+        .dropDuplicates(["doc_id"])
+        .select("doc_id", "label", "ids", "weights")
         .toPandas()
     )
     if rows["label"].nunique() < 2:
         return None
-    rows = rows.sort_values(["doc_id", "ids"], ignore_index=True)
+    rows = rows.sort_values("doc_id", ignore_index=True)
     made = [(np.frombuffer(i, np.uint16), np.frombuffer(w, np.float32)) for i, w in zip(rows.pop("ids"), rows.pop("weights"))]
     return train(made, rows["label"].to_numpy(), shares[1] / (shares[0] + shares[1]))
 

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -52,3 +53,45 @@ def test_rows(spark, documents, corpus):
     assert len(got) == documents.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert T.score_documents(documents.limit(0), model).count() == 0
     assert T.drop_toxic(documents, model).columns == documents.columns
+
+
+def brute_score(model, text):
+    """A text's log-odds from the definition: the mean over words, weighted by log counts, of the means over n-grams."""
+    found = re.findall(r"\w+(?:['’*@$!-]\w+)*", text.lower())
+    total, whole = 0.0, T.PADDING
+    for w in sorted(set(found)):
+        marked, weight = f"<{w}>", np.log1p(found.count(w))
+        grams = {marked} | {marked[a : a + n] for n in T.GRAMS for a in range(len(marked)) if a + n <= len(marked)}
+        own = {zlib.crc32(g.encode()) % T.BUCKETS for g in grams}
+        total += weight * np.mean([model.buckets[b] for b in own])
+        whole += weight
+    return 1 / (1 + np.exp(-(model.bias + total / whole)))
+
+
+def test_scores_by_brute_force(spark, corpus):
+    docs, labels = corpus
+    model = T.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.limit(60).collect()} | {5000: "", 5001: "Blorg-face! blorgface; née", 5002: "a b " * 50}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in T.score_documents(df, model).collect():
+        assert abs(r.score - brute_score(model, texts[r.doc_id])) < 1e-6
+
+
+def test_training_is_gradient_descent_on_the_bags():
+    """The trained log-odds of two classes with a bucket each, and of a bucket of neither."""
+    bags = [(np.array([k % 2], np.uint16), np.array([1.0], np.float32)) for k in range(400)]
+    model = T.train(bags, np.array([k % 2 for k in range(400)]), 0.5)
+    assert model.buckets[1] + model.bias > 2 and model.buckets[0] + model.bias < -2 and abs(model.buckets[7]) < 1.0
+
+
+def test_long_words_and_the_bound_of_the_sample(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    model = T.fit(docs, labels)
+    scorer = T.Scorer(model)
+    assert 0 <= scorer.score("x" * 300_000 + " " + "".join(map(chr, range(0x4E00, 0x4E00 + 20_000)))) <= 1 and not scorer.known
+    assert len(T.subwords("".join(map(chr, range(0x4E00, 0x9000))) * 4)) <= T.BUCKETS
+    assert T.fit(docs.unionByName(docs), labels).bias == model.bias  # rows that repeat count once
+    monkeypatch.setattr(T, "SAMPLE_BUCKETS", 40_000)
+    assert T.fit(docs, labels) is not None
+    monkeypatch.setattr(T, "SAMPLE_BUCKETS", 2)
+    assert T.fit(docs, labels) is None
