@@ -34,7 +34,7 @@ def unquoted_episode(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     """
     lines = queries.select("query_id", F.translate("text", "’‘", "''").alias("line"))
     words = lines.select("query_id", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0)))).alias("first"))
-    names = episodes.withColumn("plain", F.translate(F.trim("name"), "’‘", "''")).where(F.size(F.split("plain", r"\s+")) >= 2)
+    names = episodes.withColumn("plain", F.translate(T.trimmed(F.col("name")), "’‘", "''")).where(F.size(F.split("plain", f"[{T.BLANK}]+")) >= 2)
     names = names.withColumn("first", F.regexp_extract("plain", "^([A-Za-z0-9]+|[^A-Za-z0-9])", 1))
     pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), "plain", F.lit(r"\E(?![A-Za-z0-9])"))
     hits = words.join(names, "first").where(F.expr("instr(line, plain) > 0")).where(F.regexp_like("line", pattern))
@@ -50,33 +50,45 @@ def numbered_episode(queries: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def season_scope(queries: DataFrame, episodes: DataFrame) -> DataFrame:
-    """The episodes of the season that a text names, or the one at the end it names."""
-    per = episodes.where("season is not null").groupBy("season").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("episode", "video_id"))), lambda e: e["video_id"]).alias("all_ids"),
-        F.max_by(F.struct("video_id", "name", "season", "episode"), "episode").alias("last"),
-        F.min_by(F.struct("video_id", "name", "season", "episode"), "episode").alias("first"),
-    )
+    """``query_id, n_videos, video_id, season, label``: the season that a text names, or the one episode at the end it names.
+
+    A whole season has no ``video_id``; its episodes are rows of ``episodes``, to be
+    joined by season where they are needed (:func:`scope_of`).
+    """
     asked = queries.select("query_id", T.season_number(F.col("text")).alias("season"), T.season_end(F.col("text")).alias("end"))
-    one = F.when(F.col("end") == "last", F.col("last")).when(F.col("end") == "first", F.col("first"))
-    found = asked.join(per, "season").withColumn("one", one)
-    single = F.format_string("%s (S%dE%d)", "one.name", "one.season", "one.episode")
+    one = F.struct("episode", "video_id", "name")
+    per = episodes.where("season is not null").groupBy("season").agg(F.count("*").alias("n"), F.max(one).alias("last"), F.min(one).alias("first"))
+    found = asked.join(per, "season").withColumn("one", F.when(F.col("end") == "last", F.col("last")).when(F.col("end") == "first", F.col("first")))
+    single = F.col("one").isNotNull()
     return found.select(
         "query_id",
-        F.when(F.col("one").isNotNull(), F.array("one.video_id")).otherwise(F.col("all_ids")).alias("video_ids"),
-        F.when(F.col("one").isNotNull(), single).otherwise(F.format_string("season %d", "season")).alias("label"),
+        F.when(single, F.lit(1)).otherwise(F.col("n")).cast("long").alias("n_videos"),
+        F.col("one.video_id").alias("video_id"),
+        "season",
+        F.when(single, F.format_string("%s (S%dE%d)", "one.name", "season", "one.episode")).otherwise(F.format_string("season %d", "season")).alias("label"),
     )
 
 
+def scope_of(requests: DataFrame, episodes: DataFrame) -> DataFrame:
+    """``query_id, video_id``: the videos that each of :func:`read_requests` names, as rows."""
+    one = requests.where("video_id is not null").select("query_id", "video_id")
+    seasons = requests.where("video_id is null and season is not null").select("query_id", "season")
+    return one.unionByName(seasons.join(episodes.select("season", "video_id"), "season").select("query_id", "video_id"))
+
+
 def read_requests(queries: DataFrame, episodes: DataFrame) -> DataFrame:
-    """``query_id, text, video_ids, label, when``: a quoted name before one in prose, before numbers, before a season.
+    """``query_id, text, video_id, season, label, when``: a quoted name before one in prose, before numbers, before a season.
 
     A quoted name is an address and is taken out of the text, unless nothing
-    would be left; a position is read whatever else is.
+    would be left; a position is read whatever else is. ``season`` is set only
+    where a whole season is meant.
     """
-    quoted = quoted_episode(queries, episodes).select("query_id", F.array("video_id").alias("q_ids"), F.col("label").alias("q_label"))
-    prose = unquoted_episode(queries, episodes).select("query_id", F.array("video_id").alias("u_ids"), F.col("label").alias("u_label"))
-    number = numbered_episode(queries, episodes).select("query_id", F.array("video_id").alias("n_ids"), F.col("label").alias("n_label"))
-    season = season_scope(queries, episodes).select("query_id", F.col("video_ids").alias("s_ids"), F.col("label").alias("s_label"))
+    named = lambda df, k: df.select("query_id", F.struct("video_id", F.lit(None).cast("int").alias("season"), "label").alias(k))
+    quoted = named(quoted_episode(queries, episodes), "q")
+    prose = named(unquoted_episode(queries, episodes), "u")
+    number = named(numbered_episode(queries, episodes), "n")
+    whole = F.when(F.col("video_id").isNull(), F.col("season"))
+    season = season_scope(queries, episodes).select("query_id", F.struct("video_id", whole.alias("season"), "label").alias("s"))
     keys = queries.select("query_id", F.explode(T.quoted_spans(F.col("text"))).alias("span")).withColumn("key", T.comparison_key(F.col("span")))
     known = episodes.select(T.comparison_key(F.col("name")).alias("key")).where("key <> ''").distinct()
     spans = keys.join(known, "key", "left_semi").groupBy("query_id").agg(F.collect_set("span").alias("names"))
@@ -93,11 +105,12 @@ def read_requests(queries: DataFrame, episodes: DataFrame) -> DataFrame:
         ),
     )
     left = T.squeeze(pieces)
-    text = F.when(F.col("q_ids").isNotNull() & (left != ""), left).otherwise(F.trim("text"))
-    return joined.select(
+    text = F.when(F.col("q").isNotNull() & (left != ""), left).otherwise(T.trimmed(F.col("text")))
+    return joined.withColumn("scope", F.coalesce("q", "u", "n", "s")).select(
         "query_id",
         text.alias("text"),
-        F.coalesce("q_ids", "u_ids", "n_ids", "s_ids").alias("video_ids"),
-        F.coalesce("q_label", "u_label", "n_label", "s_label").alias("label"),
+        "scope.video_id",
+        "scope.season",
+        "scope.label",
         T.position_hint(F.col("text")).alias("when"),
     )

@@ -6,7 +6,7 @@ answered by one plan; a query is never a job of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
 from cuelight.functions import vectors as V
+from cuelight.operators.hints import read_requests, scope_of
+from cuelight.session import cut
 
 RRF_K, LEXICAL_WEIGHT, MIN_IDF = 60, 1.5, 6.0
 K1, B = 1.2, 0.75
 DISTINCT_MS, BAND = 20_000, 0.15
+#: Scenes that one search returns at most.
+MOST = 25
 #: Queries of one block of the batch search; a block is what is sent to every task.
 QUERY_BLOCK = 1024
+#: Lines of one chunk, and blocks whose best lines a task holds.
+CHUNK, KEPT_BLOCKS = 4096, 64
 
 
 def over_fetch(limit: int) -> int:
@@ -29,60 +35,55 @@ def over_fetch(limit: int) -> int:
 
 def knn(lines: DataFrame, query: list[float], k: int, title_id: str | None = None) -> DataFrame:
     """The ``k`` nearest lines of one vector, all native; a title is filtered before the search."""
-    scoped = lines if title_id is None else lines.where(F.col("title_id") == title_id)
+    scoped = lines.where("embedding is not null") if title_id is None else lines.where((F.col("title_id") == title_id) & F.col("embedding").isNotNull())
     q = F.array(*[F.lit(float(x)) for x in query])
     return scoped.withColumn("distance", V.cosine_distance(F.col("embedding"), q)).orderBy("distance", "line_id").limit(k)
 
 
-def _block_nearest(lines: DataFrame, block: pd.DataFrame, k: int) -> DataFrame:
-    ids = block["query_id"].to_numpy(np.int64)
-    matrix = np.stack([np.asarray(v, float) for v in block["embedding"]])
-    norms = np.linalg.norm(matrix, axis=1)
-    matrix = matrix / np.where(norms > 0, norms, 1)[:, None]
+def _packed(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    """``rows(key, embedding)`` as rows of up to ``size`` keys and unit vectors, in the bytes of one array each."""
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            x = np.stack([np.asarray(v, float) for v in b["embedding"]])
-            n = np.linalg.norm(x, axis=1)
-            d = np.maximum(0.0, 1 - matrix @ (x / np.where(n > 0, n, 1)[:, None]).T)
-            keep = min(k, d.shape[1])
-            lid = b["line_id"].to_numpy(np.int64)
-            # all of a distance equal to the k-th stay until ids break the tie
-            edge = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-            qi, li = np.nonzero(d <= edge)
-            part = pd.DataFrame({"query_id": ids[qi], "line_id": lid[li], "distance": d[qi, li]})
-            best = part if best is None else pd.concat([best, part])
-            best = best.sort_values(["query_id", "distance", "line_id"]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    return lines.select("line_id", "embedding").mapInPandas(nearest, "query_id long, line_id long, distance double")
+            for k in range(0, len(b), size):
+                part = b.iloc[k : k + size]
+                x = np.stack([np.asarray(v, np.float64) for v in part["embedding"]])
+                n = np.linalg.norm(x, axis=1)
+                unit = x / np.where(n > 0, n, 1)[:, None]
+                yield pd.DataFrame({f"{name}_ids": [part[key].to_numpy(np.int64).tobytes()], f"{name}_units": [unit.tobytes()]})
+
+    return rows.where("embedding is not null").select(key, "embedding").mapInPandas(pack, f"{name}_ids binary, {name}_units binary")
 
 
 def knn_batch(lines: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """``query_id, line_id, distance, rank`` of the ``k`` nearest lines of every query.
+    """``query_id, line_id, distance, rank`` of the ``k`` nearest lines of every query; rows without a vector are left out.
 
-    Queries go in blocks of bounded size against all lines: each task keeps the
-    best ``k`` of its lines for a block by one matrix product a batch, and only
-    those meet in the shuffle.
+    Queries are packed into blocks, lines into chunks, and every block meets every
+    chunk once, as one matrix product. A task keeps the best ``k`` of its chunks
+    for each query, and only those meet in the shuffle. Neither side passes
+    through the driver.
     """
-    parts, rows = [], []
-    for row in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
-        rows.append((row.query_id, row.embedding))
-        if len(rows) == block:
-            parts.append(_block_nearest(lines, pd.DataFrame(rows, columns=["query_id", "embedding"]), k))
-            rows = []
-    if rows:
-        parts.append(_block_nearest(lines, pd.DataFrame(rows, columns=["query_id", "embedding"]), k))
-    if not parts:
-        return lines.sparkSession.createDataFrame([], "query_id long, line_id long, distance double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    pairs = _packed(lines, "line_id", CHUNK, "line").crossJoin(_packed(queries, "query_id", block, "query"))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[bytes, pd.DataFrame] = {}
+        for b in batches:
+            for lid, lu, qid, qu in b[["line_ids", "line_units", "query_ids", "query_units"]].itertuples(index=False):
+                lids, qids = np.frombuffer(lid, np.int64), np.frombuffer(qid, np.int64)
+                d = np.maximum(0.0, 1 - np.frombuffer(qu).reshape(len(qids), -1) @ np.frombuffer(lu).reshape(len(lids), -1).T)
+                keep = min(k, d.shape[1])
+                # all of a distance equal to the k-th stay until ids break the tie
+                edge = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
+                qi, li = np.nonzero(d <= edge)
+                part = pd.DataFrame({"query_id": qids[qi], "line_id": lids[li], "distance": d[qi, li]})
+                both = pd.concat([best[qid], part]) if qid in best else part
+                best[qid] = both.sort_values(["query_id", "distance", "line_id"]).groupby("query_id").head(k)
+                if len(best) > KEPT_BLOCKS:
+                    yield best.pop(next(iter(best)))
+        yield from best.values()
+
     order = Window.partitionBy("query_id").orderBy("distance", "line_id")
+    found = pairs.mapInPandas(nearest, "query_id long, line_id long, distance double")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -91,15 +92,21 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(T.query_terms(F.col("text"))).alias("pos", "term"))
 
 
+def document_frequencies(lines: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, df``: lines that hold each of ``terms(term)``; counted by line in the scan, so what is shuffled are partial counts."""
+    words = lines.select(F.explode(F.array_distinct(T.index_tokens(F.col("text")))).alias("term"))
+    return words.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
+
+
 def postings_of(lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, line_id, tf, len`` of the lines that hold one of ``terms(term)``.
+    """``term, line_id, video_id, tf, len`` of the lines that hold one of ``terms(term)``.
 
     Lengths are counted in the scan and tokens meet the wanted terms before any
     shuffle, so what is shuffled are the hits.
     """
-    tokens = lines.select("line_id", T.index_tokens(F.col("text")).alias("tokens"))
-    hits = tokens.select("line_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term")
-    return hits.groupBy("term", "line_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    tokens = lines.select("line_id", "video_id", T.index_tokens(F.col("text")).alias("tokens"))
+    hits = tokens.select("line_id", "video_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term")
+    return hits.groupBy("term", "line_id").agg(F.first("video_id").alias("video_id"), F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
 def corpus_size(lines: DataFrame) -> DataFrame:
@@ -112,8 +119,7 @@ def corpus_size(lines: DataFrame) -> DataFrame:
 def term_rarity(lines: DataFrame, terms: DataFrame, min_idf: float = MIN_IDF) -> DataFrame:
     """``term, df, total, idf, rare`` of every wanted term; a term that no line holds is not rare."""
     wanted = terms.select("term").distinct()
-    df = postings_of(lines, wanted).groupBy("term").agg(F.count("*").alias("df"))
-    counted = wanted.join(df, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    counted = wanted.join(document_frequencies(lines, wanted), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
     total = lines.agg(F.count("*").alias("total"))
     idf = F.when(F.col("df") > 0, F.log(F.col("total") / F.col("df")))
     return counted.crossJoin(F.broadcast(total)).select(  # one row
@@ -121,30 +127,85 @@ def term_rarity(lines: DataFrame, terms: DataFrame, min_idf: float = MIN_IDF) ->
     )
 
 
-def bm25(lines: DataFrame, queries: DataFrame, k: int, min_idf: float = MIN_IDF) -> DataFrame:
-    """``query_id, line_id, bm25, rank``: the ``k`` best lines by the rare terms of each query.
+def stems(vocabulary: DataFrame) -> DataFrame:
+    """``term, stem`` of a table of distinct terms: stemming runs over the vocabulary, never over the text."""
+
+    @F.pandas_udf("string")
+    def stem_of(terms: pd.Series) -> pd.Series:
+        from cuelight.functions.porter import stem
+        from cuelight.functions.text import without_accents
+
+        return terms.map(lambda t: stem(without_accents(t)))
+
+    return vocabulary.select("term", stem_of("term").alias("stem"))
+
+
+def phrase_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
+    """:func:`postings_of` where a term's index tokens stand next to each other, compared by stem without accents.
+
+    A term with an apostrophe is several tokens of the index, and matches where
+    they follow one another. Tokens meet the wanted stems before the shuffle; a
+    phrase is the place of its first token, found as often as it has tokens.
+    """
+    parts = terms.select("term").distinct().select("term", F.posexplode(T.index_tokens(F.col("term"))).alias("at", "part"))
+    wanted = parts.join(stems(parts.select(F.col("part").alias("term")).distinct()).withColumnRenamed("term", "part"), "part").select("term", "at", "stem")
+    size = wanted.groupBy("term").agg(F.count("*").alias("size"))
+    tokens = lines.select("line_id", "video_id", T.index_tokens(F.col("text")).alias("tokens")).select(
+        "line_id", "video_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("place", "token")
+    )
+    vocabulary = stems(tokens.select(F.col("token").alias("term")).distinct()).withColumnRenamed("term", "token")
+    useful = vocabulary.join(wanted, "stem").select("token", "term", "at")
+    met = tokens.join(useful, "token")
+    starts = met.groupBy("term", "line_id", (F.col("place") - F.col("at")).alias("start")).agg(
+        F.first("video_id").alias("video_id"), F.first("len").alias("len"), F.count("*").alias("n")
+    )
+    whole = starts.join(size, "term").where("n = size")
+    return whole.groupBy("term", "line_id").agg(F.first("video_id").alias("video_id"), F.count("*").alias("tf"), F.first("len").alias("len"))
+
+
+def bm25(lines: DataFrame, queries: DataFrame, k: int | None, min_idf: float = MIN_IDF, stemmed: bool = True, scope: DataFrame | None = None) -> DataFrame:
+    """``query_id, line_id, bm25, rank``: the ``k`` best lines by the rare terms of each query; all of them without ``k``.
 
-    A term counts as often as the query has it. The weight of a term is floored,
-    as it would fall below zero for terms of most lines.
+    ``scope(query_id, video_id)`` keeps each query to its videos: rare is what is
+    rare in them, while weights and lengths are those of the whole index. A term
+    counts as often as the query has it. The weight of a term is floored, as it
+    would fall below zero for terms of most lines.
     """
-    terms = terms_of(queries)
-    hits = postings_of(lines, terms)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    terms = terms_of(queries).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     corpus = F.broadcast(corpus_size(lines))  # one row
+    rare = F.log(F.col("total") / F.col("df")) >= min_idf
     idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weights = df.crossJoin(corpus).where(F.log(F.col("total") / F.col("df")) >= min_idf).select("term", "avg_len", idf.alias("idf"))
+    if stemmed or scope is not None:
+        hits = phrase_hits(lines, terms) if stemmed else postings_of(lines, terms)
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
+        weights = df.crossJoin(corpus).where(rare if scope is None else F.lit(True)).select("term", "avg_len", idf.alias("idf"))
+    else:  # what is rare is known before its postings are gathered
+        weights = document_frequencies(lines, terms).crossJoin(corpus).where(rare).select("term", "avg_len", idf.alias("idf"))
+        hits = postings_of(lines, weights)
+    met = terms.join(weights, "term").join(hits, "term")
+    if scope is not None:
+        met = met.join(scope, ["query_id", "video_id"], "left_semi")
+        total = scope.join(lines.groupBy("video_id").agg(F.count("*").alias("n")), "video_id").groupBy("query_id").agg(F.sum("n").alias("total"))
+        own = met.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(total, "query_id").where(rare).select("query_id", "term")
+        met = met.join(own, ["query_id", "term"], "left_semi")
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = (
-        terms.groupBy("query_id", "term")
-        .agg(F.count("*").alias("times"))
-        .join(weights, "term")
-        .join(hits, "term")
-        .groupBy("query_id", "line_id")
-        .agg(F.round(F.sum(F.col("times") * part), 9).alias("bm25"))
-    )
+    scored = met.groupBy("query_id", "line_id").agg(F.round(F.sum(F.col("times") * part), 9).alias("bm25"))
     order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "line_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def scoped_nearest(lines: DataFrame, queries: DataFrame, scope: DataFrame, k: int) -> DataFrame:
+    """:func:`knn_batch` for queries kept to the videos of ``scope(query_id, video_id)``."""
+    near = (
+        lines.where("embedding is not null")
+        .join(scope, "video_id")
+        .join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+        .select("query_id", "line_id", V.cosine_distance(F.col("embedding"), F.col("q")).alias("distance"))
+    )
+    order = Window.partitionBy("query_id").orderBy("distance", "line_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def fuse(vector: DataFrame, lexical: DataFrame) -> DataFrame:
@@ -180,8 +241,9 @@ def distinct_moments(candidates: DataFrame, limit: int, radius_ms: int = DISTINC
     """Greedy selection in order of ``pos``: no two kept within ``radius_ms`` in one video.
 
     Whether a candidate stays depends on those kept before it, so the candidates
-    of a query, a few hundred by construction, are folded in order. ``carry`` is a
-    column of doubles that comes along.
+    of a query, a few hundred by construction, are folded in order. Where they
+    aren't bounded, :func:`distinct_of_many` does the same. ``carry`` is a column
+    of doubles that comes along.
     """
     carried = F.col(carry).cast("double") if carry else F.lit(None).cast("double")
     one = F.struct(
@@ -200,21 +262,61 @@ def distinct_moments(candidates: DataFrame, limit: int, radius_ms: int = DISTINC
     return rows.select(by, "place", "m.line_id", "m.video_id", "m.start_ms", *([F.col("m.carried").alias(carry)] if carry else []))
 
 
-def hybrid_search(lines: DataFrame, queries: DataFrame, limit: int = 5, min_idf: float = MIN_IDF) -> DataFrame:
+def distinct_of_many(candidates: DataFrame, limit: int, radius_ms: int, order: list[str], by: str = "query_id") -> DataFrame:
+    """:func:`distinct_moments` for any number of candidates a query, in the order of the columns ``order``.
+
+    One round a place: the first candidate of each query that none kept so far is
+    near (a minimum, combined before the shuffle) is kept. Kept ones are at most
+    ``limit`` a query, and are cut from the plan after each round.
+    """
+    one = F.struct(*order, "line_id", "video_id", "start_ms")
+    kind = "array<struct<video_id:string,start_ms:bigint>>"
+    kept, out = None, []
+    for place in range(limit):
+        left = candidates
+        if kept is not None:
+            near = F.exists(F.coalesce("kept", F.array().cast(kind)), lambda x: (x["video_id"] == F.col("video_id")) & (F.abs(x["start_ms"] - F.col("start_ms")) < radius_ms))
+            left = left.join(kept, by, "left").where(~near)
+        best = cut(left.groupBy(by).agg(F.min(one).alias("m")).select(by, F.lit(place).alias("place"), "m.line_id", "m.video_id", "m.start_ms"))
+        out.append(best)
+        every = out[0]
+        for more in out[1:]:
+            every = every.unionByName(more)
+        kept = every.groupBy(by).agg(F.collect_list(F.struct("video_id", F.col("start_ms").cast("long").alias("start_ms"))).alias("kept"))  # at most limit
+    return every
+
+
+def hybrid_search(
+    lines: DataFrame,
+    queries: DataFrame,
+    limit: int = 5,
+    min_idf: float = MIN_IDF,
+    stemmed: bool = True,
+    scope: DataFrame | None = None,
+    prefer: DataFrame | None = None,
+    videos: DataFrame | None = None,
+) -> DataFrame:
     """The best distinct moments of each query, with a score.
 
-    The fused candidates meet the lines once, for place, time and, where only
-    words found a line, its true distance; text joins what is left at the end.
+    ``scope(query_id, video_id)`` keeps all queries to their videos. Lines of the
+    videos of ``prefer(query_id, video_id)`` come first, in the order of
+    :func:`preferred` with ``videos(video_id, runtime_ms)`` and the ``when`` of the
+    queries; others follow, so what a description names wrongly doesn't hide
+    what it describes. The fused candidates meet the lines once, for place, time
+    and, where only words found a line, its true distance; text joins what is left
+    at the end.
     """
     k = over_fetch(limit)
-    fused = fuse(knn_batch(lines, queries, k), bm25(lines, queries, k, min_idf))
+    vector = knn_batch(lines, queries, k) if scope is None else scoped_nearest(lines, queries, scope, k)
+    found = fuse(vector, bm25(lines, queries, k, min_idf, stemmed, scope)).select("query_id", "line_id", "pos")
+    if prefer is not None:
+        words = bm25(lines, queries.join(prefer.select("query_id").distinct(), "query_id", "left_semi"), None, min_idf, stemmed, prefer)
+        first = preferred(lines, queries, prefer, videos, limit, words).select("query_id", "line_id", "pos")
+        found = first.unionByName(found.withColumn("pos", F.col("pos") + limit))
     placed = (
-        fused.join(lines.select("line_id", "video_id", "start_ms", "embedding"), "line_id")
+        found.join(lines.select("line_id", "video_id", "start_ms", "embedding"), "line_id")
         .join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-        .select(
-            "query_id", "pos", "line_id", "video_id", "start_ms",
-            F.coalesce("distance", V.cosine_distance(F.col("embedding"), F.col("q")), F.lit(2.0)).alias("distance"),
-        )
+        .select("query_id", "pos", "line_id", "video_id", "start_ms", F.coalesce(V.cosine_distance(F.col("embedding"), F.col("q")), F.lit(2.0)).alias("distance"))
     )
     kept = distinct_moments(placed, limit, carry="distance").select("query_id", "place", "line_id", "distance")
     return kept.join(lines.select("line_id", "title_id", "video_id", "start_ms", "end_ms", "text"), "line_id").select(
@@ -222,74 +324,65 @@ def hybrid_search(lines: DataFrame, queries: DataFrame, limit: int = 5, min_idf:
     )
 
 
-def preferred(lines: DataFrame, queries: DataFrame, videos: DataFrame, limit: int) -> DataFrame:
-    """All lines of each query's named videos, by band and then distance.
+def preferred(lines: DataFrame, queries: DataFrame, scope: DataFrame, videos: DataFrame, limit: int, words: DataFrame | None = None) -> DataFrame:
+    """The first ``limit`` lines of each query's videos in ``scope(query_id, video_id)``.
 
-    ``queries`` has ``video_ids`` and ``when`` besides; the band orders before the
-    limit cuts.
+    All lines of those videos are ranked by distance, fused with ``words`` (ranked
+    as :func:`bm25` does) where given, and those in the part of the video that
+    ``when`` of the query asks for come first; that orders before the limit cuts.
     """
-    scope = queries.select("query_id", F.explode("video_ids").alias("video_id"), "when", F.col("embedding").alias("q"))
-    found = lines.join(scope, "video_id").join(videos.select("video_id", "runtime_ms"), "video_id", "left")
-    found = found.select(
-        "query_id",
-        "line_id",
-        "video_id",
-        "start_ms",
-        F.round(V.cosine_distance(F.col("embedding"), F.col("q")), 9).alias("distance"),
-        band(F.col("start_ms"), F.col("runtime_ms"), F.col("when")).alias("band"),
+    found = (
+        lines.join(scope, "video_id")
+        .join(queries.select("query_id", "when", F.col("embedding").alias("q")), "query_id")
+        .join(videos.select("video_id", "runtime_ms"), "video_id", "left")
+        .select(
+            "query_id",
+            "line_id",
+            F.round(F.coalesce(V.cosine_distance(F.col("embedding"), F.col("q")), F.lit(2.0)), 9).alias("distance"),
+            band(F.col("start_ms"), F.col("runtime_ms"), F.col("when")).alias("band"),
+        )
     )
-    order = Window.partitionBy("query_id").orderBy("band", "distance", "line_id")
-    return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
-
-
-def context(lines: DataFrame, moments: DataFrame, pad_ms: int = 15_000) -> DataFrame:
-    """Lines of a moment's video that overlap it, padded; an equi-join with a range on top."""
-    m = moments.select("moment_id", "video_id", F.col("start_ms").alias("lo"), F.col("end_ms").alias("hi"))
-    return lines.join(m, "video_id").where((F.col("end_ms") > F.col("lo") - pad_ms) & (F.col("start_ms") < F.col("hi") + pad_ms)).drop("lo", "hi")
-
-
-def stems(vocabulary: DataFrame) -> DataFrame:
-    """``term, stem`` of a table of distinct terms: stemming runs over the vocabulary, never over the text."""
-
-    @F.pandas_udf("string")
-    def stem_of(terms: pd.Series) -> pd.Series:
-        from cuelight.functions.porter import stem
-
-        return terms.map(stem)
-
-    return vocabulary.select("term", stem_of("term").alias("stem"))
-
-
-def phrase_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, line_id, tf`` where a term's index tokens stand next to each other, compared by stem.
-
-    A term with an apostrophe is several tokens of the index, and matches where
-    they follow one another. Tokens meet the wanted stems before the shuffle; a
-    phrase is the place of its first token, found as often as it has tokens.
+    if words is None:
+        order = Window.partitionBy("query_id").orderBy("band", "distance", "line_id")
+        return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "line_id")))
+    fused = fuse(ranked, words).select("query_id", "line_id", "pos")
+    order = Window.partitionBy("query_id").orderBy("band", "pos")
+    return found.join(fused.withColumnRenamed("pos", "fused"), ["query_id", "line_id"]).withColumnRenamed("fused", "pos").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
+
+
+def scene_search(lines: DataFrame, videos: DataFrame, queries: DataFrame, limit: int = 5, embed: Callable[[Column], Column] = V.hash_embedding, min_idf: float = MIN_IDF) -> DataFrame:
+    """Scenes for descriptions ``queries(query_id, text)``, which may have a ``title_id``.
+
+    ``videos(video_id, title_id, name, season, episode, runtime_ms)`` are the
+    episodes that descriptions can name; lines of other videos or without a title
+    aren't found. A title keeps a query to its videos; a named episode or season
+    comes first and the rest of the scope after it. A blank description finds
+    nothing. ``limit`` is bounded by :data:`MOST`.
     """
-    parts = terms.select("term").distinct().select("term", F.posexplode(T.index_tokens(F.col("term"))).alias("at", "part"))
-    wanted = parts.join(stems(parts.select(F.col("part").alias("term")).distinct()).withColumnRenamed("term", "part"), "part").select("term", "at", "stem")
-    size = wanted.groupBy("term").agg(F.count("*").alias("size"))
-    tokens = lines.select("line_id", F.posexplode(T.index_tokens(F.col("text"))).alias("place", "token"))
-    vocabulary = stems(tokens.select(F.col("token").alias("term")).distinct()).withColumnRenamed("term", "token")
-    useful = vocabulary.join(wanted.select("stem").distinct(), "stem", "left_semi")
-    met = tokens.join(useful, "token").join(wanted, "stem")
-    starts = met.groupBy("term", "line_id", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("n"))
-    return starts.join(size, "term").where("n = size").groupBy("term", "line_id").agg(F.count("*").alias("tf"))
-
-
-def stemmed_bm25(lines: DataFrame, queries: DataFrame, k: int, min_idf: float = MIN_IDF) -> DataFrame:
-    """:func:`bm25` over stems and phrases."""
-    terms = terms_of(queries)
-    lengths = lines.select("line_id", F.size(T.index_tokens(F.col("text"))).alias("len"))
-    hits = phrase_hits(lines, terms).join(lengths, "line_id")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = F.broadcast(corpus_size(lines))  # one row
-    idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weights = df.crossJoin(corpus).where(F.log(F.col("total") / F.col("df")) >= min_idf).select("term", "avg_len", idf.alias("idf"))
-    tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = terms.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(weights, "term").join(hits, "term")
-    scored = scored.groupBy("query_id", "line_id").agg(F.round(F.sum(F.col("times") * part), 9).alias("bm25"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "line_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    limit = min(limit, MOST)
+    known = videos.where("title_id is not null")
+    asked = queries.where(T.trimmed(F.col("text")) != "")
+    requests = read_requests(asked.select("query_id", "text"), known).withColumn("embedding", embed(F.col("text")))
+    own = lines.join(known.select("video_id"), "video_id", "left_semi")
+    scope = asked.where("title_id is not null").select("query_id", "title_id").join(known.select("video_id", "title_id"), "title_id").select("query_id", "video_id") if "title_id" in queries.columns else None
+    prefer = scope_of(requests, known)
+    if scope is None:
+        return hybrid_search(own, requests, limit, min_idf, prefer=prefer, videos=known)
+    titled = asked.where("title_id is not null").select("query_id")
+    inside = hybrid_search(own, requests.join(titled, "query_id", "left_semi"), limit, min_idf, scope=scope, prefer=prefer.join(scope, ["query_id", "video_id"], "left_semi"), videos=known)
+    return inside.unionByName(hybrid_search(own, requests.join(titled, "query_id", "left_anti"), limit, min_idf, prefer=prefer, videos=known))
+
+
+def context(lines: DataFrame, moments: DataFrame, pad_ms: int = 15_000, bucket_ms: int = 60_000) -> DataFrame:
+    """Lines of a moment's video that overlap it, padded.
+
+    Lines and moments meet in stretches of ``bucket_ms`` of a video, so a video of
+    many lines isn't one group; a pair counts in the first stretch that both touch.
+    """
+    stretch = lambda ms: F.floor(ms / bucket_ms)
+    m = moments.select("moment_id", "video_id", (F.col("start_ms") - pad_ms).alias("lo"), (F.col("end_ms") + pad_ms).alias("hi"))
+    m = m.withColumn("from", stretch(F.col("lo"))).withColumn("bucket", F.explode(F.sequence("from", stretch(F.col("hi")))))
+    spread = lines.withColumn("since", stretch(F.col("start_ms"))).withColumn("bucket", F.explode(F.sequence("since", stretch(F.greatest("start_ms", "end_ms")))))
+    met = spread.join(m, ["video_id", "bucket"]).where((F.col("end_ms") > F.col("lo")) & (F.col("start_ms") < F.col("hi")))
+    return met.where(F.col("bucket") == F.greatest("from", "since")).drop("lo", "hi", "from", "since", "bucket")

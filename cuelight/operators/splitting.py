@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
 
+# The marker line of a promoted post, the lines that close one, and a line that is one quotation.
+OPENS, CLOSES = r"(?i)\A(ad|promoted)\z", r"(?i)\Athumbnail image:|\A[a-z0-9-]+(\.[a-z0-9-]+)+\z"
+WRAPPED = "\\A['‘]([^'‘’]+)['’]\\z"
+
 
 def drop_promoted(lines: DataFrame, reach: int = 12) -> DataFrame:
     """``lines(doc_id, pos, line)`` without promoted posts.
@@ -16,12 +20,12 @@ def drop_promoted(lines: DataFrame, reach: int = 12) -> DataFrame:
     A marker inside an open post opens nothing, so the posts of a paste are
     found by a fold over the places of its markers and closers only.
     """
-    trimmed = F.trim("line")
+    trimmed = T.trimmed(F.col("line"))
     marks = lines.select(
         "doc_id",
         "pos",
-        F.regexp_like(trimmed, F.lit("(?i)^(ad|promoted)$")).alias("opens"),
-        F.regexp_like(trimmed, F.lit(r"(?i)^thumbnail image:|^[a-z0-9-]+(\.[a-z0-9-]+)+$")).alias("closes"),
+        F.regexp_like(trimmed, F.lit(OPENS)).alias("opens"),
+        F.regexp_like(trimmed, F.lit(CLOSES)).alias("closes"),
     )
     after = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, reach - 1)
     spans = marks.withColumn("end", F.min(F.when(F.col("closes"), F.col("pos"))).over(after)).where("opens and end is not null")
@@ -46,7 +50,7 @@ def split_descriptions(pastes: DataFrame, episodes: DataFrame | None = None, run
     body = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
     lines = pastes.select("doc_id", F.posexplode(F.split(body, "\n")).alias("pos", "line"))
     clean = drop_promoted(lines).select("doc_id", "pos", T.normalise_line(F.col("line")).alias("line"))
-    spans = F.filter(F.transform(T.quoted_spans(F.col("line")), F.trim), T.usable)
+    spans = F.filter(F.transform(T.quoted_spans(F.col("line")), T.trimmed), T.usable)
     if episodes is None:
         quotes = clean.withColumn("quotes", spans)
     else:
@@ -55,7 +59,7 @@ def split_descriptions(pastes: DataFrame, episodes: DataFrame | None = None, run
         said = each.join(names, "key", "left_anti").groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "span"))).alias("q"))
         quotes = clean.join(said.select("doc_id", "pos", F.transform("q", lambda s: s["span"]).alias("quotes")), ["doc_id", "pos"], "left")
         quotes = quotes.withColumn("quotes", F.coalesce("quotes", F.array().cast("array<string>")))
-    unwrapped = F.trim(F.regexp_replace("line", "^['‘]([^'‘’]+)['’]$", "$1"))
+    unwrapped = T.trimmed(F.regexp_replace("line", WRAPPED, "$1"))
     parts = F.when(F.size("quotes") > 0, F.transform("quotes", lambda q: F.struct(q.alias("text"), F.lit(True).alias("quote")))).otherwise(
         F.array(F.struct(unwrapped.alias("text"), F.lit(False).alias("quote")))
     )

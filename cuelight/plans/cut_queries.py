@@ -65,18 +65,18 @@ SELECT cut_id, pos, greatest(0, start_ms - 15000) AS window_start, end_ms + 1500
        greatest(s + 250, least(end_ms + 15000, e + 987)) - end_ms AS pad_after FROM bounds"""
 
 
-def _with_cues(spark: SparkSession, sf_dir: str, by: int) -> DataFrame:
-    """Clips of the conversations' videos: one for each window of cues, with all cues of the video."""
+def _with_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clip around each cue of the conversations' videos, with all cues of the video."""
     cues = views.cues(spark, sf_dir)
     all_cues = cues.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "cue", "text"))).alias("cues"))
-    marks = cues.where(F.col("cue") % by == 0).select(
+    marks = cues.select(
         "video_id", "cue", (F.col("start_ms") + F.col("cue") * 37 - 180).alias("s"), (F.col("end_ms") + 2300 - F.col("cue") * 53).alias("e"), F.col("start_ms").alias("m_start"), F.col("end_ms").alias("m_end")
     )
     return marks.join(all_cues, "video_id")
 
 
 def snap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _with_cues(spark, sf_dir, 1).withColumn("points", _points())
+    c = _with_cues(spark, sf_dir).withColumn("points", _points())
     return c.select("video_id", "cue", C.snap(F.col("s"), F.col("points")).alias("start_ms"), C.snap(F.col("e"), F.col("points")).alias("end_ms"))
 
 
@@ -100,7 +100,7 @@ SNAP_SQL = f"WITH {MARKS_SQL} SELECT video_id, cue, {_snap_sql('s')} AS start_ms
 
 
 def next_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _with_cues(spark, sf_dir, 1).withColumn("points", _points())
+    c = _with_cues(spark, sf_dir).withColumn("points", _points())
     return c.select(
         "video_id", "cue", C.next_boundary(F.col("points"), F.col("s"), True).alias("after"), C.next_boundary(F.col("points"), F.col("s"), False).alias("before")
     )
@@ -114,7 +114,7 @@ SELECT m.video_id, m.cue, (SELECT min(p) FROM edges g WHERE g.video_id = m.video
 
 def trim_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be done to each clip: a line added at either side, or dropped there, within reach."""
-    c = _with_cues(spark, sf_dir, 2)
+    c = _with_cues(spark, sf_dir)
     s, e, g = F.col("s"), F.col("e"), C.GRACE
     lo, hi = C.window_start(F.col("m_start")), C.window_end(F.col("m_end"))
     start_ok = lambda x: (x >= lo) & (x <= e - C.MIN_CLIP)
@@ -138,7 +138,7 @@ def trim_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ACTIONS_SQL = f"""
 WITH {MARKS_SQL},
-m AS (SELECT *, greatest(0, m_start - 15000) AS lo, m_end + 15000 AS hi FROM marks WHERE cue % 2 = 0),
+m AS (SELECT *, greatest(0, m_start - 15000) AS lo, m_end + 15000 AS hi FROM marks),
 c AS (SELECT m.video_id, m.cue, any_value(s) AS s, any_value(e) AS e, any_value(lo) AS lo, any_value(hi) AS hi,
         arg_max(x.start_ms, struct_pack(a := x.start_ms, b := x.end_ms, c := x.cue)) FILTER (x.end_ms <= s + 150) AS before,
         arg_min(x.end_ms, struct_pack(a := x.start_ms, b := x.end_ms, c := x.cue)) FILTER (x.start_ms >= e - 150) AS after_,
@@ -232,7 +232,7 @@ FROM cues c LEFT JOIN (SELECT * FROM cues WHERE cue % 3 = 0) e ON e.video_id = c
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _with_cues(spark, sf_dir, 2)
+    c = _with_cues(spark, sf_dir)
     inside = F.filter("cues", lambda x: (x["end_ms"] > F.col("s")) & (x["start_ms"] < F.col("e")))
     return c.select("video_id", "cue", "s", "e", F.explode(inside).alias("x")).select(
         "video_id", "cue", F.col("x.cue").alias("of"), F.greatest(F.lit(0), F.col("x.start_ms") - F.col("s")).alias("start_ms"),
@@ -247,7 +247,7 @@ def clip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTS_SQL = f"""
 {MARKS_SQL},
 clip_cues AS (SELECT m.video_id, m.cue, x.cue AS "of", greatest(0, x.start_ms - s) AS start_ms, least(e - s, x.end_ms - s) AS end_ms, x.text
-            FROM marks m JOIN cues x USING (video_id) WHERE m.cue % 2 = 0 AND x.end_ms > s AND x.start_ms < e)
+            FROM marks m JOIN cues x USING (video_id) WHERE x.end_ms > s AND x.start_ms < e)
 """
 ASS_TIME = "(greatest(0, {0}) // 3600000) || ':' || lpad(CAST(greatest(0, {0}) // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(greatest(0, {0}) // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(greatest(0, {0}) // 10 % 100 AS VARCHAR), 2, '0')"
 

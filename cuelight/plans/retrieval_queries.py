@@ -78,7 +78,7 @@ def term_df_idf_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.bm25(views.lines(spark, sf_dir), views.requests(spark, sf_dir), 10, min_idf=3.0)
+    found = R.bm25(views.lines(spark, sf_dir), views.requests(spark, sf_dir), 10, min_idf=3.0, stemmed=False)
     return found.select("query_id", "line_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
@@ -96,7 +96,7 @@ lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id OR
 def _vector_sql(k: int) -> str:
     return f"""
 vector AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, line_id) AS rank
-  FROM (SELECT a.query_id, b.line_id, {DISTANCE} AS distance FROM requests a, lines b)) WHERE rank <= {k})
+  FROM (SELECT a.query_id, b.line_id, {DISTANCE} AS distance FROM requests a, lines b WHERE b.embedding IS NOT NULL)) WHERE rank <= {k})
 """
 
 
@@ -111,7 +111,7 @@ fused AS (
 
 def _fused(spark: SparkSession, sf_dir: str, min_idf: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines, queries = views.lines(spark, sf_dir), views.requests(spark, sf_dir)
-    return lines, queries, R.fuse(R.knn_batch(lines, queries, 40), R.bm25(lines, queries, 40, min_idf))
+    return lines, queries, R.fuse(R.knn_batch(lines, queries, 40), R.bm25(lines, queries, 40, min_idf, stemmed=False))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def distance_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: five distinct moments for every description."""
-    found = R.hybrid_search(views.lines(spark, sf_dir), views.requests(spark, sf_dir), 5, min_idf=3.0)
+    found = R.hybrid_search(views.lines(spark, sf_dir), views.requests(spark, sf_dir), 5, min_idf=3.0, stemmed=False)
     return found.select("query_id", "place", "line_id", "title_id", "video_id", "start_ms", "score")
 
 
@@ -143,7 +143,7 @@ walk AS (
   FROM walk WHERE i <= len(c) AND len(kept) < 5),
 done AS (SELECT query_id, arg_max(kept, i) AS kept FROM walk GROUP BY query_id),
 best AS (SELECT query_id, i - 1 AS place, kept[i].line_id AS line_id FROM done, unnest(range(1, len(kept) + 1)) AS r(i))
-SELECT b.query_id, CAST(place AS INT) AS place, b.line_id, l.title_id, l.video_id, l.start_ms, round(greatest(0, 1 - ({DISTANCE.replace('b.embedding', 'l.embedding')}) / 2), 6) AS score
+SELECT b.query_id, CAST(place AS INT) AS place, b.line_id, l.title_id, l.video_id, l.start_ms, CASE WHEN l.embedding IS NULL THEN 0 ELSE round(greatest(0, 1 - ({DISTANCE.replace('b.embedding', 'l.embedding')}) / 2), 6) END AS score
 FROM best b JOIN lines l USING (line_id) JOIN requests a ON a.query_id = b.query_id"""
 
 
@@ -154,18 +154,14 @@ def micros(ts: str) -> Column:
     return F.expr(f"cast(({part('day')} * 86400 + {part('hour')} * 3600 + {part('minute')} * 60 + {part('second')}) * 1000000 as long)")
 
 
-def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.table(spark, sf_dir, "events")
-    order = Window.partitionBy("hour").orderBy(F.desc("value"), "event_id")
-    hour = F.floor(micros("ts") / 3_600_000_000)
-    return e.withColumn("hour", hour).select(
-        F.col("hour").alias("query_id"), F.row_number().over(order).alias("pos"), F.col("event_id").alias("line_id"), (F.col("user_id") % 3).cast("string").alias("video_id"), F.floor(micros("ts") / 1000).alias("start_ms")
-    )
-
-
 def greedy_distinct_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each hour by value, no two kept of one video within five minutes."""
-    return R.distinct_moments(_moments(spark, sf_dir), 8, 300_000)
+    e = views.table(spark, sf_dir, "events")
+    moments = e.select(
+        F.floor(micros("ts") / 3_600_000_000).alias("query_id"), (-F.col("value")).alias("order"), F.col("event_id").alias("line_id"),
+        (F.col("user_id") % 3).cast("string").alias("video_id"), F.floor(micros("ts") / 1000).alias("start_ms"),
+    )
+    return R.distinct_of_many(moments, 8, 300_000, ["order"])
 
 
 GREEDY_SQL = """
@@ -190,17 +186,17 @@ def position_band_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = views.requests(spark, sf_dir).select(
         "query_id",
         "embedding",
-        F.array(F.when(F.col("query_id") % 2 == 0, "en").otherwise("de"), F.lit("fr")).alias("video_ids"),
         F.when(F.col("query_id") % 3 == 0, "opening").when(F.col("query_id") % 3 == 1, "ending").alias("when"),
     )
-    return R.preferred(lines, queries, videos, 5).select("query_id", "line_id", "band", "pos")
+    named = F.explode(F.array(F.when(F.col("query_id") % 2 == 0, "en").otherwise("de"), F.lit("fr")))
+    return R.preferred(lines, queries, queries.select("query_id", named.alias("video_id")), videos, 5).select("query_id", "line_id", "band", "pos")
 
 
 BAND_SQL = f"""
 WITH {LINES_SQL}, {REQUESTS_SQL},
 videos AS (SELECT video_id, max(end_ms) AS runtime_ms FROM lines GROUP BY video_id),
 q AS (SELECT query_id, embedding, CASE query_id % 3 WHEN 0 THEN 'opening' WHEN 1 THEN 'ending' END AS w, unnest([CASE WHEN query_id % 2 = 0 THEN 'en' ELSE 'de' END, 'fr']) AS video_id FROM requests),
-s AS (SELECT a.query_id, b.line_id, round({DISTANCE}, 9) AS d,
+s AS (SELECT a.query_id, b.line_id, round(CASE WHEN b.embedding IS NULL THEN 2 ELSE {DISTANCE} END, 9) AS d,
         CASE WHEN w IS NULL THEN 0 WHEN w = 'opening' AND runtime_ms > 0 AND start_ms <= CAST(runtime_ms AS DOUBLE) * CAST(0.15 AS DOUBLE) THEN 0
              WHEN w = 'ending' AND runtime_ms > 0 AND start_ms >= CAST(runtime_ms AS DOUBLE) * CAST(0.85 AS DOUBLE) THEN 0 ELSE 1 END AS band
       FROM q a JOIN lines b USING (video_id) JOIN videos USING (video_id))
@@ -221,7 +217,7 @@ WHERE m.line_id % 50 = 0 AND l.end_ms > m.start_ms - 15000 AND l.start_ms < m.en
 
 
 def stemmed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.stemmed_bm25(views.lines(spark, sf_dir), views.requests(spark, sf_dir), 10, min_idf=3.0)
+    found = R.bm25(views.lines(spark, sf_dir), views.requests(spark, sf_dir), 10, min_idf=3.0)
     return found.select("query_id", "line_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
@@ -263,7 +259,7 @@ FROM (SELECT DISTINCT term FROM terms) LEFT JOIN df USING (term), corpus""",
     "bm25_topk": f"WITH {LINES_SQL}, {REQUESTS_SQL}, {TERMS_SQL}, {TOKENS_SQL}, {_bm25_sql(10, 3.0)} SELECT query_id, line_id, round(bm25, 6) AS bm25, CAST(rank AS INT) AS rank FROM lexical",
     "rrf_fusion": f"WITH {LINES_SQL}, {REQUESTS_SQL}, {TERMS_SQL}, {TOKENS_SQL}, {_bm25_sql(40, 3.0)}, {_vector_sql(40)}, {FUSED_SQL} SELECT query_id, line_id, CAST(v_rank AS INT) AS v_rank, CAST(l_rank AS INT) AS l_rank, round(rrf, 9) AS rrf, CAST(pos AS INT) AS pos FROM fused",
     "distance_backfill": f"""WITH {LINES_SQL}, {REQUESTS_SQL}, {TERMS_SQL}, {TOKENS_SQL}, {_bm25_sql(40, 3.0)}, {_vector_sql(40)}, {FUSED_SQL}
-SELECT f.query_id, f.line_id, round({DISTANCE}, 6) AS distance, round(greatest(0, 1 - {DISTANCE} / 2), 6) AS score
+SELECT f.query_id, f.line_id, round(CASE WHEN b.embedding IS NULL THEN 2 ELSE {DISTANCE} END, 6) AS distance, round(CASE WHEN b.embedding IS NULL THEN 0 ELSE greatest(0, 1 - {DISTANCE} / 2) END, 6) AS score
 FROM fused f JOIN requests a ON a.query_id = f.query_id JOIN lines b ON b.line_id = f.line_id""",
     "hybrid_search": HYBRID_SQL,
     "greedy_distinct_moments": GREEDY_SQL,

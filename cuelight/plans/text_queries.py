@@ -40,17 +40,24 @@ def srt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles.parse_subtitles(subtitle_files(spark, sf_dir))
 
 
-SPACES = "\\s+"
+B = T.BLANK
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def squeeze_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[{B}]+', ' ', 'g'))"
 
 
 def clean_sql(x: str) -> str:
-    """The cleaning of a cue in the other engine's dialect; line anchors need its multi-line flag."""
-    for p in (r"<[^>]+>", r"\{[^}]*\}", r"\[[^\]]*\]", r"\([^)]*\)"):
-        x = f"regexp_replace({x}, '{p}', ' ', 'g')"
-    x = f"regexp_replace({x}, '(?m)^\\s*[A-Z][A-Z0-9 .''#-]{{1,24}}:\\s*', '', 'g')"
-    x = f"regexp_replace({x}, '[♪♫]', ' ', 'g')"
-    x = f"regexp_replace({x}, '(?m)^\\s*[-–—]\\s*', ' ', 'g')"
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    """Words of the lines of a cue: each line is matched whole, and what follows label, music and dash is taken."""
+    for opens, closes, times in T.PAIRS:
+        x = f"regexp_replace({x}, '\\{opens}[^\\{closes}]{times}\\{closes}', ' ', 'g')"
+    rest = f"regexp_extract(l, '(?s)\\A[{B}]*(?:{_quoted(T.SPEAKER)})?(.*)', 1)"
+    said = f"regexp_extract(translate({rest}, '{T.MUSIC}', '  '), '(?s)\\A(?:[{B}]*[{T.DASHES}])?(.*)', 1)"
+    return squeeze_sql(f"array_to_string(list_transform(regexp_split_to_array({x}, '{T.LINE_END}'), lambda l: {said}), ' ')")
 
 
 def shout_sql(c: str) -> str:
@@ -151,19 +158,22 @@ prompts AS (
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth part as an episode; numbers repeat over the seasons."""
+    """Every part as an episode of one of six seasons."""
     k = F.col("p_partkey")
-    return views.table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(
-        k.cast("string").alias("video_id"), F.coalesce("p_name", F.lit("")).alias("name"), (F.floor(k / 4) % 6 + 1).cast("int").alias("season"), F.floor(k / 24).cast("int").alias("episode")
+    return views.table(spark, sf_dir, "part").select(
+        k.cast("string").alias("video_id"), F.coalesce("p_name", F.lit("")).alias("name"), (k % 6 + 1).cast("int").alias("season"), F.floor(k / 6).cast("int").alias("episode")
     )
 
 
 EPISODES_SQL = """
 episodes AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS video_id, coalesce(p_name, '') AS name, CAST(p_partkey // 4 % 6 + 1 AS INT) AS season, CAST(p_partkey // 24 AS INT) AS episode
-  FROM part WHERE p_partkey % 4 = 0)
+  SELECT CAST(p_partkey AS VARCHAR) AS video_id, coalesce(p_name, '') AS name, CAST(p_partkey % 6 + 1 AS INT) AS season, CAST(p_partkey // 6 AS INT) AS episode
+  FROM part)
 """
-KEY_SQL = "lower(regexp_replace(trim(translate({0}, '’‘', '''''')), '[.,!?;:\\s]+$', ''))"
+def key_sql(c: str) -> str:
+    return f"lower(regexp_replace(regexp_replace(translate({c}, '’‘', ''''''), '\\A[{B}]+', ''), '[.,!?;:{B}]+\\z', ''))"
+
+
 SPANS_SQL = "regexp_extract_all({0}, '[\"“]([^\"“”]+)[\"”]', 1)"
 
 
@@ -187,8 +197,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, video_id)
 
 
 def season_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hints.season_scope(prompts(spark, sf_dir), episodes(spark, sf_dir))
-    return found.select("query_id", F.size("video_ids").cast("long").alias("n_videos"), F.sha2(F.array_join("video_ids", ","), 256).alias("ids_sha256"), "label")
+    return hints.season_scope(prompts(spark, sf_dir), episodes(spark, sf_dir)).drop("season")
 
 
 SEASON_SQL = f"""
@@ -199,12 +208,11 @@ asked AS (
     CAST(nullif(list_position(['one','two','three','four','five','six','seven','eight','nine','ten'], lower(regexp_extract(text, '(?i)\\bseason\\s+([a-z]+)\\b', 1))), 0) AS INT)) AS season,
     CASE WHEN regexp_matches(text, '(?i)\\b(finale|final episode|last episode)\\b') THEN 'last' WHEN regexp_matches(text, '(?i)\\b(premiere|première|first episode)\\b') THEN 'first' END AS e
   FROM prompts),
-per AS (SELECT season, list(video_id ORDER BY episode, video_id) AS ids, arg_max(video_id, episode) AS l, arg_max(name || ' (S' || season || 'E' || episode || ')', episode) AS ll,
-          arg_min(video_id, episode) AS f, arg_min(name || ' (S' || season || 'E' || episode || ')', episode) AS fl FROM episodes GROUP BY season)
-SELECT query_id, CASE WHEN e IS NULL THEN len(ids) ELSE 1 END AS n_videos,
-       sha256(CASE e WHEN 'last' THEN l WHEN 'first' THEN f ELSE array_to_string(ids, ',') END) AS ids_sha256,
-       CASE e WHEN 'last' THEN ll WHEN 'first' THEN fl ELSE 'season ' || season END AS label
-FROM asked JOIN per USING (season)"""
+ends AS (SELECT *, count(*) OVER s AS n, row_number() OVER (s ORDER BY episode, video_id) AS up, row_number() OVER (s ORDER BY episode DESC, video_id DESC) AS down
+         FROM episodes WINDOW s AS (PARTITION BY season))
+SELECT query_id, CASE WHEN e IS NULL THEN n ELSE 1 END AS n_videos, CASE WHEN e IS NOT NULL THEN video_id END AS video_id,
+       CASE WHEN e IS NULL THEN 'season ' || season ELSE name || ' (S' || season || 'E' || episode || ')' END AS label
+FROM asked JOIN ends USING (season) WHERE CASE WHEN e = 'last' THEN down ELSE up END = 1"""
 
 
 def position_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,8 +231,8 @@ def episode_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAME_SQL = f"""
 WITH {PROMPTS_SQL}, {EPISODES_SQL},
-spans AS (SELECT query_id, i AS ord, {KEY_SQL.format('s[i]')} AS key FROM (SELECT query_id, {SPANS_SQL.format('text')} AS s FROM prompts), unnest(range(1, len(s) + 1)) AS r(i)),
-named AS (SELECT *, {KEY_SQL.format('name')} AS key FROM episodes),
+spans AS (SELECT query_id, i AS ord, {key_sql('s[i]')} AS key FROM (SELECT query_id, {SPANS_SQL.format('text')} AS s FROM prompts), unnest(range(1, len(s) + 1)) AS r(i)),
+named AS (SELECT *, {key_sql('name')} AS key FROM episodes),
 quoted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, season, episode, video_id) AS n FROM spans JOIN named USING (key) WHERE key <> ''),
 prose AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, season, episode, video_id) AS n
@@ -236,8 +244,7 @@ UNION ALL SELECT query_id, video_id, name || ' (S' || season || 'E' || episode |
 
 
 def scene_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = hints.read_requests(prompts(spark, sf_dir), episodes(spark, sf_dir))
-    return r.select("query_id", "text", F.size("video_ids").cast("long").alias("n_videos"), "label", "when")
+    return hints.read_requests(prompts(spark, sf_dir), episodes(spark, sf_dir)).select("query_id", "text", "video_id", "season", "label", "when")
 
 
 # ---- pasted text --------------------------------------------------------------
@@ -250,20 +257,19 @@ def split_lines_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normal_sql(x: str) -> str:
-    x = f"regexp_replace({x}, '^(?:\\s*(?:[-–—*•·>]+\\s*|[0-9]{{1,3}}\\s*[.)\\]:]\\s+|#[0-9]{{1,3}}\\s+))+', '')"
-    x = f"regexp_replace({x}, '(?s)```.*?```', ' ', 'g')"
-    x = f"regexp_replace({x}, '`([^`]*)`', '\\1', 'g')"
-    x = f"regexp_replace({x}, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')"
-    x = f"regexp_replace({x}, '\\*\\*\\*|\\*\\*|\\*|__|_|~~', '', 'g')"
-    x = f"trim(regexp_replace({x}, '(?m)^\\s*#{{1,6}}\\s*', '', 'g'))"
-    x = f"regexp_replace({x}, '/?\\b[ur]/[A-Za-z0-9_-]+', ' ', 'g')"
-    x = f"regexp_replace({x}, '(?is)\\b(edit|eta)\\s*[0-9]*\\s*[:—-].*$', '')"
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    """The text after all markers is taken, then code blocks, labels, emphasis, headings, handles and notes in turn."""
+    item = f"[{T.BULLETS}]|[0-9]{{1,3}}[{B}]*[{T.NUMBER_ENDS}][{B}]|#[0-9]{{1,3}}[{B}]"
+    x = f"regexp_extract({x}, '(?s)\\A(?:[{B}]*(?:{item}))*[{B}]*(.*)', 1)"
+    x = f"array_to_string(regexp_split_to_array({x}, '(?s)```.*?```'), ' ')"
+    x = f"regexp_replace(regexp_replace({x}, '`([^`]*)`', '\\1', 'g'), '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')"
+    x = f"regexp_replace(replace(translate({x}, '*_', ''), '~~', ''), '(?m)^[{B}]*#{{1,6}}', '', 'g')"
+    x = f"regexp_replace({x}, '{T.HANDLE}', ' ', 'g')"
+    return squeeze_sql(f"regexp_replace({x}, '{T.EDIT}', '')")
 
 
 USABLE_SQL = (
-    "length(t) >= 8 AND NOT regexp_matches(t, '" + T.SCORE + "') AND NOT regexp_matches(t, '" + T.NOISE + "') AND NOT regexp_matches(t, ':\\s*$') "
-    "AND len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: regexp_matches(w, '[A-Za-z0-9]'))) >= 3"
+    "length(t) >= 8 AND NOT regexp_matches(t, '" + T.SCORE + "') AND NOT regexp_matches(t, '" + T.NOISE + f"') AND NOT regexp_matches(t, ':[{B}]*\\z') "
+    f"AND len(list_filter(regexp_split_to_array(t, '[{B}]+'), lambda w: regexp_matches(w, '[A-Za-z0-9]'))) >= 3"
 )
 LINES_USABLE_SQL = f"""
 WITH {TEXT_LINES_SQL}, n AS (SELECT doc_id, pos, {_normal_sql('line')} AS t FROM text_lines)

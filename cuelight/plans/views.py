@@ -35,7 +35,7 @@ cues AS (
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as lines, with the vectors of the same ids."""
+    """All documents as lines, with the vectors of the same ids; null where there is none."""
     i = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select(
         i.alias("line_id"),
@@ -46,14 +46,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("line_id"), "embedding")
-    return docs.join(vectors, "line_id")
+    return docs.join(vectors, "line_id", "left")
 
 
 LINES_SQL = """
 lines AS (
   SELECT doc_id AS line_id, source AS title_id, lang AS video_id, doc_id * 7000 AS start_ms, doc_id * 7000 + 4000 AS end_ms,
          coalesce(text, '') AS text, CAST(embedding AS DOUBLE[]) AS embedding
-  FROM documents JOIN embeddings ON doc_id = vec_id)
+  FROM documents LEFT JOIN embeddings ON doc_id = vec_id)
 """
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -17,3 +19,14 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
         **conf,
     }
     return builder.config(map=settings).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that all executors share, and read back."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)

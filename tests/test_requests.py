@@ -1,4 +1,6 @@
-from cuelight.operators.hints import read_requests
+from pyspark.sql import functions as F
+
+from cuelight.operators.hints import read_requests, scope_of
 from cuelight.operators.splitting import split_descriptions
 
 EPISODES = [("e1", "Harbour", 1, 1), ("e2", "The Long Dinner", 1, 2), ("e3", "Dinner", 2, 1), ("e4", "Rain Again", 2, 2), ("e5", "Special", None, None)]
@@ -7,7 +9,9 @@ EPISODES = [("e1", "Harbour", 1, 1), ("e2", "The Long Dinner", 1, 2), ("e3", "Di
 def asked(spark, *texts):
     q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
     e = spark.createDataFrame(EPISODES, "video_id string, name string, season int, episode int")
-    return {r.query_id: (r.text, r.video_ids, r.label, r.when) for r in read_requests(q, e).collect()}
+    requests = read_requests(q, e)
+    videos = {r.query_id: sorted(r.ids) for r in scope_of(requests, e).groupBy("query_id").agg(F.collect_list("video_id").alias("ids")).collect()}
+    return {r.query_id: (r.text, videos.get(r.query_id), r.label, r.when) for r in requests.collect()}
 
 
 def test_requests(spark):
