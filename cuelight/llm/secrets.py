@@ -2,9 +2,9 @@
 
 Candidates of the entropy scan are runs of 20 or more characters of the
 base64 alphabets that hold a letter and a digit. A window of 20 characters
-slides over a candidate. What it keeps is the sum of c * log2(c) over the counts
-c of its characters: when a character leaves and one enters, only those two
-counts change, and the sum by two table steps. The entropy follows from the
+slides over a candidate. What it carries are the counts c of its characters and
+the sum of c * log2(c) over them: when a character leaves and one enters, only
+those two counts change, and the sum by two table steps. The entropy follows from the
 sum; whether a window is hot depends on the character class of its candidate
 (hexadecimal, one letter case, or mixed), whose alphabets bound the entropy
 differently. Hot windows that touch are one span. Candidates that the allow-list
@@ -19,6 +19,7 @@ gets the same spans.
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,10 @@ KINDS = (
 ENTROPY = "entropy"
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: The characters of a candidate.
+ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/_=-"
+#: Matches whose places are summed in one fold.
+BLOCK = 64
 #: c * log2(c) in millionths for c = 0 to WINDOW.
 TERMS = [0] + [round(c * math.log2(c) * 1_000_000) for c in range(1, WINDOW + 1)]
 #: Least entropy of a hot window, in bits a character, for each character class.
@@ -53,37 +58,46 @@ ALLOWED = (
 )
 
 
-def _found(text: Column, pattern: str, group: int, least: int, kind: str, rank: int, always: bool = False) -> Column:
-    """Matches as structs; a match starts after the texts between the earlier ones and those themselves."""
+def _found(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
+    """Matches as structs; a match starts after the texts between the earlier ones and those themselves.
+
+    Places are running sums in two levels, in each block of ``BLOCK`` matches and
+    over blocks, as an array that grows is copied at each step.
+    """
     wholes, sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    return F.when(
-        text.rlike(pattern),
-        F.filter(
-            F.aggregate(
-                F.arrays_zip(wholes.alias("w"), sizes.alias("s"), F.slice(between, 1, F.size(wholes)).alias("b")),
-                F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,size:int,match:string>>").alias("out")),
-                lambda acc, m: F.struct(
-                    (acc["at"] + F.char_length(m["b"]) + F.char_length(m["w"])).alias("at"),
-                    F.concat(
-                        acc["out"],
-                        F.array(
-                            F.struct(
-                                (acc["at"] + F.char_length(m["b"])).alias("start"),
-                                F.lit(rank).alias("rank"),
-                                (acc["at"] + F.char_length(m["b"]) + F.char_length(m["w"])).alias("end"),
-                                F.lit(kind).alias("kind"),
-                                F.char_length(m["s"]).alias("size"),
-                                m["w"].alias("match"),
-                            )
-                        ),
-                    ).alias("out"),
+    between = F.slice(F.split(text, pattern, -1), 1, F.size(wholes))
+    matches = F.arrays_zip(wholes.alias("w"), sizes.alias("s"), between.alias("b"))
+    blocks = F.transform(F.sequence(F.lit(1), F.size(matches), F.lit(BLOCK)), lambda k: F.slice(matches, k, BLOCK))
+    length = lambda m: F.char_length(m["b"]) + F.char_length(m["w"])
+
+    def walk(items: Column, size, start: Column) -> Column:
+        """``array<struct<at, item>>``: each item with the sum of the sizes before it."""
+        return F.aggregate(
+            items,
+            F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    bases = walk(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, m: n + length(m)), F.lit(0))
+    placed = F.flatten(
+        F.transform(
+            F.arrays_zip(blocks.alias("block"), bases.alias("base")),
+            lambda z: F.zip_with(
+                z["block"],
+                walk(z["block"], length, z["base"]),
+                lambda m, at: F.struct(
+                    (at + F.char_length(m["b"])).alias("start"),
+                    F.lit(rank).alias("rank"),
+                    (at + length(m)).alias("end"),
+                    F.lit(kind).alias("kind"),
+                    F.char_length(m["s"]).alias("size"),
+                    m["w"].alias("match"),
                 ),
-                lambda acc: acc["out"],
             ),
-            lambda m: m["size"] >= least,
-        ),
+        )
     )
+    return F.when(text.rlike(pattern), F.filter(placed, lambda m: m["size"] >= least))
 
 
 EMPTY = "array<struct<start:int,rank:int,end:int,kind:string,size:int,match:string>>"
@@ -97,41 +111,47 @@ def _term(count: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, TERMS)), count + 1)
 
 
-def _times(window: Column, char: Column) -> Column:
-    return F.char_length(window) - F.char_length(F.replace(window, char, F.lit("")))
-
-
 def hot_ranges(candidate: Column, threshold: Column) -> Column:
     """``array<struct<lo, hi>>``: offsets of hot windows that touch, within one candidate.
 
-    ``threshold`` is the greatest sum of c * log2(c) of a hot window.
+    ``threshold`` is the greatest sum of c * log2(c) of a hot window. The fold
+    carries the counts of the window's characters, by their place in ``ALPHABET``,
+    the sum, and the range that is open; a range joins the others when it ends.
     """
     ranges = "array<struct<lo:int,hi:int>>"
-
-    def step(acc: Column, char: Column) -> Column:
-        full = acc["at"] >= WINDOW
-        leaves = F.when(full, F.substring(acc["window"], 1, 1))
-        kept = F.when(full, F.substring(acc["window"], 2, WINDOW)).otherwise(acc["window"])
-        gone, there = _times(acc["window"], leaves), _times(kept, char)
-        less = F.when(full, _term(gone) - _term(gone - 1)).otherwise(0)
-        total = acc["sum"] - less + _term(there + 1) - _term(there)
+    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    # each character with the one that leaves when it enters, 0 for none
+    steps = F.zip_with(codes, F.concat(F.array_repeat(F.lit(0), WINDOW), codes), lambda comes, goes: F.struct(comes.alias("comes"), goes.alias("goes")))
+    steps = F.filter(steps, lambda x: x["comes"].isNotNull())
+
+    def step(acc: Column, x: Column) -> Column:
+        comes, goes = x["comes"], x["goes"]
+        gone = F.when(goes > 0, F.get(acc["counts"], goes)).otherwise(0)
+        there = F.get(acc["counts"], comes) - F.when(comes == goes, 1).otherwise(0)
+        counts = F.transform(acc["counts"], lambda n, i: n + F.when(i == comes, 1).otherwise(0) - F.when((i == goes) & (goes > 0), 1).otherwise(0))
+        total = acc["sum"] - F.when(goes > 0, _term(gone) - _term(gone - 1)).otherwise(0) + _term(there + 1) - _term(there)
         at = acc["at"] + 1
-        last = F.when(F.size(acc["hot"]) > 0, F.element_at(acc["hot"], -1)["hi"]).otherwise(-1)
-        one = lambda lo: F.array(F.struct(lo.alias("lo"), at.alias("hi")))
-        hot = (
-            F.when((at < WINDOW) | (total > threshold), acc["hot"])
-            .when(
-                last >= at - WINDOW,
-                F.concat(F.slice(acc["hot"], 1, F.size(acc["hot"]) - 1), one(F.element_at(acc["hot"], -1)["lo"])),
-            )
-            .otherwise(F.concat(acc["hot"], one(at - WINDOW)))
+        hot = (at >= WINDOW) & (total <= threshold)
+        touches = acc["hi"] >= at - WINDOW
+        return F.struct(
+            counts.alias("counts"),
+            total.alias("sum"),
+            at.alias("at"),
+            F.when(hot & ~touches, at - WINDOW).otherwise(acc["lo"]).alias("lo"),
+            F.when(hot, at).otherwise(acc["hi"]).alias("hi"),
+            F.when(hot & ~touches & (acc["hi"] >= 0), F.concat(acc["done"], F.array(F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi"))))).otherwise(acc["done"]).alias("done"),
         )
-        return F.struct(F.concat(kept, char).alias("window"), total.alias("sum"), at.alias("at"), hot.alias("hot"))
 
     start = F.struct(
-        F.lit("").alias("window"), F.lit(0).alias("sum"), F.lit(0).alias("at"), F.array().cast(ranges).alias("hot")
+        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"),
+        F.lit(0).alias("sum"),
+        F.lit(0).alias("at"),
+        F.lit(-1).alias("lo"),
+        F.lit(-1).alias("hi"),
+        F.array().cast(ranges).alias("done"),
     )
-    return F.aggregate(F.split(candidate, ""), start, step, lambda acc: acc["hot"])
+    last = lambda acc: F.when(acc["hi"] >= 0, F.concat(acc["done"], F.array(F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi"))))).otherwise(acc["done"])
+    return F.aggregate(steps, start, step, last)
 
 
 def _limit(candidate: Column) -> Column:
