@@ -17,7 +17,7 @@ def cut_name(query: Column, scenes: Column, video: Column, start_ms: Column) ->
     """A cut's name: what was asked and how many scenes, or the video and the time of its only clip."""
     asked = F.concat(query, F.lit(" · "), scenes.cast("string"), F.lit(" scenes"))
     shown = F.concat(video, F.lit(" · "), T.clock(start_ms))
-    return F.when((scenes > 1) & (F.trim(query) != ""), asked).otherwise(F.coalesce(shown, F.lit("Untitled clip")))
+    return F.when((scenes > 1) & (T.trimmed(query) != ""), asked).otherwise(F.coalesce(shown, F.lit("Untitled clip")))
 
 
 def insert_at(items: Column, at: Column, item: Column) -> Column:
@@ -34,6 +34,33 @@ def swap_neighbours(items: Column, at: Column) -> Column:
     ).otherwise(items)
 
 
+def replace_at(items: Column, at: Column, item: Column) -> Column:
+    """An array with the item at ``at`` replaced; unchanged where there is none."""
+    return F.transform(items, lambda x, i: F.when(i == at, item).otherwise(x))
+
+
+def remove_at(items: Column, at: Column) -> Column:
+    return F.filter(items, lambda x, i: i != at)
+
+
+def new_clip(description: Column, alternates: Column, mode: str = "inherit") -> Column:
+    """A clip as it begins: its first match, no pads, and the caption of the cut."""
+    return F.struct(
+        description.alias("description"), alternates.alias("alternates"), F.when(F.size(alternates) > 0, 0).alias("alternate_index"),
+        F.lit(0).cast("long").alias("pad_before_ms"), F.lit(0).cast("long").alias("pad_after_ms"), F.lit(mode).alias("caption_mode"), F.lit(False).alias("muted"),
+    )
+
+
+def unmatched(clips: Column, lost: str) -> Column:
+    """Clips that no line was found for, by their flag ``lost``."""
+    return F.size(F.filter(clips, lambda c: c[lost])).cast("long")
+
+
+def overridden(clips: Column, own: str) -> Column:
+    """Clips with a caption of their own, by their flag ``own``."""
+    return F.size(F.filter(clips, lambda c: c[own])).cast("long")
+
+
 def save_patch(cuts: DataFrame, patches: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Cuts with what their patches give; what a patch leaves null stays."""
     p = patches.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
@@ -81,6 +108,6 @@ def render_plan(clips: DataFrame) -> DataFrame:
 
 def explain_failure(stderr: Column) -> Column:
     """The last six lines of an encoder's report that aren't blank, with credentials taken out."""
-    lines = F.filter(F.split(F.coalesce(stderr, F.lit("")), "\r?\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.coalesce(stderr, F.lit("")), "\r?\n"), lambda x: T.trimmed(x) != "")
     tail = F.when(F.size(lines) > 6, F.slice(lines, -6, 6)).otherwise(lines)
     return F.regexp_replace(F.array_join(tail, "\n"), r"(?i)(api_key|token)=[^&\s]+", "$1=***")

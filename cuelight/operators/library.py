@@ -98,12 +98,109 @@ def removal_cost(gone: DataFrame, montages: DataFrame, renders: DataFrame) -> Da
     )
 
 
-def eviction_plan(files: DataFrame, cap: int, by: str = "shelf") -> DataFrame:
+#: Bytes that a cache may hold where nothing is set, and the stretch of time that is summed in one task.
+CACHE_CAP, STRETCH_MS = 2 << 30, 3_600_000
+# Fixed value: endings of files that are still being written.
+PARTIAL = r"\.(part|tmp|partial)\z"
+
+
+def cache_cap(setting: str | None) -> int:
+    """A cap as set, in bytes; blank, negative or no number is the default."""
+    text = (setting or "").strip()
+    return int(text) if text.isascii() and text.isdigit() else CACHE_CAP
+
+
+def eviction_plan(files: DataFrame, cap: int = CACHE_CAP, by: str = "shelf", busy: DataFrame | None = None) -> DataFrame:
     """Files to delete, oldest first, until each ``by`` is at most ``cap`` bytes.
 
-    A file goes while those before it that went are less than what is over.
+    A file goes while those before it that went are less than what is over. Files
+    that are partial, or in flight by ``busy(path)``, count but stay. Sums run in
+    two levels, over stretches of time and in each, so a shelf isn't one task.
     """
-    before = Window.partitionBy(by).orderBy("mtime_ms", "path").rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.sum("size").over(before), F.lit(0))
-    excess = F.sum("size").over(Window.partitionBy(by)) - cap
-    return files.withColumn("gone", gone).withColumn("excess", excess).where("gone < excess").drop("gone", "excess")
+    free = ~F.col("path").rlike(PARTIAL)
+    rows = files
+    if busy is not None:
+        rows = rows.join(busy.select("path", F.lit(True).alias("in_flight")).distinct(), "path", "left")
+        free = free & F.col("in_flight").isNull()
+    rows = rows.withColumn("free", F.when(free, F.col("size")).otherwise(0)).withColumn("stretch", F.floor(F.col("mtime_ms") / STRETCH_MS))
+    earlier = Window.partitionBy(by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(by, "stretch").agg(F.sum("free").alias("free_sum"), F.sum("size").alias("size_sum"))
+    bases = sums.select(
+        by, "stretch", F.coalesce(F.sum("free_sum").over(earlier), F.lit(0)).alias("base"), (F.sum("size_sum").over(Window.partitionBy(by)) - cap).alias("excess")
+    )
+    before = Window.partitionBy(by, "stretch").orderBy("mtime_ms", "path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("gone", F.coalesce(F.sum("free").over(before), F.lit(0))).join(bases, [by, "stretch"])
+    return placed.where(free & (F.col("gone") + F.col("base") < F.col("excess"))).select(*files.columns)
+
+
+# ---- read models --------------------------------------------------------------
+
+
+def annotate_remote(remote: DataFrame, local: DataFrame, key: str = "id") -> DataFrame:
+    """Titles of a server with what the library has of them: ``indexed``, and ``line_count`` or 0.
+
+    ``local(key, indexed_at, line_count)``; a title is indexed once it has a time.
+    """
+    known = local.select(key, "indexed_at", F.col("line_count").alias("__lines"))
+    return remote.join(known, key, "left").select(*remote.columns, F.col("indexed_at").isNotNull().alias("indexed"), F.coalesce("__lines", F.lit(0)).alias("line_count"))
+
+
+def ordered_videos(videos: DataFrame, by: str = "title_id") -> DataFrame:
+    """Videos with their ``place`` in their title: by season and number, those without first, then by name and id."""
+    order = Window.partitionBy(by).orderBy(F.asc_nulls_first("season"), F.asc_nulls_first("episode"), "name", "video_id")
+    return videos.withColumn("place", F.row_number().over(order))
+
+
+def indexed_videos(asked: DataFrame, videos: DataFrame) -> DataFrame:
+    """The videos asked for that the library has lines of; others are not to be served."""
+    return videos.where("subtitle_status = 'ok'").join(asked.select("video_id").distinct(), "video_id", "left_semi")
+
+
+def montage_summaries(cuts: DataFrame, titles: DataFrame) -> DataFrame:
+    """Cuts with their title's name, or that it is unknown, and the number of their ``clips``."""
+    named = titles.select("title_id", F.col("name").alias("title"))
+    return cuts.join(named, "title_id", "left").withColumn("title", F.coalesce("title", F.lit("Unknown"))).withColumn("n_clips", F.size("clips").cast("long"))
+
+
+def holding(titles: DataFrame, word: str, name: str = "name") -> DataFrame:
+    """Titles whose name holds ``word``, whatever its case."""
+    return titles.where(F.contains(F.lower(name), F.lit(word.lower())))
+
+
+def facet_counts(titles: DataFrame, facet: Column) -> DataFrame:
+    """Titles of each facet, and how many of them have lines to search."""
+    return titles.groupBy(facet.alias("facet")).agg(F.count("*").alias("n"), F.count_if(F.col("line_count") > 0).alias("searchable"))
+
+
+def ordered_picks(picks: Column) -> Column:
+    """Picked places, each once, in ascending order."""
+    return F.array_sort(F.array_distinct(picks))
+
+
+def missing_ids(asked: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Ids asked for, each once, that aren't found."""
+    return asked.select(key).distinct().join(found.select(key), key, "left_anti")
+
+
+def latest(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """The last row of each ``by``: a maximum that combines before the shuffle."""
+    rest = [c for c in rows.columns if c != by]
+    return rows.groupBy(by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(by, "r.*")
+
+
+def apply_patches(rows: DataFrame, log: DataFrame, key: str, columns: list[str], order: str = "at") -> DataFrame:
+    """Rows with the last value that the log gives for each column; what no patch sets stays, and ``updated_at`` is the last patch's."""
+    last = log.groupBy(key).agg(*[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__{c}") for c in columns], F.max(order).alias("__at"))
+    old = F.col("updated_at") if "updated_at" in rows.columns else F.lit(None)
+    kept = [F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns if c != "updated_at"]
+    return rows.join(last, key, "left").select(*kept, F.coalesce("__at", old).alias("updated_at"))
+
+
+def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Rows with the columns that newer versions added, at their defaults where they are missing."""
+    return rows.withColumns({c: v for c, v in defaults.items() if c not in rows.columns})
+
+
+def remaining(items: DataFrame, done: DataFrame, key: str, force: bool = False) -> DataFrame:
+    """Items of which no ``done(key)`` is known; all of them if forced."""
+    return items if force else items.join(done.select(key), key, "left_anti")

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelight.functions import text as T
+
 #: Most results of a search, of a search for one clip, and their defaults.
 SEARCH_LIMIT, CLIP_LIMIT = (8, 25), (6, 20)
 MOST_SCENES = 60
@@ -56,7 +58,7 @@ def limit_of(asked: int | None, limits: tuple[int, int] = SEARCH_LIMIT) -> int:
 
 def reviewed(lists: DataFrame, most: int = MOST_SCENES) -> DataFrame:
     """``lists(cut_id, texts)`` as given by hand: trimmed, without blanks, the first ``most``."""
-    kept = F.filter(F.transform("texts", F.trim), lambda t: t != "")
+    kept = F.filter(F.transform("texts", T.trimmed), lambda t: t != "")
     return lists.select("cut_id", F.slice(kept, 1, most).alias("texts"))
 
 

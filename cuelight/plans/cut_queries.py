@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelight.functions import cut as C
-from cuelight.functions import text as T
+from cuelight.operators import cutting as K
 from cuelight.plans import views
 from cuelight.plans.views import CUES_SQL
 
@@ -68,23 +68,17 @@ SELECT cut_id, pos, greatest(0, start_ms - 15000) AS window_start, end_ms + 1500
 def _with_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clip around each cue of the conversations' videos, with all cues of the video."""
     cues = views.cues(spark, sf_dir)
-    all_cues = cues.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "cue", "text"))).alias("cues"))
     marks = cues.select(
         "video_id", "cue", (F.col("start_ms") + F.col("cue") * 37 - 180).alias("s"), (F.col("end_ms") + 2300 - F.col("cue") * 53).alias("e"), F.col("start_ms").alias("m_start"), F.col("end_ms").alias("m_end")
     )
-    return marks.join(all_cues, "video_id")
+    return K.with_cues(marks, cues)
 
 
 def snap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _with_cues(spark, sf_dir).withColumn("points", _points())
+    c = _with_cues(spark, sf_dir).withColumn("points", K.boundaries(F.col("cues"), F.col("m_start"), F.col("m_end")))
     return c.select("video_id", "cue", C.snap(F.col("s"), F.col("points")).alias("start_ms"), C.snap(F.col("e"), F.col("points")).alias("end_ms"))
 
 
-def _points():
-    edges = F.concat(F.array("m_start", "m_end"), F.transform("cues", lambda c: c["start_ms"]), F.transform("cues", lambda c: c["end_ms"]))
-    return F.array_sort(F.array_distinct(edges))
-
-
 MARKS_SQL = f"""
 {CUES_SQL},
 marks AS (SELECT video_id, cue, start_ms + cue * 37 - 180 AS s, end_ms + 2300 - cue * 53 AS e, start_ms AS m_start, end_ms AS m_end FROM cues),
@@ -100,7 +94,7 @@ SNAP_SQL = f"WITH {MARKS_SQL} SELECT video_id, cue, {_snap_sql('s')} AS start_ms
 
 
 def next_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _with_cues(spark, sf_dir).withColumn("points", _points())
+    c = _with_cues(spark, sf_dir).withColumn("points", K.boundaries(F.col("cues"), F.col("m_start"), F.col("m_end")))
     return c.select(
         "video_id", "cue", C.next_boundary(F.col("points"), F.col("s"), True).alias("after"), C.next_boundary(F.col("points"), F.col("s"), False).alias("before")
     )
@@ -115,24 +109,7 @@ SELECT m.video_id, m.cue, (SELECT min(p) FROM edges g WHERE g.video_id = m.video
 def trim_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be done to each clip: a line added at either side, or dropped there, within reach."""
     c = _with_cues(spark, sf_dir)
-    s, e, g = F.col("s"), F.col("e"), C.GRACE
-    lo, hi = C.window_start(F.col("m_start")), C.window_end(F.col("m_end"))
-    start_ok = lambda x: (x >= lo) & (x <= e - C.MIN_CLIP)
-    end_ok = lambda x: (x <= hi) & (x >= s + C.MIN_CLIP)
-    before = F.try_element_at(F.filter("cues", lambda x: x["end_ms"] <= s + g), F.lit(-1))
-    after = F.get(F.filter("cues", lambda x: x["start_ms"] >= e - g), 0)
-    inside = F.filter("cues", lambda x: (x["end_ms"] > s + g) & (x["start_ms"] < e - g))
-    several = F.size(inside) > 1
-    act = lambda key, to, ok: F.when(ok, F.struct(F.lit(key).alias("key"), to.alias("to")))
-    first, last = F.get(inside, 0)["end_ms"], F.try_element_at(inside, F.lit(-1))["start_ms"]
-    found = F.array_compact(
-        F.array(
-            act("add-before", before["start_ms"], start_ok(before["start_ms"])),
-            act("drop-first", first, several & start_ok(first)),
-            act("drop-last", last, several & end_ok(last)),
-            act("add-after", after["end_ms"], end_ok(after["end_ms"])),
-        )
-    )
+    found = K.trim_actions(F.col("cues"), F.col("s"), F.col("e"), F.col("m_start"), F.col("m_end"))
     return c.select("video_id", "cue", F.explode(found).alias("a")).select("video_id", "cue", "a.key", "a.to")
 
 
@@ -171,13 +148,9 @@ SELECT cut_id, pos, tiles, round(greatest(500, e - s) / tiles, 6) AS interval_ms
 def alternates_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order, the matches of the supplier of its first chosen line, and where the chosen ones stand among them."""
     k = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_suppkey") % 3).alias("title")))).alias("m"))
-    k = k.withColumn("picked", F.filter(F.array(F.lit(1), F.lit(0), F.lit(3)), lambda i: i < F.size("m")))
-    title = F.get("m", F.get("picked", 0))["title"]
-    k = k.where(F.size("picked") > 0).withColumn("title", title)
-    places = F.filter(F.transform("m", lambda x, i: F.when(x["title"] == F.col("title"), i)), lambda i: i.isNotNull())
-    k = k.withColumn("places", places)
-    chosen = F.filter(F.transform("picked", lambda i: F.array_position("places", i) - 1), lambda i: i >= 0)
-    return k.select("l_orderkey", "title", F.size("places").cast("long").alias("n_matches"), F.array_join(chosen.cast("array<string>"), ",").alias("chosen"))
+    told = K.alternates_of_title(F.col("m"), F.array(F.lit(1), F.lit(0), F.lit(3)))
+    k = k.select("l_orderkey", told.alias("a")).where("a is not null")
+    return k.select("l_orderkey", "a.title", F.size("a.places").cast("long").alias("n_matches"), F.array_join(F.col("a.chosen").cast("array<string>"), ",").alias("chosen"))
 
 
 ALTERNATES_SQL = """
@@ -197,14 +170,9 @@ def resolve_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_mode = F.when(F.col("o_orderstatus") == "F", "subtitle").otherwise("custom")
     size = F.when(i % 3 == 0, (i % 50) / 10).when(i % 3 == 1, F.lit(None))
     own_size, cut_size = F.when(i % 2 == 0, size), F.when(i % 5 == 0, (i % 70) / 10)
-    chosen = F.coalesce(own_size, cut_size, F.lit(1.0))
-    return o.select(
-        "o_orderkey",
-        F.when(own == "inherit", cut_mode).otherwise(own).alias("mode"),
-        F.when(own == "inherit", F.col("o_orderpriority")).otherwise(F.lit("own")).alias("text"),
-        C.caption_size(chosen.cast("double")).alias("size"),
-        F.coalesce(F.when(i % 6 == 0, "top"), F.when(i % 7 == 0, "bottom"), F.lit("auto")).alias("placement"),
-    )
+    placement = F.when(i % 6 == 0, "top"), F.when(i % 7 == 0, "bottom")
+    told = K.resolve_caption(own, F.lit("own"), cut_mode, F.col("o_orderpriority"), (own_size, cut_size), placement)
+    return o.select("o_orderkey", told.alias("c")).select("o_orderkey", "c.mode", "c.text", "c.size", "c.placement")
 
 
 CAPTION_SQL = """
@@ -221,8 +189,7 @@ def line_edit_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = cues.where("cue % 3 = 0").groupBy("video_id").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("start_ms").cast("string"), F.when(F.col("cue") % 2 == 0, F.concat(F.lit("edited "), "text")).otherwise("")))).alias("edits")
     )
-    joined = cues.join(edits, "video_id", "left")
-    return joined.select("video_id", "cue", "start_ms", F.coalesce(F.try_element_at("edits", F.col("start_ms").cast("string")), F.col("text")).alias("text"))
+    return K.apply_line_edits(cues, edits).select("video_id", "cue", "start_ms", "text")
 
 
 EDIT_SQL = f"""
@@ -233,15 +200,11 @@ FROM cues c LEFT JOIN (SELECT * FROM cues WHERE cue % 3 = 0) e ON e.video_id = c
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _with_cues(spark, sf_dir)
-    inside = F.filter("cues", lambda x: (x["end_ms"] > F.col("s")) & (x["start_ms"] < F.col("e")))
-    return c.select("video_id", "cue", "s", "e", F.explode(inside).alias("x")).select(
-        "video_id", "cue", F.col("x.cue").alias("of"), F.greatest(F.lit(0), F.col("x.start_ms") - F.col("s")).alias("start_ms"),
-        F.least(F.col("e") - F.col("s"), F.col("x.end_ms") - F.col("s")).alias("end_ms"), F.col("x.text").alias("text"),
-    )
+    return c.select("video_id", "cue", F.explode(K.clip_events(F.col("cues"), F.col("s"), F.col("e"))).alias("x"))
 
 
 def clip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).drop("text")
+    return _events(spark, sf_dir).select("video_id", "cue", F.col("x.cue").alias("of"), "x.start_ms", "x.end_ms")
 
 
 EVENTS_SQL = f"""
@@ -253,11 +216,8 @@ ASS_TIME = "(greatest(0, {0}) // 3600000) || ':' || lpad(CAST(greatest(0, {0}) /
 
 
 def ass_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).where((F.trim("text") != "") & (F.col("end_ms") > F.col("start_ms")))
-    text = F.concat(
-        F.lit("Dialogue: 0,"), C.ass_time(F.col("start_ms")), F.lit(","), C.ass_time(F.col("end_ms")), F.lit(",Default,,0,0,0,,"), C.ass_text(F.col("text"))
-    )
-    return e.select("video_id", "cue", "of", text.alias("line"))
+    e = _events(spark, sf_dir).where(K.drawable(F.col("x")))
+    return e.select("video_id", "cue", F.col("x.cue").alias("of"), K.dialogue_line(F.col("x")).alias("line"))
 
 
 ASS_SQL = f"""
@@ -268,8 +228,17 @@ FROM clip_cues WHERE trim(text) <> '' AND end_ms > start_ms"""
 
 
 def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bounds(spark, sf_dir)
-    return b.select("cut_id", "pos", F.sha1(F.concat_ws("|", F.col("cut_id").cast("string"), F.col("s").cast("string"), F.col("e").cast("string"), C.tiles(F.col("s"), F.col("e")).cast("string"), F.lit("128"), F.lit("72"))).alias("key"))
+    return bounds(spark, sf_dir).select("cut_id", "pos", K.strip_address(F.col("cut_id"), F.col("s"), F.col("e")).alias("key"))
+
+
+def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole caption files of clips by mode: nothing, what is said, or a text of its own, in two styles and three places."""
+    c, k = _with_cues(spark, sf_dir), F.col("cue")
+    mode = F.when(k % 3 == 0, "subtitle").when(k % 3 == 1, "custom").otherwise("none")
+    events = K.caption_events(mode, F.concat(F.lit("own text "), k.cast("string")), F.col("cues"), F.col("s"), F.col("e"))
+    place = F.when(k % 5 == 0, "top").when(k % 5 == 1, "bottom").otherwise("auto")
+    text = K.caption_file(events, F.lit(854), F.lit(480), k % 6 == 4, (k % 40) / 10.0, place)
+    return c.select("video_id", "cue", F.sha2(text, 256).alias("file_sha256"))
 
 
 KEY_SQL = f"""
@@ -277,10 +246,29 @@ WITH {CLIPS_SQL}
 SELECT cut_id, pos, sha1(concat_ws('|', cut_id, s, e, CAST(greatest(1, least(96, floor(greatest(500, e - s) / 500 + 0.5))) AS INT), 128, 72)) AS key FROM bounds"""
 
 
+FILES_SQL = f"""
+WITH {EVENTS_SQL},
+k AS (SELECT video_id, cue, e - s AS span, cue % 6 = 4 AS meme, greatest(CAST(0.5 AS DOUBLE), least(CAST(3 AS DOUBLE), (cue % 40) / 10)) AS size,
+        CASE cue % 5 WHEN 0 THEN true WHEN 1 THEN false ELSE cue % 6 = 4 END AS top FROM marks),
+shown AS (
+  SELECT video_id, cue, "of" AS o, start_ms, end_ms, text FROM clip_cues WHERE cue % 3 = 0 AND trim(text) <> '' AND end_ms > start_ms
+  UNION ALL SELECT video_id, cue, 0, 0, span, 'own text ' || cue FROM k WHERE cue % 3 = 1 AND span > 0),
+said AS (SELECT video_id, cue, string_agg('Dialogue: 0,' || {ASS_TIME.format('start_ms')} || ',' || {ASS_TIME.format('end_ms')} || ',Default,,0,0,0,,' ||
+    regexp_replace(replace(replace(replace(CASE WHEN cue % 6 = 4 THEN upper(text) ELSE text END, '\\', '\\\\'), '{{', '\\{{'), '}}', '\\}}'), '\\r?\\n', '\\\\N', 'g'), chr(10) ORDER BY o) AS rows
+  FROM shown GROUP BY video_id, cue)
+SELECT k.video_id, k.cue, sha256(
+  '[Script Info]' || chr(10) || 'ScriptType: v4.00+' || chr(10) || 'PlayResX: 854' || chr(10) || 'PlayResY: 480' || chr(10) || 'WrapStyle: 0' || chr(10) ||
+  'ScaledBorderAndShadow: yes' || chr(10) || 'YCbCr Matrix: TV.709' || chr(10) || chr(10) || '[V4+ Styles]' || chr(10) || 'Format: {K.STYLE_COLUMNS}' || chr(10) ||
+  'Style: Default,DejaVu Sans,' || CAST(floor(480 * CAST(CASE WHEN meme THEN 0.085 ELSE 0.055 END AS DOUBLE) * size + 0.5) AS INT) || ',&H00FFFFFF,&H00FFFFFF,&H00000000,&H00000000,' ||
+  CASE WHEN meme THEN -1 ELSE 0 END || ',0,0,0,100,100,0,0,1,' || greatest(2, CAST(floor(480 * CAST(CASE WHEN meme THEN 0.006 ELSE 0.004 END AS DOUBLE) * size + 0.5) AS INT)) || ',0,' ||
+  CASE WHEN top THEN 8 ELSE 2 END || ',51,51,' || CASE WHEN meme THEN 19 ELSE 17 END || ',1' || chr(10) || chr(10) || '[Events]' || chr(10) || 'Format: {K.EVENT_COLUMNS}' || chr(10) || rows || chr(10)) AS file_sha256
+FROM k LEFT JOIN said USING (video_id, cue)"""
+
+
 def cut_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cut's clips without a match skipped, its length, and the progress at which its last clip is done."""
     b = bounds(spark, sf_dir).where("end_ms - start_ms >= 300")
-    return b.groupBy("cut_id").agg(F.count("*").alias("n_clips"), F.sum(F.col("e") - F.col("s")).alias("duration_ms")).select("*", T.clock(F.col("duration_ms")).alias("clock"))
+    return K.summary(b.select("cut_id", F.col("s").alias("start_ms"), F.col("e").alias("end_ms")))
 
 
 SUMMARY_SQL = f"""
@@ -294,7 +282,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clip_bounds, trim_window_padding, snap_nearest, next_boundary, trim_actions, filmstrip_plan, alternates_scope, resolve_caption,
-        line_edit_apply, clip_events, ass_lines, cache_key, cut_summary,
+        line_edit_apply, clip_events, ass_lines, cache_key, caption_files, cut_summary,
     )
 }
 SQL = {
@@ -310,5 +298,6 @@ SQL = {
     "clip_events": f'WITH {EVENTS_SQL} SELECT video_id, cue, "of", start_ms, end_ms FROM clip_cues',
     "ass_lines": ASS_SQL,
     "cache_key": KEY_SQL,
+    "caption_files": FILES_SQL,
     "cut_summary": SUMMARY_SQL,
 }

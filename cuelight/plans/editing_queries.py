@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelight.operators import editing as E
+from cuelight.operators import library as L
 from cuelight.plans import views
 from cuelight.plans.cut_queries import CLIPS_SQL, bounds
 
@@ -50,12 +51,9 @@ SELECT l_orderkey, array_to_string([-1, ids[1]] || ids[2:], ',') AS clips FROM p
 
 def montage_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts with the name of their title, or that it is unknown, and what there is to fix in them."""
-    titles = views.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_orderpriority").alias("title"))
-    c = _orders(spark, sf_dir).join(titles, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    count = lambda f: F.size(F.filter("clips", f)).cast("long")
-    return c.select(
-        "l_orderkey", F.coalesce("title", F.lit("Unknown")).alias("title"), F.size("clips").cast("long").alias("n_clips"), count(lambda x: x["lost"]).alias("unmatched"), count(lambda x: x["own_caption"]).alias("overridden")
-    )
+    titles = views.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("title_id"), F.col("o_orderpriority").alias("name"))
+    c = L.montage_summaries(_orders(spark, sf_dir).withColumn("title_id", F.col("l_orderkey")), titles)
+    return c.select("l_orderkey", "title", "n_clips", E.unmatched(F.col("clips"), "lost").alias("unmatched"), E.overridden(F.col("clips"), "own_caption").alias("overridden"))
 
 
 SUMMARIES_SQL = f"""
@@ -99,25 +97,25 @@ SELECT k AS p_partkey, CAST(greatest(160, least(1920, CASE WHEN k % 3 <> 0 THEN
 
 
 def title_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Videos of one title in order, with their subtitle status, those without numbers first."""
+    """Videos of every title in order, with their subtitle status, those without numbers first."""
     c = F.col("c_custkey")
-    v = views.table(spark, sf_dir, "customer").where("c_nationkey = 3").select(
-        "c_custkey", "c_name", F.when(c % 4 != 0, c % 6).alias("season"), F.when(c % 5 != 0, c % 11).alias("episode"), F.when(F.col("c_acctbal") < 0, "none").otherwise("ok").alias("status")
+    v = views.table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("title_id"), c.alias("video_id"), F.col("c_name").alias("name"),
+        F.when(c % 4 != 0, c % 6).alias("season"), F.when(c % 5 != 0, c % 11).alias("episode"), F.when(F.col("c_acctbal") < 0, "none").otherwise("ok").alias("status"),
     )
-    w = Window.partitionBy(F.lit(3)).orderBy(F.asc_nulls_first("season"), F.asc_nulls_first("episode"), "c_name", "c_custkey")
-    return v.withColumn("place", F.row_number().over(w))
+    return L.ordered_videos(v)
 
 
 DETAIL_SQL = """
-WITH v AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 6 END AS season, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 11 END AS episode, CASE WHEN c_acctbal < 0 THEN 'none' ELSE 'ok' END AS status FROM customer WHERE c_nationkey = 3)
-SELECT *, CAST(row_number() OVER (ORDER BY season NULLS FIRST, episode NULLS FIRST, c_name, c_custkey) AS INT) AS place FROM v"""
+WITH v AS (SELECT c_nationkey AS title_id, c_custkey AS video_id, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 6 END AS season,
+           CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 11 END AS episode, CASE WHEN c_acctbal < 0 THEN 'none' ELSE 'ok' END AS status FROM customer)
+SELECT *, CAST(row_number() OVER (PARTITION BY title_id ORDER BY season NULLS FIRST, episode NULLS FIRST, name, video_id) AS INT) AS place FROM v"""
 
 
 def library_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many titles of each facet hold a word, whatever its case, and how many of them can be searched."""
-    p = views.table(spark, sf_dir, "part").where(F.contains(F.lower("p_name"), F.lit("e")))
-    facet = F.when(F.col("p_size") < 20, "series").otherwise("movies")
-    return p.groupBy(facet.alias("facet")).agg(F.count("*").alias("n"), F.count_if(F.col("p_retailprice") > 1000).alias("searchable"))
+    p = views.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_size", F.when(F.col("p_retailprice") > 1000, 1).otherwise(0).alias("line_count"))
+    return L.facet_counts(L.holding(p, "E"), F.when(F.col("p_size") < 20, "series").otherwise("movies"))
 
 
 QUERIES = {f.__name__: f for f in (montage_names, clip_list_edits, montage_summaries, montage_patch, render_plan, export_settings, title_detail, library_filters)}

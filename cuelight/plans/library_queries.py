@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelight.functions import cut as C
 from cuelight.operators import library as L
+from cuelight.operators import serving as S
 from cuelight.plans import views
 
 
@@ -110,10 +110,8 @@ SELECT n_nationkey AS id, n_name AS name, (SELECT count(*) FROM videos WHERE tit
 
 def remote_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as remote titles with what the library knows of them: indexed or not, and counts."""
-    known = views.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count("*").alias("line_count"), F.max("l_shipdate").alias("indexed_at"))
-    remote = views.table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    j = remote.join(known, F.col("p_partkey") == F.col("l_partkey"), "left")
-    return j.select("p_partkey", "p_name", F.col("indexed_at").isNotNull().alias("indexed"), F.coalesce("line_count", F.lit(0)).alias("line_count"))
+    known = views.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("line_count"), F.max("l_shipdate").alias("indexed_at"))
+    return L.annotate_remote(views.table(spark, sf_dir, "part").select("p_partkey", "p_name"), known, "p_partkey")
 
 
 REMOTE_SQL = """
@@ -123,14 +121,15 @@ FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_retur
 
 def latest_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest order of each customer, by date and then key."""
-    o = views.table(spark, sf_dir, "orders")
-    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"), F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"))
+    o = views.table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.col("o_orderstatus").alias("status"))
+    return L.latest(o, "o_custkey", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that are asked for, each once, and have no order in progress."""
     asked = views.table(spark, sf_dir, "customer").select("c_custkey")
-    return asked.unionByName(asked).distinct().join(views.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    there = views.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return L.missing_ids(asked.unionByName(asked), there, "c_custkey")
 
 
 def removal_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +196,7 @@ FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0"""
 def resume_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents still to index: those that have no good label yet."""
     done = views.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return views.table(spark, sf_dir, "documents").select("doc_id", "lang").join(done, "doc_id", "left_anti")
+    return L.remaining(views.table(spark, sf_dir, "documents").select("doc_id", "lang"), done, "doc_id")
 
 
 def cache_evict_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,15 +236,14 @@ SELECT c_nationkey AS title_id, c_custkey AS video_id, CAST(row_number() OVER (P
 
 def media_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segment addresses with a bit rate by width, held between two bounds."""
-    width = 100 + F.col("p_size") * 40
-    rate = C.clamp(width * 8000, F.lit(1_500_000), F.lit(12_000_000))
-    return views.table(spark, sf_dir, "part").select(
-        "p_partkey", F.concat(F.lit("/Videos/"), F.col("p_partkey").cast("string"), F.lit("/stream?maxWidth="), width.cast("string"), F.lit("&videoBitRate="), rate.cast("string")).alias("url")
-    )
+    k, width = F.col("p_partkey").cast("string"), 100 + F.col("p_size") * 40
+    url = S.segment_url(F.lit("http://media.example//"), k, F.concat(F.lit("source "), k), F.col("p_partkey") * 10_000, width)
+    return views.table(spark, sf_dir, "part").select("p_partkey", url.alias("url"))
 
 
 URLS_SQL = """
-SELECT p_partkey, '/Videos/' || p_partkey || '/stream?maxWidth=' || (100 + p_size * 40) || '&videoBitRate=' || greatest(1500000, least(12000000, (100 + p_size * 40) * 8000)) AS url FROM part"""
+SELECT p_partkey, 'http://media.example/Videos/' || p_partkey || '/stream?mediaSourceId=source+' || p_partkey || '&startTimeTicks=' || (p_partkey * 10000) ||
+  '&maxWidth=' || (100 + p_size * 40) || '&videoBitRate=' || greatest(1500000, least(12000000, (100 + p_size * 40) * 8000)) || '&allowVideoStreamCopy=false' AS url FROM part"""
 
 QUERIES = {
     f.__name__: f

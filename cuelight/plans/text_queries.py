@@ -304,20 +304,15 @@ def split_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def montage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pasted passages to clips: split, read, searched in one batch; a description without a match stays."""
+    """Pasted passages to clips, over all documents as lines; a description without a match stays."""
     from cuelight.functions import vectors as V
-    from cuelight.operators import retrieval as R
+    from cuelight.operators.building import build_cuts
 
+    embed = lambda text: V.hash_embedding(text, 64)
     pastes = views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    wanted = splitting.split_descriptions(pastes).select(
-        (F.col("doc_id") * 100 + F.col("pos")).alias("query_id"), F.col("description").alias("text"), V.hash_embedding(F.col("description"), 64).alias("embedding")
-    )
-    lines = views.lines(spark, sf_dir).withColumn("embedding", V.hash_embedding(F.col("text"), 64))
-    found = R.hybrid_search(lines, wanted, 6, min_idf=3.0)
-    clips = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "line_id", "score"))).alias("alternates"))
-    return wanted.select("query_id", F.col("text").alias("description")).join(clips, "query_id", "left").select(
-        "query_id", "description", F.coalesce(F.size("alternates"), F.lit(0)).alias("n_alternates"), F.get("alternates", 0)["line_id"].alias("line_id")
-    )
+    lines = views.lines(spark, sf_dir).withColumn("embedding", embed(F.col("text")))
+    clips = build_cuts(pastes, lines, embed=embed, min_idf=3.0)
+    return clips.select("query_id", "clip.description", F.size("clip.alternates").alias("n_alternates"), F.get("clip.alternates", 0)["line_id"].alias("line_id"))
 
 
 QUERIES = {

@@ -11,30 +11,44 @@ from cuelight.operators.subtitles import dialogue_windows, lines_of, parse_subti
 from cuelight.sources.subtitle_files import stream_subtitles
 
 
+# Notes of videos without lines.
+NO_TRACK, EMPTY_TRACK = "no text subtitle track", "subtitle track was empty"
+
+
 def index_batch(files: DataFrame, title_of: DataFrame, out: str, dim: int = 384) -> DataFrame:
     """Index one batch of files under ``out``; of a video's files the newest counts.
 
     Lines and vectors are partitioned by video, and a batch overwrites the
     partitions of its videos alone, so doing a batch again changes nothing. A
     video that has no line any more gets an empty mark in ``status``, and
-    :func:`read_lines` leaves its old ones out.
+    :func:`read_lines` leaves its old ones out. A null body is a video without a
+    text track; a file with an ``error`` gets that as its note.
     """
     newest = Window.partitionBy("video_id").orderBy(F.desc("modificationTime"), "body")
     files = files.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n")
-    lines = lines_of(dialogue_windows(parse_subtitles(files)), title_of).withColumn("embedding", V.hash_embedding(F.col("text"), dim))
+    if "error" not in files.columns:
+        files = files.withColumn("error", F.lit(None).cast("string"))
+    good = files.where("error is null and body is not null")
+    lines = lines_of(dialogue_windows(parse_subtitles(good)), title_of).withColumn("embedding", V.hash_embedding(F.col("text"), dim))
     lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(f"{out}/lines")
-    counts = files.sparkSession.read.parquet(f"{out}/lines").groupBy("video_id").agg(F.count("*").alias("n"))
-    there = lines.select("video_id").distinct().withColumn("has", F.lit(True))
-    status = (
-        files.select("video_id")
-        .join(there, "video_id", "left")
-        .join(counts, "video_id", "left")
-        .select("video_id", F.when(F.col("has"), "ok").otherwise("none").alias("status"), F.when(F.col("has"), F.col("n")).otherwise(F.lit(0)).alias("line_count"))
+    there = lines.groupBy("video_id").agg(F.count("*").alias("n"))
+    note = F.coalesce("error", F.when(F.col("body").isNull(), NO_TRACK).when(F.col("n").isNull(), EMPTY_TRACK))
+    status = files.join(there, "video_id", "left").select(
+        "video_id",
+        F.when(F.col("error").isNotNull(), "error").when(F.col("n").isNotNull(), "ok").otherwise("none").alias("status"),
+        note.alias("note"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("line_count"),
     )
     status.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(f"{out}/status")
     return status
 
 
+def run_counts(status: DataFrame) -> DataFrame:
+    """One row: videos processed, those indexed, without lines and failed, and lines."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    return status.agg(F.count("*").alias("processed"), of("ok").alias("indexed"), of("none").alias("skipped"), of("error").alias("failed"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("lines"))
+
+
 def read_lines(spark: SparkSession, out: str) -> DataFrame:
     """Lines of the videos that have any now."""
     ok = spark.read.parquet(f"{out}/status").where("status = 'ok'").select("video_id")
