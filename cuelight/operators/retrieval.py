@@ -163,22 +163,35 @@ def phrase_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
     return whole.groupBy("term", "line_id").agg(F.first("video_id").alias("video_id"), F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def bm25(lines: DataFrame, queries: DataFrame, k: int | None, min_idf: float = MIN_IDF, stemmed: bool = True, scope: DataFrame | None = None) -> DataFrame:
+def bm25(
+    lines: DataFrame,
+    queries: DataFrame,
+    k: int | None,
+    min_idf: float = MIN_IDF,
+    stemmed: bool = True,
+    scope: DataFrame | None = None,
+    postings: DataFrame | None = None,
+) -> DataFrame:
     """``query_id, line_id, bm25, rank``: the ``k`` best lines by the rare terms of each query; all of them without ``k``.
 
     ``scope(query_id, video_id)`` keeps each query to its videos: rare is what is
     rare in them, while weights and lengths are those of the whole index. A term
     counts as often as the query has it. The weight of a term is floored, as it
-    would fall below zero for terms of most lines.
+    would fall below zero for terms of most lines. ``postings`` as
+    :func:`cuelight.operators.postings.build_postings` keeps them save reading the
+    lines for words that aren't stemmed.
     """
     terms = terms_of(queries).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     corpus = F.broadcast(corpus_size(lines))  # one row
     rare = F.log(F.col("total") / F.col("df")) >= min_idf
     idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     if stemmed or scope is not None:
-        hits = phrase_hits(lines, terms) if stemmed else postings_of(lines, terms)
+        hits = phrase_hits(lines, terms) if stemmed else postings_of(lines, terms) if postings is None else postings
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
         weights = df.crossJoin(corpus).where(rare if scope is None else F.lit(True)).select("term", "avg_len", idf.alias("idf"))
+    elif postings is not None:
+        df = postings.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
+        weights, hits = df.crossJoin(corpus).where(rare).select("term", "avg_len", idf.alias("idf")), postings
     else:  # what is rare is known before its postings are gathered
         weights = document_frequencies(lines, terms).crossJoin(corpus).where(rare).select("term", "avg_len", idf.alias("idf"))
         hits = postings_of(lines, weights)
