@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """Adaptive execution on (coalescing, skew joins), UTC, Arrow on."""
+    """Adaptive execution on (coalescing, skew joins), UTC, Arrow on; spent checkpoints are removed."""
     builder = SparkSession.builder.master(master).appName("cuelight")
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         **conf,
     }
