@@ -98,13 +98,18 @@ def document_frequencies(lines: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _video(lines: DataFrame) -> Column:
+    """The video of a line; null where only words are asked about."""
+    return (F.col("video_id") if "video_id" in lines.columns else F.lit(None).cast("string")).alias("video_id")
+
+
 def postings_of(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, line_id, video_id, tf, len`` of the lines that hold one of ``terms(term)``.
 
     Lengths are counted in the scan and tokens meet the wanted terms before any
     shuffle, so what is shuffled are the hits.
     """
-    tokens = lines.select("line_id", "video_id", T.index_tokens(F.col("text")).alias("tokens"))
+    tokens = lines.select("line_id", _video(lines), T.index_tokens(F.col("text")).alias("tokens"))
     hits = tokens.select("line_id", "video_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term")
     return hits.groupBy("term", "line_id").agg(F.first("video_id").alias("video_id"), F.count("*").alias("tf"), F.first("len").alias("len"))
 
@@ -150,7 +155,7 @@ def phrase_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
     parts = terms.select("term").distinct().select("term", F.posexplode(T.index_tokens(F.col("term"))).alias("at", "part"))
     wanted = parts.join(stems(parts.select(F.col("part").alias("term")).distinct()).withColumnRenamed("term", "part"), "part").select("term", "at", "stem")
     size = wanted.groupBy("term").agg(F.count("*").alias("size"))
-    tokens = lines.select("line_id", "video_id", T.index_tokens(F.col("text")).alias("tokens")).select(
+    tokens = lines.select("line_id", _video(lines), T.index_tokens(F.col("text")).alias("tokens")).select(
         "line_id", "video_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("place", "token")
     )
     vocabulary = stems(tokens.select(F.col("token").alias("term")).distinct()).withColumnRenamed("term", "token")
