@@ -22,5 +22,5 @@ def test_phrases_and_stems(spark):
         [(1, "He’s running; he's run."), (2, "s he runs"), (3, "nothing here"), (4, ""), (5, "he is, s")], "line_id long, text string"
     )
     terms = spark.createDataFrame([("he's",), ("runs",), ("absent",)], "term string")
-    got = sorted(map(tuple, R.phrase_hits(lines, terms).collect()))
+    got = sorted(map(tuple, R.phrase_hits(lines, terms).select("term", "line_id", "tf").collect()))
     assert got == [("he's", 1, 2), ("runs", 1, 2), ("runs", 2, 1)]
