@@ -108,3 +108,27 @@ held AS (SELECT avg(score) FILTER (says = 'allow') AS a, avg(score) FILTER (says
 edge AS (SELECT coalesce(CASE WHEN sa + sr > 0 THEN (a * sr + r * sa) / (sa + sr) ELSE (a + r) / 2 END, CAST('-infinity' AS DOUBLE)) AS threshold FROM held)
 SELECT page_id, host, path, rule, coalesce(p.says, CASE WHEN score >= threshold OR score IS NULL THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
 FROM parsed p LEFT JOIN (SELECT body, score FROM scored WHERE says IS NULL) s USING (body), edge"""
+
+
+def trie_sql() -> str:
+    """Every node by the digest of its prefix, joined to its ancestors one by one."""
+    crc = """xor(list_reduce(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT),
+  lambda crc, byte: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(crc, byte)), 4294967295), 4294967295)"""
+    return f"""
+WITH said AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, h FROM (SELECT c AS conv_id, {crc} % 9 AS h FROM (SELECT DISTINCT conv_id AS c FROM said))),
+heads AS (SELECT c.conv_id, s.p, s.role, s.text FROM convs c JOIN said s ON s.conv_id = c.base AND s.p <= c.h),
+turns AS (SELECT * FROM heads UNION ALL
+  SELECT conv_id, 100 + p, role, text FROM said JOIN convs USING (conv_id) WHERE p > h),
+chained AS (SELECT conv_id, strlen(text) AS size, row_number() OVER w AS depth, md5(string_agg(md5(role) || md5(text), '') OVER w) AS prefix FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+members AS (SELECT conv_id, depth, prefix, size FROM chained UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS ends FROM members GROUP BY conv_id),
+nodes AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size,
+  string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = ends) AS ids FROM members JOIN lengths USING (conv_id) GROUP BY depth, prefix),
+up AS (SELECT n.depth, n.prefix, m.prefix AS parent FROM nodes n JOIN members m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1),
+below AS (SELECT depth - 1 AS depth, parent AS prefix, count(*) AS children FROM up GROUP BY ALL),
+sums AS (SELECT a.depth, a.prefix, count(*) FILTER (b.children IS NULL) AS leaves, sum((n.n - 1) * n.size) AS saved
+  FROM nodes n JOIN members a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN below b ON b.depth = n.depth AND b.prefix = n.prefix GROUP BY ALL)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(b.children, 0) AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s USING (depth, prefix) LEFT JOIN below b USING (depth, prefix) LEFT JOIN up USING (depth, prefix) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = up.parent"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import bpe, html, oracles, packing, quality, secrets, sharding, simhash, spotsigs, toxicity, urls
+from cuelight.llm import bpe, html, oracles, packing, quality, secrets, sharding, simhash, spotsigs, toxicity, trie, urls
 from cuelight.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_shared_heads(trie.turn_lists(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -63,8 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_urls": op10_urls,
+        "op11_trie": op11_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": oracles.secrets_sql(), "op6_spotsigs": oracles.spotsigs_sql(), "op10_urls": oracles.urls_sql()}
+    return {"op2_secrets": oracles.secrets_sql(), "op6_spotsigs": oracles.spotsigs_sql(), "op10_urls": oracles.urls_sql(), "op11_trie": oracles.trie_sql()}
