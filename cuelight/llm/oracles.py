@@ -7,6 +7,7 @@ shares with the operators only the tables of fixed values.
 from __future__ import annotations
 
 import math
+import string
 
 from cuelight.llm import secrets as S
 from cuelight.llm import spotsigs as P
@@ -132,3 +133,23 @@ sums AS (SELECT a.depth, a.prefix, count(*) FILTER (b.children IS NULL) AS leave
   FROM nodes n JOIN members a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN below b ON b.depth = n.depth AND b.prefix = n.prefix GROUP BY ALL)
 SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(b.children, 0) AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
 FROM nodes n JOIN sums s USING (depth, prefix) LEFT JOIN below b USING (depth, prefix) LEFT JOIN up USING (depth, prefix) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = up.parent"""
+
+
+def spelling_sql() -> str:
+    """Near words by what each is without one of its code points; forms followed one by one."""
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    crc = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(hex(encode(said))) // 2 + 1), lambda i: ('0x' || substr(hex(encode(said)), 2 * i - 1, 2))::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"""
+    return f"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(run, '{upper}', '{lower}') AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+told AS (SELECT run, n, {crc} AS h FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS said FROM runs)),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM told),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part FROM words, unnest(range(1, length(word) + 1)) AS r(i)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON w.word = l.part
+  UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON w.word = l.part),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS at FROM forms UNION ALL SELECT way.word, f.form FROM way JOIN forms f ON f.word = way.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN way w USING (word) JOIN forms last ON last.word = w.at AND last.form IS NULL"""

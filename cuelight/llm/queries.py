@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import bpe, html, oracles, packing, quality, secrets, sharding, simhash, spotsigs, toxicity, trie, urls
+from cuelight.llm import bpe, html, lempel, oracles, packing, quality, secrets, sharding, simhash, spelling, spotsigs, toxicity, trie, urls
 from cuelight.llm.common import table
 
 
@@ -55,6 +55,14 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.with_shared_heads(trie.turn_lists(table(spark, sf_dir, "conversations"))))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel.digest(lempel.without_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.noisy_words(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -68,8 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_urls": op10_urls,
         "op11_trie": op11_trie,
+        "op12_substrings": op12_substrings,
+        "op13_spelling": op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": oracles.secrets_sql(), "op6_spotsigs": oracles.spotsigs_sql(), "op10_urls": oracles.urls_sql(), "op11_trie": oracles.trie_sql()}
+    return {"op2_secrets": oracles.secrets_sql(), "op6_spotsigs": oracles.spotsigs_sql(), "op10_urls": oracles.urls_sql(), "op11_trie": oracles.trie_sql(), "op13_spelling": oracles.spelling_sql()}
