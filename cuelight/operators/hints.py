@@ -1,4 +1,10 @@
-"""What a description says about where to look: an episode, a season, a position."""
+"""What a description says about where to look: an episode, a season, a position.
+
+A description that comes with a title is read against that title's episodes
+alone, one without against all of them. Episodes are therefore entered in an
+index by scope, once for their title and once for the whole library, and every
+lookup is by scope and key.
+"""
 
 from __future__ import annotations
 
@@ -18,11 +24,26 @@ def _first(found: DataFrame, *order) -> DataFrame:
     return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def _by_scope(queries: DataFrame, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with their ``scope``: the ``title_id`` behind a mark, and nothing for the whole library.
+
+    Tables without titles have the one scope of the library.
+    """
+    title = F.concat(F.lit("="), F.col("title_id").cast("string"))
+    if "scope" not in queries.columns:
+        queries = queries.withColumn("scope", F.coalesce(title, F.lit("")) if "title_id" in queries.columns else F.lit(""))
+    if "scope" not in episodes.columns:
+        scopes = F.array_compact(F.array(F.lit(""), title)) if "title_id" in episodes.columns else F.array(F.lit(""))
+        episodes = episodes.withColumn("scope", F.explode(scopes))
+    return queries, episodes
+
+
 def quoted_episode(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     """The first quoted span that is an episode's name, by the key that names are compared by."""
-    spans = queries.select("query_id", F.posexplode(T.quoted_spans(F.col("text"))).alias("at", "span")).withColumn("key", T.comparison_key(F.col("span")))
+    queries, episodes = _by_scope(queries, episodes)
+    spans = queries.select("query_id", "scope", F.posexplode(T.quoted_spans(F.col("text"))).alias("at", "span")).withColumn("key", T.comparison_key(F.col("span")))
     named = episodes.withColumn("key", T.comparison_key(F.col("name"))).where("key <> ''")
-    hits = spans.join(named, "key")
+    hits = spans.join(named, ["scope", "key"])
     return _first(hits, "at", F.asc_nulls_first("season"), F.asc_nulls_first("episode"), "video_id").select("query_id", "video_id", _label().alias("label"))
 
 
@@ -32,12 +53,13 @@ def unquoted_episode(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     Names and texts meet by the names' first words, so only texts that hold it are
     compared.
     """
-    lines = queries.select("query_id", F.translate("text", "’‘", "''").alias("line"))
-    words = lines.select("query_id", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0)))).alias("first"))
+    queries, episodes = _by_scope(queries, episodes)
+    lines = queries.select("query_id", "scope", F.translate("text", "’‘", "''").alias("line"))
+    words = lines.select("query_id", "scope", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0)))).alias("first"))
     names = episodes.withColumn("plain", F.translate(T.trimmed(F.col("name")), "’‘", "''")).where(F.size(F.split("plain", f"[{T.BLANK}]+")) >= 2)
     names = names.withColumn("first", F.regexp_extract("plain", "^([A-Za-z0-9]+|[^A-Za-z0-9])", 1))
     pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), "plain", F.lit(r"\E(?![A-Za-z0-9])"))
-    hits = words.join(names, "first").where(F.expr("instr(line, plain) > 0")).where(F.regexp_like("line", pattern))
+    hits = words.join(names, ["scope", "first"]).where(F.expr("instr(line, plain) > 0")).where(F.regexp_like("line", pattern))
     return _first(hits, F.desc(F.length("plain")), F.asc_nulls_first("season"), F.asc_nulls_first("episode"), "video_id").select(
         "query_id", "video_id", _label().alias("label")
     )
@@ -45,8 +67,9 @@ def unquoted_episode(queries: DataFrame, episodes: DataFrame) -> DataFrame:
 
 def numbered_episode(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     """The episode whose season and number a text gives, forms in their order of trust."""
-    forms = queries.select("query_id", F.posexplode(T.numbered_episodes(F.col("text"))).alias("at", "n")).select("query_id", "at", "n.season", "n.episode")
-    return _first(forms.join(episodes, ["season", "episode"]), "at", "video_id").select("query_id", "video_id", _label().alias("label"))
+    queries, episodes = _by_scope(queries, episodes)
+    forms = queries.select("query_id", "scope", F.posexplode(T.numbered_episodes(F.col("text"))).alias("at", "n")).select("query_id", "scope", "at", "n.season", "n.episode")
+    return _first(forms.join(episodes, ["scope", "season", "episode"]), "at", "video_id").select("query_id", "video_id", _label().alias("label"))
 
 
 def season_scope(queries: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -55,10 +78,11 @@ def season_scope(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     A whole season has no ``video_id``; its episodes are rows of ``episodes``, to be
     joined by season where they are needed (:func:`scope_of`).
     """
-    asked = queries.select("query_id", T.season_number(F.col("text")).alias("season"), T.season_end(F.col("text")).alias("end"))
+    queries, episodes = _by_scope(queries, episodes)
+    asked = queries.select("query_id", "scope", T.season_number(F.col("text")).alias("season"), T.season_end(F.col("text")).alias("end"))
     one = F.struct("episode", "video_id", "name")
-    per = episodes.where("season is not null").groupBy("season").agg(F.count("*").alias("n"), F.max(one).alias("last"), F.min(one).alias("first"))
-    found = asked.join(per, "season").withColumn("one", F.when(F.col("end") == "last", F.col("last")).when(F.col("end") == "first", F.col("first")))
+    per = episodes.where("season is not null").groupBy("scope", "season").agg(F.count("*").alias("n"), F.max(one).alias("last"), F.min(one).alias("first"))
+    found = asked.join(per, ["scope", "season"]).withColumn("one", F.when(F.col("end") == "last", F.col("last")).when(F.col("end") == "first", F.col("first")))
     single = F.col("one").isNotNull()
     return found.select(
         "query_id",
@@ -71,9 +95,10 @@ def season_scope(queries: DataFrame, episodes: DataFrame) -> DataFrame:
 
 def scope_of(requests: DataFrame, episodes: DataFrame) -> DataFrame:
     """``query_id, video_id``: the videos that each of :func:`read_requests` names, as rows."""
+    requests, episodes = _by_scope(requests, episodes)
     one = requests.where("video_id is not null").select("query_id", "video_id")
-    seasons = requests.where("video_id is null and season is not null").select("query_id", "season")
-    return one.unionByName(seasons.join(episodes.select("season", "video_id"), "season").select("query_id", "video_id"))
+    seasons = requests.where("video_id is null and season is not null").select("query_id", "scope", "season")
+    return one.unionByName(seasons.join(episodes.select("scope", "season", "video_id"), ["scope", "season"]).select("query_id", "video_id"))
 
 
 def read_requests(queries: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -81,17 +106,20 @@ def read_requests(queries: DataFrame, episodes: DataFrame) -> DataFrame:
 
     A quoted name is an address and is taken out of the text, unless nothing
     would be left; a position is read whatever else is. ``season`` is set only
-    where a whole season is meant.
+    where a whole season is meant. Queries may have a ``title_id``, which comes
+    along; null asks the whole library.
     """
+    own = ["title_id"] if "title_id" in queries.columns else []
+    queries, episodes = _by_scope(queries, episodes)
     named = lambda df, k: df.select("query_id", F.struct("video_id", F.lit(None).cast("int").alias("season"), "label").alias(k))
     quoted = named(quoted_episode(queries, episodes), "q")
     prose = named(unquoted_episode(queries, episodes), "u")
     number = named(numbered_episode(queries, episodes), "n")
     whole = F.when(F.col("video_id").isNull(), F.col("season"))
     season = season_scope(queries, episodes).select("query_id", F.struct("video_id", whole.alias("season"), "label").alias("s"))
-    keys = queries.select("query_id", F.explode(T.quoted_spans(F.col("text"))).alias("span")).withColumn("key", T.comparison_key(F.col("span")))
-    known = episodes.select(T.comparison_key(F.col("name")).alias("key")).where("key <> ''").distinct()
-    spans = keys.join(known, "key", "left_semi").groupBy("query_id").agg(F.collect_set("span").alias("names"))
+    keys = queries.select("query_id", "scope", F.explode(T.quoted_spans(F.col("text"))).alias("span")).withColumn("key", T.comparison_key(F.col("span")))
+    known = episodes.select("scope", T.comparison_key(F.col("name")).alias("key")).where("key <> ''").distinct()
+    spans = keys.join(known, ["scope", "key"], "left_semi").groupBy("query_id").agg(F.collect_set("span").alias("names"))
     joined = queries
     for part in (quoted, prose, number, season, spans):
         joined = joined.join(part, "query_id", "left")
@@ -106,11 +134,12 @@ def read_requests(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     )
     left = T.squeeze(pieces)
     text = F.when(F.col("q").isNotNull() & (left != ""), left).otherwise(T.trimmed(F.col("text")))
-    return joined.withColumn("scope", F.coalesce("q", "u", "n", "s")).select(
+    return joined.withColumn("where", F.coalesce("q", "u", "n", "s")).select(
         "query_id",
+        *own,
         text.alias("text"),
-        "scope.video_id",
-        "scope.season",
-        "scope.label",
+        "where.video_id",
+        "where.season",
+        "where.label",
         T.position_hint(F.col("text")).alias("when"),
     )

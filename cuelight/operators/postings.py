@@ -1,22 +1,109 @@
-"""Kept postings of the keyword index, and their upkeep."""
+"""The kept keyword index: postings with places, by bucket of the stem.
+
+A row is a token of a line: its stem, the places where it stands, and the length
+of the line. Terms are looked up by stem, and a phrase is where the places of its
+parts, each moved back by the part's own place, are the same; no line is read for
+either. An index lies in folders by bucket of the stem, so a search reads those
+of its terms and a change writes those of its tokens.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
-from cuelight.operators.library import replace_by
+
+#: Folders of an index.
+BUCKETS = 64
+STEM_BUCKET = f"pmod(xxhash64(stem), {BUCKETS})"
+
+
+def stems(vocabulary: DataFrame) -> DataFrame:
+    """``term, stem`` of a table of distinct terms: stemming runs over the vocabulary, never over the text."""
+
+    @F.pandas_udf("string")
+    def stem_of(terms: pd.Series) -> pd.Series:
+        from cuelight.functions.porter import stem
+        from cuelight.functions.text import without_accents
+
+        return terms.map(lambda t: stem(without_accents(t)))
+
+    return vocabulary.select("term", stem_of("term").alias("stem"))
 
 
 def build_postings(lines: DataFrame) -> DataFrame:
-    """``video_id, term, line_id, tf, len`` of all lines: the whole index, built once."""
+    """``video_id, line_id, len, term, stem, places`` of all tokens of all lines; a null text has none."""
     tokens = lines.select("video_id", "line_id", T.index_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    rows = tokens.select("video_id", "line_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return rows.groupBy("video_id", "line_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    # the places of a token, gathered inside its line: the lists are no longer than the line
+    distinct = tokens.select("video_id", "line_id", F.size("tokens").alias("len"), "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
+    placed = distinct.select(
+        "video_id", "line_id", "len", "term",
+        F.filter(F.transform("tokens", lambda t, i: F.when(t == F.col("term"), i)), lambda i: i.isNotNull()).alias("places"),
+    )
+    return placed.join(stems(placed.select("term").distinct()), "term").select("video_id", "line_id", "len", "term", "stem", "places")
+
+
+def build_sizes(lines: DataFrame) -> DataFrame:
+    """``video_id, n_lines, n_tokens``: what the mean length and the number of lines come from."""
+    tokens = F.size(T.index_tokens(F.coalesce("text", F.lit(""))))
+    return lines.groupBy("video_id").agg(F.count("*").alias("n_lines"), F.sum(tokens).cast("long").alias("n_tokens"))
+
+
+def corpus_of(sizes: DataFrame) -> DataFrame:
+    """One row: number of lines and mean length, from :func:`build_sizes`."""
+    return sizes.agg(F.sum("n_lines").alias("total"), (F.sum("n_tokens") / F.sum("n_lines")).alias("avg_len"))
+
+
+def parts_of(terms: DataFrame) -> DataFrame:
+    """``term, at, stem, size``: the index tokens of each distinct term, which a line must have one after another."""
+    parts = terms.select("term").distinct().select("term", T.index_tokens(F.col("term")).alias("parts"))
+    parts = parts.select("term", F.size("parts").alias("size"), F.posexplode("parts").alias("at", "part"))
+    known = stems(parts.select(F.col("part").alias("term")).distinct()).withColumnRenamed("term", "part")
+    return parts.join(known, "part").select("term", "at", "stem", "size")
+
+
+def hits_of(postings: DataFrame, terms: DataFrame, stemmed: bool = True) -> DataFrame:
+    """``term, line_id, video_id, tf, len`` of the lines that hold one of ``terms(term)``, by postings alone.
+
+    Without stems a term is one token as it stands.
+    """
+    if not stemmed:
+        wanted = terms.select("term").distinct()
+        return postings.join(wanted, "term").select("term", "line_id", "video_id", F.size("places").cast("long").alias("tf"), "len")
+    parts = parts_of(terms)
+    met = postings.drop("term").join(parts, "stem")
+    line = [F.first("video_id").alias("video_id"), F.first("len").alias("len")]
+    single = met.where("size = 1").groupBy("term", "line_id").agg(*line, F.sum(F.size("places")).alias("tf"))
+    moved = met.where("size > 1").select("*", F.expr("transform(places, p -> p - at)").alias("starts"))
+    # as many rows as the term has parts, times the tokens of one stem
+    gathered = moved.groupBy("term", "line_id").agg(*line, F.first("size").alias("size"), F.collect_list(F.struct("at", "starts")).alias("parts"))
+    of = lambda k: F.flatten(F.transform(F.filter("parts", lambda p: p["at"] == k), lambda p: p["starts"]))
+    common = F.aggregate(F.sequence(F.lit(1), F.col("size") - 1), of(F.lit(0)), lambda acc, k: F.array_intersect(acc, of(k)))
+    phrases = gathered.select("term", "line_id", "video_id", "len", F.size(common).cast("long").alias("tf")).where("tf > 0")
+    return single.unionByName(phrases).select("term", "line_id", "video_id", "tf", "len")
 
 
 def refresh_postings(postings: DataFrame, lines: DataFrame, touched: DataFrame) -> DataFrame:
     """Postings after the lines of ``touched(video_id)`` changed: theirs are made anew, and gone where no line is left."""
+    from cuelight.operators.library import replace_by
+
     changed = lines.join(touched.select("video_id").distinct(), "video_id", "left_semi")
     return replace_by(postings, build_postings(changed), touched, "video_id")
+
+
+def write_postings(postings: DataFrame, path: str) -> None:
+    """One folder a bucket; within a folder sorted by stem, so that a reader's filter skips most row groups."""
+    spread = postings.withColumn("bucket", F.expr(STEM_BUCKET))
+    # a bucket of a large index is many files: it is dealt by video too
+    dealt = spread.repartition("bucket", F.expr("pmod(xxhash64(video_id), 16)")).sortWithinPartitions("bucket", "stem")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, terms: DataFrame | None = None) -> DataFrame:
+    """A written index; for ``terms(term)`` only the folders that can hold their stems (at most :data:`BUCKETS` numbers come to the driver)."""
+    kept = spark.read.parquet(path)
+    if terms is not None:
+        kept = kept.where(F.col("bucket").isin([r.bucket for r in parts_of(terms).select(F.expr(STEM_BUCKET).alias("bucket")).distinct().collect()]))
+    return kept.drop("bucket")

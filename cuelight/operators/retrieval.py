@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cuelight.functions import text as T
 from cuelight.functions import vectors as V
 from cuelight.operators.hints import read_requests, scope_of
+from cuelight.operators.postings import hits_of, stems
 from cuelight.session import cut
 
 RRF_K, LEXICAL_WEIGHT, MIN_IDF = 60, 1.5, 6.0
@@ -40,30 +41,29 @@ def knn(lines: DataFrame, query: list[float], k: int, title_id: str | None = Non
     return scoped.withColumn("distance", V.cosine_distance(F.col("embedding"), q)).orderBy("distance", "line_id").limit(k)
 
 
-def _packed(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
-    """``rows(key, embedding)`` as rows of up to ``size`` keys and unit vectors, in the bytes of one array each."""
+def _packed(rows: DataFrame, key: str, size: int, name: str, by: str | None = None) -> DataFrame:
+    """``rows(key, embedding)`` as rows of up to ``size`` keys and unit vectors, in the bytes of one array each; those of one ``by`` together."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(0, len(b), size):
-                part = b.iloc[k : k + size]
-                x = np.stack([np.asarray(v, np.float64) for v in part["embedding"]])
-                n = np.linalg.norm(x, axis=1)
-                unit = x / np.where(n > 0, n, 1)[:, None]
-                yield pd.DataFrame({f"{name}_ids": [part[key].to_numpy(np.int64).tobytes()], f"{name}_units": [unit.tobytes()]})
+            for group, rows in b.groupby(by, sort=False) if by else [(None, b)]:
+                for k in range(0, len(rows), size):
+                    part = rows.iloc[k : k + size]
+                    x = np.stack([np.asarray(v, np.float64) for v in part["embedding"]])
+                    n = np.linalg.norm(x, axis=1)
+                    unit = x / np.where(n > 0, n, 1)[:, None]
+                    made = {f"{name}_ids": [part[key].to_numpy(np.int64).tobytes()], f"{name}_units": [unit.tobytes()]}
+                    yield pd.DataFrame({by: [group], **made} if by else made)
 
-    return rows.where("embedding is not null").select(key, "embedding").mapInPandas(pack, f"{name}_ids binary, {name}_units binary")
+    kinds = f"{name}_ids binary, {name}_units binary"
+    wanted = rows.where("embedding is not null")
+    if by is None:
+        return wanted.select(key, "embedding").mapInPandas(pack, kinds)
+    return wanted.where(F.col(by).isNotNull()).select(by, key, "embedding").mapInPandas(pack, f"{by} {dict(rows.dtypes)[by]}, {kinds}")
 
 
-def knn_batch(lines: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """``query_id, line_id, distance, rank`` of the ``k`` nearest lines of every query; rows without a vector are left out.
-
-    Queries are packed into blocks, lines into chunks, and every block meets every
-    chunk once, as one matrix product. A task keeps the best ``k`` of its chunks
-    for each query, and only those meet in the shuffle. Neither side passes
-    through the driver.
-    """
-    pairs = _packed(lines, "line_id", CHUNK, "line").crossJoin(_packed(queries, "query_id", block, "query"))
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest lines of every query, from rows of a packed block of lines and one of queries each."""
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[bytes, pd.DataFrame] = {}
@@ -87,6 +87,17 @@ def knn_batch(lines: DataFrame, queries: DataFrame, k: int, block: int = QUERY_B
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def knn_batch(lines: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """``query_id, line_id, distance, rank`` of the ``k`` nearest lines of every query; rows without a vector are left out.
+
+    Queries are packed into blocks, lines into chunks, and every block meets every
+    chunk once, as one matrix product. A task keeps the best ``k`` of its chunks
+    for each query, and only those meet in the shuffle. Neither side passes
+    through the driver.
+    """
+    return _nearest(_packed(lines, "line_id", CHUNK, "line").crossJoin(_packed(queries, "query_id", block, "query")), k)
+
+
 def terms_of(queries: DataFrame) -> DataFrame:
     """``query_id, pos, term``: terms in order, repeats included."""
     return queries.select("query_id", F.posexplode(T.query_terms(F.col("text"))).alias("pos", "term"))
@@ -132,19 +143,6 @@ def term_rarity(lines: DataFrame, terms: DataFrame, min_idf: float = MIN_IDF) ->
     )
 
 
-def stems(vocabulary: DataFrame) -> DataFrame:
-    """``term, stem`` of a table of distinct terms: stemming runs over the vocabulary, never over the text."""
-
-    @F.pandas_udf("string")
-    def stem_of(terms: pd.Series) -> pd.Series:
-        from cuelight.functions.porter import stem
-        from cuelight.functions.text import without_accents
-
-        return terms.map(lambda t: stem(without_accents(t)))
-
-    return vocabulary.select("term", stem_of("term").alias("stem"))
-
-
 def phrase_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """:func:`postings_of` where a term's index tokens stand next to each other, compared by stem without accents.
 
@@ -176,6 +174,8 @@ def bm25(
     stemmed: bool = True,
     scope: DataFrame | None = None,
     postings: DataFrame | None = None,
+    corpus: DataFrame | None = None,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id, line_id, bm25, rank``: the ``k`` best lines by the rare terms of each query; all of them without ``k``.
 
@@ -183,20 +183,21 @@ def bm25(
     rare in them, while weights and lengths are those of the whole index. A term
     counts as often as the query has it. The weight of a term is floored, as it
     would fall below zero for terms of most lines. ``postings`` as
-    :func:`cuelight.operators.postings.build_postings` keeps them save reading the
-    lines for words that aren't stemmed.
+    :func:`cuelight.operators.postings.build_postings` makes them, or ``hits`` of
+    all terms of the queries, save reading the lines; so does ``corpus``, one row
+    of :func:`corpus_size`.
     """
     terms = terms_of(queries).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    corpus = F.broadcast(corpus_size(lines))  # one row
+    corpus = F.broadcast(corpus_size(lines) if corpus is None else corpus)  # one row
     rare = F.log(F.col("total") / F.col("df")) >= min_idf
     idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    if stemmed or scope is not None:
-        hits = phrase_hits(lines, terms) if stemmed else postings_of(lines, terms) if postings is None else postings
+    if hits is None and postings is not None:
+        hits = hits_of(postings, terms, stemmed)
+    if hits is None and (stemmed or scope is not None):
+        hits = phrase_hits(lines, terms) if stemmed else postings_of(lines, terms)
+    if hits is not None:
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
         weights = df.crossJoin(corpus).where(rare if scope is None else F.lit(True)).select("term", "avg_len", idf.alias("idf"))
-    elif postings is not None:
-        df = postings.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
-        weights, hits = df.crossJoin(corpus).where(rare).select("term", "avg_len", idf.alias("idf")), postings
     else:  # what is rare is known before its postings are gathered
         weights = document_frequencies(lines, terms).crossJoin(corpus).where(rare).select("term", "avg_len", idf.alias("idf"))
         hits = postings_of(lines, weights)
@@ -215,15 +216,13 @@ def bm25(
 
 
 def scoped_nearest(lines: DataFrame, queries: DataFrame, scope: DataFrame, k: int) -> DataFrame:
-    """:func:`knn_batch` for queries kept to the videos of ``scope(query_id, video_id)``."""
-    near = (
-        lines.where("embedding is not null")
-        .join(scope, "video_id")
-        .join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-        .select("query_id", "line_id", V.cosine_distance(F.col("embedding"), F.col("q")).alias("distance"))
-    )
-    order = Window.partitionBy("query_id").orderBy("distance", "line_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """:func:`knn_batch` for queries kept to the videos of ``scope(query_id, video_id)``.
+
+    Blocks of the queries of a video meet the chunks of its lines, so a pair of
+    a line and a query is one number of a matrix product.
+    """
+    asked = scope.join(queries.select("query_id", "embedding"), "query_id")
+    return _nearest(_packed(lines, "line_id", CHUNK, "line", "video_id").join(_packed(asked, "query_id", QUERY_BLOCK, "query", "video_id"), "video_id"), k)
 
 
 def fuse(vector: DataFrame, lexical: DataFrame) -> DataFrame:
@@ -313,6 +312,9 @@ def hybrid_search(
     scope: DataFrame | None = None,
     prefer: DataFrame | None = None,
     videos: DataFrame | None = None,
+    postings: DataFrame | None = None,
+    corpus: DataFrame | None = None,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
     """The best distinct moments of each query, with a score.
 
@@ -322,13 +324,14 @@ def hybrid_search(
     queries; others follow, so what a description names wrongly doesn't hide
     what it describes. The fused candidates meet the lines once, for place, time
     and, where only words found a line, its true distance; text joins what is left
-    at the end.
+    at the end. What :func:`bm25` can be given so that it reads no lines is handed on.
     """
+    kept_index = {"postings": postings, "corpus": corpus, "hits": hits}
     k = over_fetch(limit)
     vector = knn_batch(lines, queries, k) if scope is None else scoped_nearest(lines, queries, scope, k)
-    found = fuse(vector, bm25(lines, queries, k, min_idf, stemmed, scope)).select("query_id", "line_id", "pos")
+    found = fuse(vector, bm25(lines, queries, k, min_idf, stemmed, scope, **kept_index)).select("query_id", "line_id", "pos")
     if prefer is not None:
-        words = bm25(lines, queries.join(prefer.select("query_id").distinct(), "query_id", "left_semi"), None, min_idf, stemmed, prefer)
+        words = bm25(lines, queries.join(prefer.select("query_id").distinct(), "query_id", "left_semi"), None, min_idf, stemmed, prefer, **kept_index)
         first = preferred(lines, queries, prefer, videos, limit, words).select("query_id", "line_id", "pos")
         found = first.unionByName(found.withColumn("pos", F.col("pos") + limit))
     placed = (
@@ -369,27 +372,48 @@ def preferred(lines: DataFrame, queries: DataFrame, scope: DataFrame, videos: Da
     return found.join(fused.withColumnRenamed("pos", "fused"), ["query_id", "line_id"]).withColumnRenamed("fused", "pos").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
 
 
-def scene_search(lines: DataFrame, videos: DataFrame, queries: DataFrame, limit: int = 5, embed: Callable[[Column], Column] = V.hash_embedding, min_idf: float = MIN_IDF) -> DataFrame:
-    """Scenes for descriptions ``queries(query_id, text)``, which may have a ``title_id``.
+def scene_search(
+    lines: DataFrame,
+    videos: DataFrame,
+    queries: DataFrame,
+    limit: int = 5,
+    embed: Callable[[Column], Column] = V.hash_embedding,
+    min_idf: float = MIN_IDF,
+    stemmed: bool = True,
+    postings: DataFrame | None = None,
+) -> DataFrame:
+    """Scenes for descriptions ``queries(query_id, text)``, which may have a ``title_id`` and an ``embedding``.
 
     ``videos(video_id, title_id, name, season, episode, runtime_ms)`` are the
     episodes that descriptions can name; lines of other videos or without a title
-    aren't found. A title keeps a query to its videos; a named episode or season
+    aren't found. A title keeps a query to its videos, and it is read against
+    that title's episodes alone; a named episode or season
     comes first and the rest of the scope after it. A blank description finds
-    nothing. ``limit`` is bounded by :data:`MOST`.
+    nothing. ``limit`` is bounded by :data:`MOST`. Descriptions without vectors
+    get those of ``embed``. ``postings`` are those of a kept index.
+
+    The requests, and the lines that hold their terms, are found once and written;
+    the searches inside titles and of the library share them.
     """
     limit = min(limit, MOST)
     known = videos.where("title_id is not null")
     asked = queries.where(T.trimmed(F.col("text")) != "")
-    requests = read_requests(asked.select("query_id", "text"), known).withColumn("embedding", embed(F.col("text")))
+    requests = read_requests(asked.drop("embedding"), known)
+    given = "embedding" in queries.columns
+    requests = cut(requests.join(asked.select("query_id", "embedding"), "query_id") if given else requests.withColumn("embedding", embed(F.col("text"))))
     own = lines.join(known.select("video_id"), "video_id", "left_semi")
-    scope = asked.where("title_id is not null").select("query_id", "title_id").join(known.select("video_id", "title_id"), "title_id").select("query_id", "video_id") if "title_id" in queries.columns else None
-    prefer = scope_of(requests, known)
-    if scope is None:
-        return hybrid_search(own, requests, limit, min_idf, prefer=prefer, videos=known)
-    titled = asked.where("title_id is not null").select("query_id")
-    inside = hybrid_search(own, requests.join(titled, "query_id", "left_semi"), limit, min_idf, scope=scope, prefer=prefer.join(scope, ["query_id", "video_id"], "left_semi"), videos=known)
-    return inside.unionByName(hybrid_search(own, requests.join(titled, "query_id", "left_anti"), limit, min_idf, prefer=prefer, videos=known))
+    wanted = terms_of(requests)
+    inside = None if postings is None else postings.join(known.select("video_id"), "video_id", "left_semi")
+    hits = cut(hits_of(inside, wanted, stemmed) if inside is not None else phrase_hits(own, wanted) if stemmed else postings_of(own, wanted))
+    shared = {"videos": known, "corpus": cut(corpus_size(own)), "hits": hits}
+    prefer = cut(scope_of(requests, known).distinct())
+    if "title_id" not in queries.columns:
+        return hybrid_search(own, requests, limit, min_idf, stemmed, prefer=prefer, **shared)
+    titled = requests.where("title_id is not null")
+    scope = cut(titled.select("query_id", "title_id").join(known.select("video_id", "title_id"), "title_id").select("query_id", "video_id"))
+    found = hybrid_search(own, titled, limit, min_idf, stemmed, scope=scope, prefer=prefer.join(titled.select("query_id"), "query_id", "left_semi"), **shared)
+    free = requests.where("title_id is null")
+    return found.unionByName(hybrid_search(own, free, limit, min_idf, stemmed, prefer=prefer.join(free.select("query_id"), "query_id", "left_semi"), **shared))
 
 
 def context(lines: DataFrame, moments: DataFrame, pad_ms: int = 15_000, bucket_ms: int = 60_000) -> DataFrame:

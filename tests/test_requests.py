@@ -38,6 +38,28 @@ def test_requests(spark):
     assert got[8][3] is None
 
 
+def test_requests_of_a_title(spark):
+    """Titles share numbers and names; one that is given reads its own episodes, and none reads all."""
+    episodes = [("a%d" % k, "A", f"Part {k} of a", 1 + k // 4, 1 + k % 4) for k in range(8)] + [("b%d" % k, "B", f"Part {k} of b", 1 + k // 2, 1 + k % 2) for k in range(6)]
+    episodes += [("bx", "B", "Part 1 of a", None, None), ("nt", None, "Lone Part", 9, 9)]
+    e = spark.createDataFrame(episodes, "video_id string, title_id string, name string, season int, episode int")
+    texts = ["a walk in season 2, episode 2", "the season 2 finale", 'talk in "Part 1 of a" here', "they meet in Part 1 of a again", "season 3 of it", "season 1, all", 's9e9 it was']
+    rows = [(10 * k + j, t, title) for k, t in enumerate(texts) for j, title in enumerate(("A", "B", None, "C"))]
+    q = spark.createDataFrame(rows, "query_id long, text string, title_id string")
+    requests = read_requests(q, e)
+    told = {r.query_id: (r.title_id, r.video_id) for r in requests.collect()}
+    assert [told[k] for k in range(4)] == [("A", "a5"), ("B", "b3"), (None, "a5"), ("C", None)]
+    assert [told[k][1] for k in range(10, 14)] == ["a7", "b3", "a7", None]
+    assert [told[k][1] for k in range(20, 24)] == ["a1", "bx", "bx", None]
+    assert [told[k][1] for k in range(30, 34)] == ["a1", "bx", "bx", None]
+    assert [told[k][1] for k in range(60, 64)] == [None, None, "nt", None]
+    scope = {}
+    for r in scope_of(requests, e).collect():
+        scope.setdefault(r.query_id, []).append(r.video_id)
+    assert sorted(scope[41]) == ["b4", "b5"] and sorted(scope[42]) == ["b4", "b5"] and 40 not in scope
+    assert [sorted(scope[k]) for k in (50, 51, 52)] == [["a0", "a1", "a2", "a3"], ["b0", "b1"], ["a0", "a1", "a2", "a3", "b0", "b1"]]
+
+
 def split(spark, text, **options):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     return [r.description for r in split_descriptions(df, **options).orderBy("pos").collect()]

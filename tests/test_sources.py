@@ -6,7 +6,7 @@ from cuelight.functions import cut as C
 from cuelight.operators import retrieval as R
 from cuelight.sources.catalogue import read_catalogue
 from cuelight.sources.subtitle_files import read_subtitles
-from cuelight.streaming.ingest import read_lines, start_indexing
+from cuelight.streaming.ingest import read_lines, read_status, start_indexing
 
 BLOCK = "{k}\n00:00:{k:02d},000 --> 00:00:{k:02d},900\nline number {k} here\n"
 
@@ -50,7 +50,7 @@ def test_indexing_is_incremental_and_repeats_nothing(spark, tmp_path):
     (files / "v5.srt").write_text(BLOCK.format(k=2))
     assert run() == first | {"v5": 1}
     assert ids < {r.line_id for r in read_lines(spark, out).collect()}
-    status = {r.video_id: r.status for r in spark.read.parquet(f"{out}/status").collect()}
+    status = {r.video_id: r.status for r in read_status(spark, out).collect()}
     assert status == {"v1": "ok", "v2": "ok", "v3": "none", "v5": "ok"}
 
 
