@@ -7,15 +7,28 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import cut as C
 from cuelight.functions import text as T
+from cuelight.operators import intervals
 
 #: The longest span that clip cues are given for.
 MOST_SPAN_MS = 120_000
 
 
-def with_cues(marks: DataFrame, cues: DataFrame) -> DataFrame:
-    """``marks(video_id, …)`` with all cues of their video in order; a video's cues are bounded by its length."""
-    ordered = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "cue", "text"))).alias("cues")
-    return marks.join(cues.groupBy("video_id").agg(ordered), "video_id")
+def with_cues(marks: DataFrame, cues: DataFrame, key: list[str]) -> DataFrame:
+    """``marks(video_id, key, lo, hi, …)`` with the array ``cues`` of what their video says from ``lo`` to ``hi``, in order."""
+    return intervals.with_near(marks, cues.select("video_id", "start_ms", "end_ms", "cue", "text"), key, "cues")
+
+
+def reach(start: Column, end: Column, match_start: Column, match_end: Column) -> tuple[Column, Column]:
+    """From where to where cues matter to a clip: the window its edges may move in, and what they snap to from there."""
+    return (
+        F.least(start, end, C.window_start(match_start)) - C.SNAP,
+        F.greatest(start, end, C.window_end(match_end)) + C.SNAP,
+    )
+
+
+def edge_points(cues: DataFrame) -> DataFrame:
+    """``video_id, p``: where cues start and end."""
+    return cues.select("video_id", F.explode(F.array("start_ms", "end_ms")).alias("p"))
 
 
 def alternates_of_title(matches: Column, picked: Column, title: str = "title") -> Column:

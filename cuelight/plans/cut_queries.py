@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import cut as C
 from cuelight.operators import cutting as K
+from cuelight.operators import intervals as I
 from cuelight.plans import views
 from cuelight.plans.views import CUES_SQL
 
@@ -65,13 +66,17 @@ SELECT cut_id, pos, greatest(0, start_ms - 15000) AS window_start, end_ms + 1500
        greatest(s + 250, least(end_ms + 15000, e + 987)) - end_ms AS pad_after FROM bounds"""
 
 
-def _with_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A clip around each cue of the conversations' videos, with all cues of the video."""
-    cues = views.cues(spark, sf_dir)
-    marks = cues.select(
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clip around each cue of the conversations' videos."""
+    return views.cues(spark, sf_dir).select(
         "video_id", "cue", (F.col("start_ms") + F.col("cue") * 37 - 180).alias("s"), (F.col("end_ms") + 2300 - F.col("cue") * 53).alias("e"), F.col("start_ms").alias("m_start"), F.col("end_ms").alias("m_end")
     )
-    return K.with_cues(marks, cues)
+
+
+def _with_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips with the cues in their reach."""
+    lo, hi = K.reach(F.col("s"), F.col("e"), F.col("m_start"), F.col("m_end"))
+    return K.with_cues(_marks(spark, sf_dir).withColumn("lo", lo).withColumn("hi", hi), views.cues(spark, sf_dir), ["cue"])
 
 
 def snap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +99,11 @@ SNAP_SQL = f"WITH {MARKS_SQL} SELECT video_id, cue, {_snap_sql('s')} AS start_ms
 
 
 def next_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _with_cues(spark, sf_dir).withColumn("points", K.boundaries(F.col("cues"), F.col("m_start"), F.col("m_end")))
-    return c.select(
-        "video_id", "cue", C.next_boundary(F.col("points"), F.col("s"), True).alias("after"), C.next_boundary(F.col("points"), F.col("s"), False).alias("before")
-    )
+    """The edges of cues on either side of each clip's start, however far."""
+    points = K.edge_points(views.cues(spark, sf_dir))
+    marks = _marks(spark, sf_dir).select("video_id", "cue", (F.col("s") + 1).alias("over"), (F.col("s") - 1).alias("under"))
+    after = I.first_past(marks, points, ["cue"], "over", "after")
+    return I.first_past(after, points, ["cue"], "under", "before", before=True).select("video_id", "cue", "after", "before")
 
 
 BOUNDARY_SQL = f"""
