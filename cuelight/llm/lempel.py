@@ -24,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.llm.common import small_text_batches, stable, text_of
@@ -34,6 +35,9 @@ WINDOW, ANCHOR = 35, 12
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Rows of a batch that a task returns.
 ROWS = 50_000
+#: A run of windows is one number: its first window times this, and how many there are.
+RUN = 1 << 16
+BLOCK = "key_a long, key_b long, run long, mark long, whole long"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -106,14 +110,14 @@ def _blocks(window: int, anchor: int):
         hashes = Hashes()
         for batch in batches:
             parts, held = [], 0
-            for a, b, text in zip(batch["key_a"], batch["key_b"], batch["body"]):
-                words = text.split()
+            for a, b, body in zip(batch["key_a"], batch["key_b"], batch["body"]):
+                words = body.split()
                 if len(words) < window:
                     continue
                 sums = hashes.sums(words)
                 first, many, mark, _ = blocks_of(sums, hashes, window, anchor)
                 whole = hashes.of(sums, 1, first, many + window - 1)
-                parts.append((np.full(len(first), a), np.full(len(first), b), first, many, mark.view(np.int64), whole.view(np.int64)))
+                parts.append((np.full(len(first), a), np.full(len(first), b), first * RUN + many, mark.view(np.int64), whole.view(np.int64)))
                 held += len(first)
                 if held >= ROWS:
                     yield _frame(parts)
@@ -125,33 +129,45 @@ def _blocks(window: int, anchor: int):
 
 
 def _frame(parts: list[tuple]) -> pd.DataFrame:
-    made = pd.DataFrame({c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(["key_a", "key_b", "first", "many", "mark", "whole"])})
-    return made.astype({"first": "int32", "many": "int32"})
+    return pd.DataFrame({c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(["key_a", "key_b", "run", "mark", "whole"])})
 
 
 def _windows(window: int, anchor: int):
     """Hashes of the windows in the asked blocks of each text."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
+        hashes, unpack = Hashes(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             parts, held = [], 0
-            for a, b, text, asked in zip(batch["key_a"], batch["key_b"], batch["body"], batch["asked"]):
-                sums = hashes.sums(text.split())
-                for first, many, mark in sorted((q["first"], q["many"], q["mark"]) for q in asked):
-                    at = np.arange(first, first + many)
-                    one = np.ones(many, np.int64)
-                    parts.append((a * one, b * one, at, one, mark * one, hashes.of(sums, 1, at, window).view(np.int64)))
-                    held += many
-                    if held >= ROWS:
-                        yield _frame(parts)
-                        parts, held = [], 0
+            for a, b, packed, asked in zip(batch["key_a"], batch["key_b"], batch["packed"], batch["asked"]):
+                sums = hashes.sums(unpack(packed).split())
+                run = np.fromiter((q["run"] for q in asked), np.int64, len(asked))
+                mark = np.fromiter((q["mark"] for q in asked), np.int64, len(asked))
+                many = run % RUN
+                # the windows of all runs, one after another
+                at = np.repeat(run // RUN - np.cumsum(many) + many, many) + np.arange(many.sum())
+                one = np.ones(len(at), np.int64)
+                parts.append((a * one, b * one, at * RUN + 1, np.repeat(mark, many), hashes.of(sums, 1, at, window).view(np.int64)))
+                held += len(at)
+                if held >= ROWS:
+                    yield _frame(parts)
+                    parts, held = [], 0
             if parts:
                 yield _frame(parts)
 
     return rows
 
 
+def _packed(body: str) -> Column:
+    """Texts as they are shuffled: that is done twice, and is most of what is."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(zstandard.ZstdCompressor().compress)
+
+    return pack(body)
+
+
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows by two hashes of their key and text, 128 bits in all; equal rows have equal ones, and equal results."""
     body = text_of(text)
@@ -161,34 +177,30 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``key_a, key_b, spans``: for each text with any, its runs ``(first, many)`` of duplicate windows, in no order."""
+    """``key_a, key_b, spans``: for each text with any, its runs of duplicate windows, in no order."""
     # made twice, as a copy of all blocks would take more disk than their text
-    blocks = keyed.select("key_a", "key_b", "body").mapInPandas(_blocks(window, anchor), "key_a long, key_b long, first int, many int, mark long, whole long")
+    blocks = keyed.select("key_a", "key_b", "body").mapInPandas(_blocks(window, anchor), BLOCK)
     marks = blocks.groupBy("mark").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
     found = stable(blocks.join(marks.where("n > 1").select("mark", F.expr("low <> high").alias("mixed")), "mark"))
-    run = ["key_a", "key_b", "first", "many"]
-    alike, mixed = found.where("not mixed").select(run), found.where("mixed")
+    place = ["key_a", "key_b", "run"]
+    alike, mixed = found.where("not mixed").select(place), found.where("mixed")
     # of equal blocks any one stands for all
-    kinds = stable(mixed.groupBy("mark", "whole").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in run]))
-    again = mixed.join(kinds.where("times > 1").select("mark", "whole"), ["mark", "whole"], "left_semi").select(run)
+    kinds = stable(mixed.groupBy("mark", "whole").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in place]))
+    again = mixed.join(kinds.where("times > 1").select("mark", "whole"), ["mark", "whole"], "left_semi").select(place)
     # different blocks under one anchor may share a window: that is where factors end
-    asked = kinds.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("first", "many", "mark")).alias("asked"))
-    windows = stable(
-        keyed.select("key_a", "key_b", "body")
-        .join(asked, ["key_a", "key_b"])
-        .mapInPandas(_windows(window, anchor), "key_a long, key_b long, first int, many int, mark long, whole long")
-    )
+    asked = kinds.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("run", "mark")).alias("asked"))
+    texts = keyed.select("key_a", "key_b", _packed("body").alias("packed"))
+    windows = stable(texts.join(asked, ["key_a", "key_b"]).mapInPandas(_windows(window, anchor), BLOCK))
     met = windows.groupBy("mark", "whole").agg(F.count("*").alias("times")).where("times > 1").select("mark", "whole")
-    single = windows.join(met, ["mark", "whole"], "left_semi").select(run)
-    return alike.unionByName(again).unionByName(single).groupBy("key_a", "key_b").agg(F.collect_list(F.struct("first", "many")).alias("spans"))
+    single = windows.join(met, ["mark", "whole"], "left_semi").select(place)
+    return alike.unionByName(again).unionByName(single).groupBy("key_a", "key_b").agg(F.collect_list("run").alias("spans"))
 
 
-def _covered(spans, n: int, window: int) -> np.ndarray:
+def _covered(runs, n: int, window: int) -> np.ndarray:
     """Which of n words lie in a duplicate window."""
     steps = np.zeros(n + 1, np.int64)
-    if spans is not None:
-        first = np.fromiter((s["first"] for s in spans), np.int64, len(spans))
-        many = np.fromiter((s["many"] for s in spans), np.int64, len(spans))
+    if runs is not None:
+        first, many = np.divmod(np.asarray(runs, np.int64), RUN)
         np.add.at(steps, first, 1)
         np.add.at(steps, first + many + window - 1, -1)
     return np.cumsum(steps[:n]) > 0
@@ -206,21 +218,22 @@ def duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     @F.pandas_udf("n_words long, spans array<struct<start:int,end:int>>")
     def cover(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
+        out, unpack = [], zstandard.ZstdDecompressor().decompress
         for t, s in zip(texts, spans):
-            n = len(t.split())
+            n = len(unpack(t).split())
             mark = np.diff(np.concatenate(([0], _covered(s, n, window).astype(np.int8), [0])))
             ranges = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(mark == 1), np.flatnonzero(mark == -1))]
             out.append((n, ranges))
         return pd.DataFrame(out, columns=["n_words", "spans"])
 
-    return _with_spans(docs, key, text, window, anchor).select("doc_id", cover("body", "spans").alias("c")).select("doc_id", "c.*")
+    return _with_spans(docs, key, text, window, anchor).select("doc_id", cover("packed", "spans").alias("c")).select("doc_id", "c.*")
 
 
 def _with_spans(docs: DataFrame, key: str, text: str, window: int, anchor: int) -> DataFrame:
     small_text_batches(docs.sparkSession)
     keyed = _keyed(docs, key, text)
-    return keyed.join(_spans(keyed, window, anchor), ["key_a", "key_b"], "left").select("doc_id", "body", "spans")
+    texts = keyed.select("doc_id", "key_a", "key_b", _packed("body").alias("packed"))
+    return texts.join(_spans(keyed, window, anchor), ["key_a", "key_b"], "left").select("doc_id", "packed", "spans")
 
 
 def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -228,9 +241,9 @@ def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     @F.pandas_udf("n_words long, n_removed long, kept binary")
     def keep(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
+        out, unpack = [], zstandard.ZstdDecompressor().decompress
         for t, s in zip(texts, spans):
-            words = t.split()
+            words = unpack(t).split()
             gone = _covered(s, len(words), window)
             removed = int(gone.sum())
             if removed:
@@ -238,7 +251,7 @@ def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
             out.append((len(gone), removed, b" ".join(words)))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
-    return _with_spans(docs, key, text, window, anchor).select("doc_id", keep("body", "spans").alias("k")).select(
+    return _with_spans(docs, key, text, window, anchor).select("doc_id", keep("packed", "spans").alias("k")).select(
         "doc_id", "k.n_words", "k.n_removed", F.col("k.kept").cast("string").alias("kept")
     )
 
