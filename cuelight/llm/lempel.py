@@ -181,7 +181,9 @@ def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     # made twice, as a copy of all blocks would take more disk than their text
     blocks = keyed.select("key_a", "key_b", "body").mapInPandas(_blocks(window, anchor), BLOCK)
     marks = blocks.groupBy("mark").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
-    found = stable(blocks.join(marks.where("n > 1").select("mark", F.expr("low <> high").alias("mixed")), "mark"))
+    # written first, so that a join is all that its shuffle is for and hot anchors can be split there
+    marks = stable(marks.where("n > 1").select("mark", F.expr("low <> high").alias("mixed")))
+    found = stable(blocks.join(marks, "mark"))
     place = ["key_a", "key_b", "run"]
     alike, mixed = found.where("not mixed").select(place), found.where("mixed")
     # of equal blocks any one stands for all
@@ -191,7 +193,7 @@ def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     asked = kinds.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("run", "mark")).alias("asked"))
     texts = keyed.select("key_a", "key_b", _packed("body").alias("packed"))
     windows = stable(texts.join(asked, ["key_a", "key_b"]).mapInPandas(_windows(window, anchor), BLOCK))
-    met = windows.groupBy("mark", "whole").agg(F.count("*").alias("times")).where("times > 1").select("mark", "whole")
+    met = stable(windows.groupBy("mark", "whole").agg(F.count("*").alias("times")).where("times > 1").select("mark", "whole"))
     single = windows.join(met, ["mark", "whole"], "left_semi").select(place)
     return alike.unionByName(again).unionByName(single).groupBy("key_a", "key_b").agg(F.collect_list("run").alias("spans"))
 
