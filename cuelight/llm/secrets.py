@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,59 +46,77 @@ BLOCK = 64
 TERMS = [0] + [round(c * math.log2(c) * 1_000_000) for c in range(1, WINDOW + 1)]
 #: Least entropy of a hot window, in bits a character, for each character class.
 THRESHOLDS = {"hex": 2.9, "single": 3.6, "mixed": 3.7}
-#: A word of a path or name: letters of one case or in humps, few digits after them; or a short number.
-WORD = r"(?:[A-Z]?[a-z]{1,12}(?:[A-Z][a-z]{2,12}){0,3}[0-9]{0,4}|[A-Z]{1,12}[0-9]{0,4}|[0-9]{1,8})"
+#: Letters of a syllable: a word of a path or name has a vowel in every five letters, or is of three at most.
+_C, _V = "[b-df-hj-np-tv-xz]", "[aeiouy]"
+_LOWER = f"(?:(?:{_C}{{0,4}}{_V}{{1,3}}){{1,6}}{_C}{{0,4}}|{_C}{{1,3}})"
+#: A word of a path or name: such letters of one case or in humps, few digits after them; or a short number.
+WORD = f"(?:[A-Z]?{_LOWER}(?:[A-Z]{_LOWER}){{0,3}}[0-9]{{0,4}}|[A-Z]{{1,12}}[0-9]{{0,4}}|[0-9]{{1,8}})"
+#: Letters alone: each part between separators of one case, or in humps of three letters and more.
+PART = "(?:[A-Z]?[a-z]+|[A-Z]+|[a-z]*(?:[A-Z][a-z]{2,}){1,8})"
 #: Candidates that are no secrets although their entropy is high: UUIDs; those of
 #: which every window overlaps a placeholder (what lies before, between and after is
-#: shorter than a window); those without a digit or a letter; paths and names of words.
+#: shorter than a window); those without a letter, or of letters as words have them;
+#: paths and names of words.
 ALLOWED = (
     r"\A[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z",
     r"(?i)\A.{0,19}(?:(?:example|placeholder|changeme|sample|dummy).{0,19}|x{6,}(?:[^x].{0,18})?){1,3}\z",
-    r"\A[0-9=+/_-]*\z|\A[A-Za-z=+/_-]*\z",
+    rf"\A[0-9=+/_-]*\z|\A[=+/_-]*{PART}(?:[=+/_-]+{PART})*[=+/_-]*\z",
     rf"\A(?:/+{WORD}(?:[/_-]+{WORD})+|{WORD}(?:[/_-]+{WORD}){{2,}})[/_-]*\z",
 )
 
 
-def _found(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
-    """Matches as structs; a match starts after the texts between the earlier ones and those themselves.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: what a lambda names as an expression is computed at each of its steps."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(items: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """``array<array<struct<at, item>>>``: each item with what ``join`` makes of the values before it, from 0 on, in blocks.
 
-    Places are running sums in two levels, in each block of ``BLOCK`` matches and
-    over blocks, as an array that grows is copied at each step.
+    In two levels, in each block of ``BLOCK`` items and over blocks, as an array
+    that grows is copied at each step.
     """
-    wholes, sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.slice(F.split(text, pattern, -1), 1, F.size(wholes))
-    matches = F.arrays_zip(wholes.alias("w"), sizes.alias("s"), between.alias("b"))
-    blocks = F.transform(F.sequence(F.lit(1), F.size(matches), F.lit(BLOCK)), lambda k: F.slice(matches, k, BLOCK))
-    length = lambda m: F.char_length(m["b"]) + F.char_length(m["w"])
 
-    def walk(items: Column, size, start: Column) -> Column:
-        """``array<struct<at, item>>``: each item with the sum of the sizes before it."""
+    def walk(of: Column, each: Callable[[Column], Column], start: Column) -> Column:
         return F.aggregate(
-            items,
+            of,
             F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc, x: F.struct(join(acc["at"], each(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
             lambda acc: acc["out"],
         )
 
-    bases = walk(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, m: n + length(m)), F.lit(0))
-    placed = F.flatten(
-        F.transform(
-            F.arrays_zip(blocks.alias("block"), bases.alias("base")),
-            lambda z: F.zip_with(
-                z["block"],
-                walk(z["block"], length, z["base"]),
-                lambda m, at: F.struct(
-                    (at + F.char_length(m["b"])).alias("start"),
-                    F.lit(rank).alias("rank"),
-                    (at + length(m)).alias("end"),
-                    F.lit(kind).alias("kind"),
-                    F.char_length(m["s"]).alias("size"),
-                    m["w"].alias("match"),
-                ),
-            ),
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, x: join(acc, value(x))))
+        return F.zip_with(
+            blocks,
+            walk(sums, lambda x: x, F.lit(0)),
+            lambda block, base: F.zip_with(block, walk(block, value, base), lambda x, at: F.struct(at.alias("at"), x.alias("item"))),
         )
+
+    cut = lambda every: F.transform(F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)), F.lit(BLOCK)), lambda k: F.slice(every, k, BLOCK))
+    return _let(items, lambda every: _let(cut(every), placed))
+
+
+def _found(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
+    """Matches as structs; a match starts after the texts between the earlier ones and those themselves."""
+    wholes, sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    between = F.split(text, pattern, -1)
+    matches = F.arrays_zip(wholes.alias("w"), sizes.alias("s"), between.alias("b"))
+    length = lambda m: F.char_length(m["b"]) + F.char_length(m["w"])
+    # the last text between has no match after it
+    placed = F.flatten(_before(_let(matches, lambda m: F.filter(m, lambda x: x["w"].isNotNull())), length, lambda a, x: a + x))
+    spans = F.transform(
+        placed,
+        lambda p: F.struct(
+            (p["at"] + F.char_length(p["item"]["b"])).alias("start"),
+            F.lit(rank).alias("rank"),
+            (p["at"] + length(p["item"])).alias("end"),
+            F.lit(kind).alias("kind"),
+            F.char_length(p["item"]["s"]).alias("size"),
+            p["item"]["w"].alias("match"),
+        ),
     )
-    return F.when(text.rlike(pattern), F.filter(placed, lambda m: m["size"] >= least))
+    return F.when(text.rlike(pattern), F.filter(spans, lambda m: m["size"] >= least))
 
 
 EMPTY = "array<struct<start:int,rank:int,end:int,kind:string,size:int,match:string>>"
@@ -207,10 +226,12 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.when(body.rlike(CANDIDATE), _hot(body)).otherwise(F.array().cast(EMPTY)).alias("windows"),
     )
     base = F.array_sort(F.concat(*[F.col(f"in_{k}") for k, *_ in KINDS]))
-    inside = lambda w: F.exists("base", lambda b: (b["start"] <= w["start"]) & (b["end"] >= w["end"]))
+    # by start, base spans first of equals: a window is inside one if those before it reach as far
+    reached = F.flatten(_before(F.array_sort(F.concat("base", "windows")), lambda m: F.when(m["rank"] < len(KINDS), m["end"]).otherwise(0), lambda a, x: F.greatest(a, x)))
+    outside = F.transform(F.filter(reached, lambda p: (p["item"]["rank"] == len(KINDS)) & (p["at"] < p["item"]["end"])), lambda p: p["item"])
     return found.select(
         "doc_id", *[F.size(f"in_{k}").cast("long").alias(f"n_{k}") for k, *_ in KINDS], base.alias("base"), "windows"
-    ).select("*", F.filter("windows", lambda w: ~inside(w)).alias("hot")).drop("windows")
+    ).select("*", F.when(F.size("windows") > 0, outside).otherwise(F.col("windows")).alias("hot")).drop("windows")
 
 
 def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,15 +252,26 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]")
     body = F.col(text)
     spans = [_or_none(_found(body, p, g, n, k, i)) for i, (k, p, g, n) in enumerate(KINDS)]
     spans.append(F.coalesce(F.when(body.rlike(CANDIDATE), _hot(body)), F.array().cast(EMPTY)))
-    merged = F.aggregate(
-        F.array_sort(F.concat(*spans)),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, m: F.struct(
-            F.greatest(acc["at"], m["end"]).alias("at"),
-            F.when(m["start"] >= acc["at"], F.concat(acc["out"], F.substring(body, acc["at"] + 1, m["start"] - acc["at"]), F.lit(mark)))
-            .otherwise(acc["out"])
-            .alias("out"),
+    every = F.array_sort(F.concat(*spans))
+
+    def told(block: Column) -> Column:
+        """The text from where the spans before a block end to where those in it do; places count from there."""
+        base = block[0]["at"]
+        until = F.aggregate(block, base, lambda acc, p: F.greatest(acc, p["item"]["end"]))
+        part = lambda own, p: F.when(
+            p["item"]["start"] >= p["at"], F.concat(F.substring(own, p["at"] - base + 1, p["item"]["start"] - p["at"]), F.lit(mark))
+        ).otherwise(F.lit(""))
+        return _let(F.substring(body, base + 1, until - base), lambda own: F.array_join(F.transform(block, lambda p: part(own, p)), ""))
+
+    # the spans are sought once for what is before the last of them and what is after it
+    merged = _let(
+        _let(
+            every,
+            lambda found: F.struct(
+                _before(found, lambda m: m["end"], lambda a, x: F.greatest(a, x)).alias("blocks"),
+                F.aggregate(found, F.lit(0), lambda acc, m: F.greatest(acc, m["end"])).alias("last"),
+            ),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.char_length(body))),
+        lambda s: F.concat(F.array_join(F.transform(F.filter(s["blocks"], lambda b: F.size(b) > 0), told), ""), F.substring(body, s["last"] + 1, F.char_length(body))),
     )
     return docs.withColumn(text, merged)

@@ -90,11 +90,12 @@ def test_planted_keys_are_not_allowed(spark):
     rng = random.Random(8)
     keys = [base64.b64encode(rng.randbytes(n)).decode() for n in (30, 48, 66, 129) for _ in range(50)]
     assert sum(k.count("/") > 1 for k in keys) > 50
+    keys += ["Zkqjxv-Wpqmzr-Yhtbnc1234", "qXzjkwvp/Hgfdsapo12/Mnbvcxzl9", "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=40))]
     low = ["sk_live_" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=32)) for _ in range(20)]
     beside = ["sample_key=" + base64.b64encode(rng.randbytes(30)).decode().replace("/", "a") for _ in range(20)]
     none = [
         "path/to/some/long/file/name12/that/is/no/secret", "/usr/lib/python3/site-packages/urllib3", "a-long-title-of-2024-about-many-things",
-        "com/assets/imageGallery/thumbs2/large", "my-example-key-4f7Q2z", "xxxxxxxxxxxxxxxxxxxxxxxxxxxx1A", "123e4567-e89b-12d3-a456-426614174000",
+        "com/assets/imageGallery/thumbs2/large", "SomeVeryLongClassNameFactory", "internationalisation-of-words", "src/main/css/fonts/style4/print", "my-example-key-4f7Q2z", "xxxxxxxxxxxxxxxxxxxxxxxxxxxx1A", "123e4567-e89b-12d3-a456-426614174000",
     ]
     rows = [f"see {k} there" for k in keys + low + beside + none]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
@@ -115,3 +116,18 @@ def test_very_long_texts_of_many_matches(spark):
     one = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=300)) + "a" * 40
     df = spark.createDataFrame([(1, long), (2, (one * 20) + "0")], "doc_id long, text string")
     check(df.collect(), S.secret_spans(df).collect())
+
+
+def test_time_grows_with_the_matches(spark):
+    """100,000 matches in one text, each with a window in or beside it; redaction too."""
+    import time
+
+    df = lambda n: spark.createDataFrame([(1, "token: abcdefN " * (n // 2) + "key=Zx81QpLm20RtVw47YnKc;" * (n // 2))], "doc_id long, text string")
+    S.secret_spans(df(100)).collect()
+    began = time.time()
+    row = S.secret_spans(df(100_000)).first()
+    assert row.n_assign == 50_000 and row.spans.count("entropy:") == 50_000
+    took = time.time() - began
+    text = S.redact_secrets(df(20_000)).first().text
+    assert text == "[secret] " * 10_000 + "[secret];" * 10_000
+    assert took < 60  # 10 s on an idle machine; a form that is quadratic takes an hour
