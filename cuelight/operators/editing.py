@@ -11,6 +11,8 @@ from cuelight.functions import text as T
 WIDTH, FPS = (160, 1920, 480, 720), (5, 60, 15, 24)
 #: Most characters of one edited line, and of all edits of a clip.
 EDIT_CHARS, EDITS_CHARS = 300, 8000
+#: Milliseconds around a match that a clip begins with.
+PAD_BEFORE_MS, PAD_AFTER_MS = 1000, 1000
 
 
 def cut_name(query: Column, scenes: Column, video: Column, start_ms: Column) -> Column:
@@ -43,12 +45,19 @@ def remove_at(items: Column, at: Column) -> Column:
     return F.filter(items, lambda x, i: i != at)
 
 
-def new_clip(description: Column, alternates: Column, mode: str = "inherit") -> Column:
-    """A clip as it begins: its first match, no pads, and the caption of the cut."""
+def new_clip(description: Column, alternates: Column, mode: str = "inherit", where: Column | None = None) -> Column:
+    """A clip as it begins: its first match, room around it, the caption of the cut, and where its description said to look."""
     return F.struct(
         description.alias("description"), alternates.alias("alternates"), F.when(F.size(alternates) > 0, 0).alias("alternate_index"),
-        F.lit(0).cast("long").alias("pad_before_ms"), F.lit(0).cast("long").alias("pad_after_ms"), F.lit(mode).alias("caption_mode"), F.lit(False).alias("muted"),
-    )
+        F.lit(PAD_BEFORE_MS).cast("long").alias("pad_before_ms"), F.lit(PAD_AFTER_MS).cast("long").alias("pad_after_ms"), F.lit(mode).alias("caption_mode"), F.lit(False).alias("muted"),
+        (F.lit(None) if where is None else where).cast("string").alias("where"),
+    )
+
+
+def clear_overrides(clips: Column, caption: str = "caption") -> Column:
+    """Clips with the caption of the cut again: mode, text and look go, edited lines stay."""
+    cleared = lambda c: F.struct(F.lit("inherit").alias("mode"), F.lit("").alias("text"), F.lit(None).cast("string").alias("look"), c[caption]["lines"].alias("lines"))
+    return F.transform(clips, lambda c: c.withField(caption, cleared(c)))
 
 
 def unmatched(clips: Column, lost: str) -> Column:
@@ -82,6 +91,16 @@ def keep_real_edits(edits: Column, original: Column) -> Column:
     return F.map_filter(edits, lambda k, v: ~v.eqNullSafe(F.try_element_at(original, k)))
 
 
+def changed_lines(edits: Column, shown: Column) -> Column:
+    """How many of the lines ``shown`` (an array of their keys) are edited."""
+    return F.size(F.filter(shown, lambda k: F.map_contains_key(edits, k)))
+
+
+def put_back(edits: Column, shown: Column) -> Column:
+    """Edits without those of the lines ``shown``; edits of lines out of view stay."""
+    return F.map_filter(edits, lambda k, v: ~F.array_contains(shown, k))
+
+
 def render_settings(kind: Column, width: Column, fps: Column) -> Column:
     """Width, frames a second and whether there is sound, for a kind of export."""
     moving_picture = kind.isin("gif", "webp")
@@ -106,8 +125,40 @@ def render_plan(clips: DataFrame) -> DataFrame:
     )
 
 
-def explain_failure(stderr: Column) -> Column:
-    """The last six lines of an encoder's report that aren't blank, with credentials taken out."""
-    lines = F.filter(F.split(F.coalesce(stderr, F.lit("")), "\r?\n"), lambda x: T.trimmed(x) != "")
-    tail = F.when(F.size(lines) > 6, F.slice(lines, -6, 6)).otherwise(lines)
-    return F.regexp_replace(F.array_join(tail, "\n"), r"(?i)(api_key|token)=[^&\s]+", "$1=***")
+# What an encoder's reports say, in the order in which they are looked for, and what it means.
+FAILURES = (
+    ("unauthorised", r"(?i)401 Unauthorized", "The server rejected the request while the video was read (401); the key may have been revoked."),
+    ("late", r"(?i)Operation timed out|Connection timed out|timed out", "The server took too long to start the clip; it may be busy, try again."),
+    ("gone", r"(?i)40[34] (?:Not Found|Forbidden)", "The server could not serve the video (404); it may have been removed or moved since it was indexed."),
+    ("unreachable", r"(?i)Connection refused|Failed to resolve hostname|Network is unreachable", "The server could not be reached while the video was read."),
+    ("file_missing", r"(?i)No such file or directory", "A temporary file of the export went missing; try again."),
+    ("no_font", r"(?i)Fontconfig|Cannot load font|no usable font", "No font was found to draw captions with; install one or name one."),
+)
+#: What an encoder says of a credential in an address.
+CREDENTIAL = r"(?i)((?:api_key|apikey|api-key|X-Emby-Token)=)[^&\s\"']+"
+CRASH = "SIGSEGV"
+
+
+def without_credentials(report: Column) -> Column:
+    return F.regexp_replace(F.coalesce(report, F.lit("")), CREDENTIAL, "$1REDACTED")
+
+
+def failure_class(report: Column, signal: Column) -> Column:
+    """``crash`` or ``killed`` where a signal ended the encoder, else the first of :data:`FAILURES` that its report shows, else ``other``; null without either."""
+    told = F.when(signal == CRASH, "crash").when(signal != "", "killed")
+    for name, pattern, _ in FAILURES:
+        told = told.when(F.coalesce(report, F.lit("")).rlike(pattern), name)
+    return told.when(T.trimmed(F.coalesce(report, F.lit(""))) != "", "other")
+
+
+def explain_failure(report: Column, signal: Column | None = None) -> Column:
+    """What went wrong in words; where no class fits, the last six lines of the report that aren't blank, without credentials."""
+    signal = F.lit(None).cast("string") if signal is None else signal
+    lines = F.filter(F.split(without_credentials(report), "\r?\n"), lambda x: T.trimmed(x) != "")
+    tail = F.array_join(F.when(F.size(lines) > 6, F.slice(lines, -6, 6)).otherwise(lines), "\n")
+    kind = failure_class(report, signal)
+    told = F.when(kind == "crash", "The encoder crashed without reading anything; one that is linked statically can't resolve names.")
+    told = told.when(kind == "killed", F.concat(F.lit("The encoder was killed by "), signal, F.lit(" before it finished.")))
+    for name, _, words in FAILURES:
+        told = told.when(kind == name, words)
+    return told.otherwise(tail)

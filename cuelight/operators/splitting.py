@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
+from cuelight.operators.hints import _by_scope
 
 # The marker line of a promoted post, the lines that close one, and a line that is one quotation.
 OPENS, CLOSES = r"(?i)\A(ad|promoted)\z", r"(?i)\Athumbnail image:|\A[a-z0-9-]+(\.[a-z0-9-]+)+\z"
@@ -43,7 +44,8 @@ def drop_promoted(lines: DataFrame, reach: int = 12) -> DataFrame:
 def split_descriptions(pastes: DataFrame, episodes: DataFrame | None = None, run_on: int = 200, most: int = 60) -> DataFrame:
     """``pastes(doc_id, text)`` to ``doc_id, pos, description``, at most ``most`` a paste.
 
-    Quoted spans that aren't episode names stand for their line. A paste that is
+    Quoted spans that aren't episode names stand for their line; with a ``title_id``
+    in ``pastes`` the names are those of its title. A paste that is
     one long line of prose is cut into sentences. Of descriptions equal but for
     case and punctuation the first stays.
     """
@@ -54,9 +56,11 @@ def split_descriptions(pastes: DataFrame, episodes: DataFrame | None = None, run
     if episodes is None:
         quotes = clean.withColumn("quotes", spans)
     else:
-        names = episodes.select(T.comparison_key(F.col("name")).alias("key")).where("key <> ''").distinct()
+        scopes, named = _by_scope(pastes, episodes)
+        names = named.select("scope", T.comparison_key(F.col("name")).alias("key")).where("key <> ''").distinct()
         each = clean.select("doc_id", "pos", F.posexplode(spans).alias("at", "span")).withColumn("key", T.comparison_key(F.col("span")))
-        said = each.join(names, "key", "left_anti").groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "span"))).alias("q"))
+        each = each.join(scopes.select("doc_id", "scope").distinct(), "doc_id")
+        said = each.join(names, ["scope", "key"], "left_anti").groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "span"))).alias("q"))
         quotes = clean.join(said.select("doc_id", "pos", F.transform("q", lambda s: s["span"]).alias("quotes")), ["doc_id", "pos"], "left")
         quotes = quotes.withColumn("quotes", F.coalesce("quotes", F.array().cast("array<string>")))
     unwrapped = T.trimmed(F.regexp_replace("line", WRAPPED, "$1"))

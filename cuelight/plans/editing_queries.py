@@ -118,8 +118,36 @@ def library_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.facet_counts(L.holding(p, "E"), F.when(F.col("p_size") < 20, "series").otherwise("movies"))
 
 
-QUERIES = {f.__name__: f for f in (montage_names, clip_list_edits, montage_summaries, montage_patch, render_plan, export_settings, title_detail, library_filters)}
+def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of an encoder's reports, made of orders: each class, two at once, signals, and none."""
+    o, k = views.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    said = F.element_at(F.array(*map(F.lit, REPORTS)), (k % len(REPORTS) + 1).cast("int"))
+    report = F.when(k % 13 != 0, F.concat(F.lit("frame= "), k.cast("string"), F.lit("\n\n"), said, F.lit("\nGET /v?api_key="), F.md5(k.cast("string")), F.lit("&t="), k.cast("string"), F.lit("\n a\nb\nc\nd\n")))
+    signal = F.when(k % 17 == 0, "SIGSEGV").when(k % 19 == 0, "SIGKILL")
+    kind = E.failure_class(report, signal)
+    shown = F.when(kind == "other", E.explain_failure(report, signal))
+    return o.select("o_orderkey", kind.alias("kind"), shown.alias("tail"))
+
+
+REPORTS = (
+    "Server returned 401 Unauthorized", "Connection timed out", "404 Not Found", "403 forbidden", "Connection refused", "x.mp4: No such file or directory", "Fontconfig error: cannot load",
+    "Invalid data found", "network is unreachable; operation timed out", "Conversion failed!",
+)
+
+
+def _failures_sql() -> str:
+    said = ", ".join(f"'{r}'" for r in REPORTS)
+    classes = " ".join(f"WHEN regexp_matches(coalesce(report, ''), '{p}') THEN '{n}'" for n, p, _ in E.FAILURES)
+    return f"""
+WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN 'frame= ' || o_orderkey || chr(10) || chr(10) || ([{said}])[o_orderkey % {len(REPORTS)} + 1] || chr(10) || 'GET /v?api_key=' || md5(o_orderkey::VARCHAR) || '&t=' || o_orderkey || chr(10) || ' a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) END AS report,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'SIGSEGV' WHEN o_orderkey % 19 = 0 THEN 'SIGKILL' END AS signal FROM orders),
+k AS (SELECT *, CASE WHEN signal = 'SIGSEGV' THEN 'crash' WHEN signal <> '' THEN 'killed' {classes} WHEN report IS NOT NULL THEN 'other' END AS kind FROM r)
+SELECT o_orderkey, kind, CASE WHEN kind = 'other' THEN ([{said}])[o_orderkey % {len(REPORTS)} + 1] || chr(10) || 'GET /v?api_key=REDACTED&t=' || o_orderkey || chr(10) || ' a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' END AS tail FROM k"""
+
+
+QUERIES = {f.__name__: f for f in (failure_classes, montage_names, clip_list_edits, montage_summaries, montage_patch, render_plan, export_settings, title_detail, library_filters)}
 SQL = {
+    "failure_classes": _failures_sql(),
     "montage_names": NAMES_SQL,
     "clip_list_edits": LIST_SQL,
     "montage_summaries": SUMMARIES_SQL,

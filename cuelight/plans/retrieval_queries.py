@@ -236,11 +236,24 @@ def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
 
 
+def cell_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every fiftieth vector by a partitioned index of all of them, written and probed."""
+    from cuelight.operators import vector_index as X
+    from cuelight.session import shared_folder
+
+    v = views.vectors(spark, sf_dir).select("line_id", "embedding")
+    path, centres = shared_folder(spark, "cells"), X.fit_cells(v)
+    X.write_index(v, path, centres)
+    asked = v.where(F.col("line_id") % EVERY == 0).withColumnRenamed("line_id", "query_id")
+    found = X.search_index(spark, path, asked, 10, centres, X.probes_for(v, centres, 10))
+    return found.select("query_id", "line_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         knn_topk, knn_scoped, knn_batch, query_terms, term_df_idf_gate, bm25_topk, rrf_fusion, distance_backfill, hybrid_search,
-        greedy_distinct_moments, position_band_rank, context_overlap, embed_hash, lsh_knn,
+        greedy_distinct_moments, position_band_rank, context_overlap, embed_hash, lsh_knn, cell_knn,
     )
 }
 SQL = {

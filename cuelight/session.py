@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,12 +23,23 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return builder.config(map=settings).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, and read back."""
-    context = df.sparkSession.sparkContext
+def _checkpoints(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share, set where it is known or the machine is the only one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that all executors share, and read back."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the checkpoint folder, for a table that is written and read in one query."""
+    return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"

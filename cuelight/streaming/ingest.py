@@ -1,16 +1,14 @@
 """Incremental indexing of subtitle files, and windows over an event stream.
 
-An index is a folder of append-only tables. A batch writes its lines, postings
-and statuses under its own number and then one row into ``commits``; a reader
-takes the batches that have that row, and of a video the newest of them. So a
-video is replaced as a whole or not at all, a batch that broke off is not seen,
-and its number is written over by the next. Nothing is rewritten while it is
-read; :func:`compact` gathers what counts into one batch.
+An index is a folder of the tables ``lines``, ``postings`` and ``status``, which change by
+:mod:`cuelight.sources.commits`: a video's rows are those of the newest batch that has a status for
+it. So a video is replaced as a whole or not at all, and nothing is rewritten
+while it is read; :func:`compact` gathers what counts into one batch.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,41 +17,15 @@ from cuelight.functions import text as T
 from cuelight.functions import vectors as V
 from cuelight.operators import postings as P
 from cuelight.operators.subtitles import dialogue_windows, lines_of, parse_subtitles
+from cuelight.sources import commits as C
 from cuelight.sources.subtitle_files import stream_subtitles
 
 # Notes of videos without lines.
 NO_TRACK, EMPTY_TRACK = "no text subtitle track", "subtitle track was empty"
-COMMIT = "batch long, job string, step long, whole boolean"
 #: What a cancelled run raises between two batches.
 CANCELLED = "the index run was cancelled"
 
 
-def _table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """A folder as a table; none where there is no such folder yet."""
-    try:
-        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def commits(spark: SparkSession, out: str) -> DataFrame:
-    """``batch, job, step, whole``: a row for each batch that was committed since the last whole one."""
-    # the number is the folder's name, so that a row and its number can't differ
-    kept = _table(spark, f"{out}/commits", "job string, step long, whole boolean, batch long")
-    if kept is None:
-        return spark.createDataFrame([], COMMIT)
-    since = kept.agg(F.coalesce(F.max(F.when(F.col("whole"), F.col("batch"))), F.lit(-1)).alias("since"))
-    return kept.crossJoin(F.broadcast(since)).where("batch >= since").select("batch", "job", "step", "whole")  # one row
-
-
-def _commit(spark: SparkSession, out: str, batch: int, job: str | None, step: int | None, whole: bool) -> None:
-    """One row in one file: it is there after the writer's rename, or it isn't."""
-    row = spark.createDataFrame([(job, step, whole)], "job string, step long, whole boolean")
-    row.coalesce(1).write.mode("overwrite").parquet(f"{out}/commits/batch={batch}")
-
-
 def _write(spark: SparkSession, out: str, batch: int, lines: DataFrame) -> DataFrame:
     """Lines and postings of a batch; the lines as they were written."""
     lines.sortWithinPartitions("video_id").write.mode("overwrite").parquet(f"{out}/lines/batch={batch}")
@@ -71,12 +43,12 @@ def index_batch(files: DataFrame, title_of: DataFrame, out: str, dim: int = 384,
     was committed isn't done again. Batches are committed one at a time.
     """
     spark = files.sparkSession
-    known = commits(spark, out)
+    known = C.commits(spark, out)
     if job is not None:
         done = known.where((F.col("job") == job) & (F.col("step") == step)).first()
         if done is not None:
             return spark.read.parquet(f"{out}/status/batch={done['batch']}")
-    batch = known.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
+    batch = C.next_batch(spark, out)
     newest = Window.partitionBy("video_id").orderBy(F.desc("modificationTime"), "body")
     files = files.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n")
     if "error" not in files.columns:
@@ -94,22 +66,16 @@ def index_batch(files: DataFrame, title_of: DataFrame, out: str, dim: int = 384,
         F.coalesce("tokens", F.lit(0)).cast("long").alias("token_count"),
     )
     status.write.mode("overwrite").parquet(f"{out}/status/batch={batch}")
-    _commit(spark, out, batch, job, step, False)
+    C.commit(spark, out, batch, job, step)
     return spark.read.parquet(f"{out}/status/batch={batch}")
 
 
-def _of_commits(spark: SparkSession, out: str, table: str, known: DataFrame) -> DataFrame | None:
-    kept = _table(spark, f"{out}/{table}")
-    return None if kept is None else kept.join(F.broadcast(known.select(F.col("batch").cast("int").alias("batch"))), "batch", "left_semi")  # as many rows as batches since the last whole one
-
-
 def read_status(spark: SparkSession, out: str) -> DataFrame:
     """``video_id, status, note, line_count, token_count, batch``: the newest committed status of every video."""
-    kept = _of_commits(spark, out, "status", commits(spark, out))
+    kept = C.committed(spark, out, "status")
     if kept is None:
         return spark.createDataFrame([], "video_id string, status string, note string, line_count long, token_count long, batch int")
-    of = F.struct("batch", "status", "note", "line_count", "token_count")
-    return kept.groupBy("video_id").agg(F.max_by(of, "batch").alias("s")).select("video_id", "s.status", "s.note", "s.line_count", "s.token_count", "s.batch")
+    return C.newest(kept, "video_id", ["status", "note", "line_count", "token_count"])
 
 
 def _current(spark: SparkSession, out: str, rows: DataFrame) -> DataFrame:
@@ -134,11 +100,11 @@ def read_sizes(spark: SparkSession, out: str) -> DataFrame:
 
 def compact(spark: SparkSession, out: str) -> None:
     """Write what counts as one whole batch; earlier ones are read no more, and their folders can be removed."""
-    batch = commits(spark, out).agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
+    batch = C.next_batch(spark, out)
     status = read_status(spark, out).drop("batch")
     _write(spark, out, batch, read_lines(spark, out))
     status.write.mode("overwrite").parquet(f"{out}/status/batch={batch}")
-    _commit(spark, out, batch, None, None, True)
+    C.commit(spark, out, batch, whole=True)
 
 
 def run_counts(status: DataFrame) -> DataFrame:
@@ -149,7 +115,7 @@ def run_counts(status: DataFrame) -> DataFrame:
 
 def job_progress(spark: SparkSession, out: str, job: str) -> DataFrame:
     """:func:`run_counts` of the batches that ``job`` has committed so far: of a video done twice the last status counts."""
-    kept = _of_commits(spark, out, "status", commits(spark, out).where(F.col("job") == job))
+    kept = C.committed(spark, out, "status", C.commits(spark, out).where(F.col("job") == job))
     if kept is None:
         return run_counts(read_status(spark, out))
     return run_counts(kept.groupBy("video_id").agg(F.max_by("status", "batch").alias("status"), F.max_by("line_count", "batch").alias("line_count")))
@@ -166,7 +132,7 @@ def resume(spark: SparkSession, out: str, job: str) -> None:
 
 
 def is_cancelled(spark: SparkSession, out: str, job: str) -> bool:
-    times = [0 if t is None else t.where(F.col("job") == job).count() for t in (_table(spark, f"{out}/cancels", "job string"), _table(spark, f"{out}/resumes", "job string"))]
+    times = [0 if t is None else t.where(F.col("job") == job).count() for t in (C.table(spark, f"{out}/cancels", "job string"), C.table(spark, f"{out}/resumes", "job string"))]
     return times[0] > times[1]
 
 
