@@ -253,14 +253,17 @@ def split_lines_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normal_sql(x: str) -> str:
-    """The text after all markers is taken, then code blocks, labels, emphasis, headings, handles and notes in turn."""
-    item = f"[{T.BULLETS}]|[0-9]{{1,3}}[{B}]*[{T.NUMBER_ENDS}][{B}]|#[0-9]{{1,3}}[{B}]"
-    x = f"regexp_extract({x}, '(?s)\\A(?:[{B}]*(?:{item}))*[{B}]*(.*)', 1)"
-    x = f"array_to_string(regexp_split_to_array({x}, '(?s)```.*?```'), ' ')"
-    x = f"regexp_replace(regexp_replace({x}, '`([^`]*)`', '\\1', 'g'), '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')"
-    x = f"regexp_replace(replace(translate({x}, '*_', ''), '~~', ''), '(?m)^[{B}]*#{{1,6}}', '', 'g')"
-    x = f"regexp_replace({x}, '{T.HANDLE}', ' ', 'g')"
-    return squeeze_sql(f"regexp_replace({x}, '{T.EDIT}', '')")
+    """Parts of the line with what each says, then the words between blanks and handles before the note of an edit."""
+    link = "!?\\[([^\\]]*)\\]\\([^)]*\\)"
+    body = f"regexp_replace({x}, '\\A([{B}]*({T.ITEM}))+', '')"
+    parts = f"regexp_extract_all({body}, '(?s){T.CODE_BLOCK}|{T.CODE}|{T.LINK}|{T.BETWEEN}|.')"
+    said = (
+        f"CASE WHEN p[1:3] = '```' THEN ' ' WHEN p[1] = '`' AND length(p) > 1 THEN regexp_replace(p[2:-2], '{link}', '\\1', 'g') "
+        f"WHEN regexp_full_match(p, '(?s){T.LINK}') THEN regexp_replace(regexp_extract(p, '\\[([^\\]]*)\\]', 1), '`([^`]*)`', '\\1', 'g') ELSE p END"
+    )
+    bare = f"regexp_replace(replace(translate(array_to_string(list_transform({parts}, lambda p: {said}), ''), '*_', ''), '~~', ''), '(?m)^[{B}]*#{{1,6}}', '', 'g')"
+    words = f"array_to_string(list_filter(regexp_split_to_array({bare}, '(?:{T.HANDLE})|[{B}]+'), lambda w: w <> ''), ' ')"
+    return f"rtrim(regexp_extract({words}, '(?s)\\A(.*?)(?:{T.EDIT}|\\z)', 1))"
 
 
 USABLE_SQL = (

@@ -32,6 +32,18 @@ def test_blanks_are_those_of_unicode(spark):
     assert r.c == "ANN: no yes and so"
 
 
+def test_lines_of_a_paste(spark):
+    """Markers in each other, blocks, code, links and pictures, marks inside labels, headings, handles, and notes of edits."""
+    lines = {
+        "> - 1. the kite": "the kite", "#12 a  boat": "a boat", "2) - x": "x", "12.5 miles": "12.5 miles", "#hash tag": "hash tag", "3: two": "two",
+        "see ```a\nb``` then `code` here": "see then code here", "![pic *of* `it`](u) and [**x**](y)!": "pic of it and x!", "a ` lone and [odd](": "a ` lone and [odd](",
+        "`[in](code)` ok": "in ok", "~~gone~~ __kept__": "gone kept", "# # twice": "# twice", "**## head": "head", "by /u/some_one and r/shows now": "by and now",
+        "text EDIT 2: more\nlines": "text", "text edit u/me: no": "text", "the editor: stays": "the editor: stays", "eta — later": "", "``` open": "` open", "": "", " \u00a0 ": "",
+    }
+    df = spark.createDataFrame(list(lines.items()), "line string, want string")
+    assert [(r.line, r.got) for r in df.select("line", T.normalise_line(F.col("line")).alias("got")).collect()] == list(lines.items())
+
+
 def test_caption_file(spark):
     c = cues((900, 1500, "früh {a}"), (4000, 12_000, "two\nlines\\"), (20_000, 21_000, "late"), (5000, 6000, "  "))
     start, end = F.lit(1000).cast("long"), F.lit(10_000).cast("long")
