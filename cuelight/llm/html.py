@@ -2,9 +2,9 @@
 
 Markup is stripped to one line a block, and each line has a length: that of its
 own text, not that of links outside paragraphs and headings. The lengths are
-summed over a sliding window of lines. Where the sum surges from nothing main
-text begins, where it dives to nothing it ends; what lies between is kept if the
-sum rises over ``SURGE`` in it, its lines of links included.
+summed over a sliding window of lines. Where the sum surges over ``SURGE`` main
+text begins, where it dives to nothing it ends; what lies between is kept, its
+lines of links included.
 
 Markup only gives the lines weights:
 
@@ -14,8 +14,8 @@ Markup only gives the lines weights:
   sidebar, notice, advert or the like; but an element that holds most of the text,
   with no article elsewhere, is taken for a frame of the page and its name is void.
   So is the name of a heading, and a name of what a frame has (``has-sidebar``).
-- Where elements that mark an article hold a fair share of the text, their lines
-  weigh more, and all others nothing.
+- Where elements mark an article that has text, all their lines are main text and no others are:
+  the page says itself where it surges and dives.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ from cuelight.llm.common import small_text_batches, text_of
 
 #: Lines of a window, and the text in it that makes a surge.
 WINDOW, SURGE = 3, 80
-#: What a character of a marked article weighs, and the share of the text that marked articles hold at least.
-ARTICLE_WEIGHT, ARTICLE_SHARE = 8, 0.25
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -69,6 +67,12 @@ MARKS = COMMENTS | frozenset(
     "pagination paywall popup promo promoted promotion recommended related search share sharing sidebar sidenav signup social sponsor sponsored "
     "subscribe subscription tags toc toolbar topbar topnav widget widgets alert".split()
 )
+#: Words beside those in a name that say where or how such a thing stands. A name with any other word is of something else: ``share-price``.
+BESIDE = frozenset(
+    "area article articles aside bar block blocks body bottom box btn button buttons col column container content count entry fixed footer form group hd head header icon icons "
+    "inner item items js large layer left link links list main media mini mobile module nav next outer page panel post posts prev primary right row section secondary site slot small "
+    "stories sticky story text title toggle top unit wrap wrapper zone".split()
+)
 #: First words of a class that says what an element has, not what it is.
 HAVING = frozenset("has have with without no not is are show hide hides shows js".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog menu menubar toolbar".split())
@@ -84,7 +88,7 @@ def named(value: str) -> str:
     kind = ""
     for part in value.split():
         words = WORDS.findall(CAMEL.sub("-", part).lower())
-        if words and words[0] not in HAVING:
+        if words and words[0] not in HAVING and all(w in MARKS or w in BESIDE for w in words):
             if any(w in COMMENTS for w in words):
                 return "comments"
             if any(w in MARKS for w in words):
@@ -256,21 +260,11 @@ class Page:
         return [line.skipped or line.doubt >= 0 and gone[line.doubt] for line in self.lines]
 
 
-def weighted(page: Page) -> tuple[list[int], list[bool]]:
-    """The length of each line, and whether it can't be main text."""
-    skipped = page.skipped()
-    lengths = [0 if skip else line.own for line, skip in zip(page.lines, skipped)]
-    marked = sum(n for n, line in zip(lengths, page.lines) if line.article)
-    if not marked or marked < ARTICLE_SHARE * sum(lengths):
-        return lengths, skipped
-    inside = [line.article and not skip for line, skip in zip(page.lines, skipped)]
-    return [n * ARTICLE_WEIGHT * own for n, own in zip(lengths, inside)], [not own for own in inside]
-
-
 def spans(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """Lines from a surge to a dive, first and last, of every stretch whose window sums rise over ``surge``.
+    """Lines from a surge to a dive, first and last, of every stretch.
 
-    If none does, the stretches count that rise over half of the greatest sum.
+    A stretch starts with the first line of a window whose sum is over ``surge`` and ends before the window
+    that sums to nothing. If no window is, half of the greatest sum is the measure.
     """
     total, sums = 0, []
     for k in range(len(lengths) - 1, -1, -1):
@@ -278,23 +272,31 @@ def spans(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[
         sums.append(total)
     sums.reverse()
     needed = min(surge, max(sums, default=0) / 2)
-    out, first, high = [], -1, 0
+    out, first = [], -1
     for k, total in enumerate([*sums, 0]):
-        if total:
-            first, high = (k if first < 0 else first), max(high, total)
-        elif first >= 0:
-            if high > needed:
-                own = [i for i in range(first, k) if lengths[i]]
-                out.append((own[0], own[-1]))
-            first, high = -1, 0
+        if first < 0:
+            first = k if total > needed else -1
+        elif not total:
+            own = [i for i in range(first, k) if lengths[i]]
+            out.append((own[0], own[-1]))
+            first = -1
     return out
 
 
+def main_lines(page: Page) -> list[int]:
+    """The lines of the main text: a marked article's, or else those between surges and dives."""
+    skipped = page.skipped()
+    inside = [k for k, line in enumerate(page.lines) if line.article and not skipped[k]]
+    if any(page.lines[k].own for k in inside):
+        return inside
+    lengths = [0 if skip else line.own for line, skip in zip(page.lines, skipped)]
+    return [k for first, last in spans(lengths) for k in range(first, last + 1) if not skipped[k]]
+
+
 def main_text(page: str) -> str:
     """The blocks of the main text, joined by an empty line; empty where there is none."""
     read = Page(page)
-    lengths, skipped = weighted(read)
-    return "\n\n".join(read.lines[k].text for first, last in spans(lengths) for k in range(first, last + 1) if not skipped[k])
+    return "\n\n".join(read.lines[k].text for k in main_lines(read))
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

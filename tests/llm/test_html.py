@@ -78,18 +78,42 @@ def test_omitted_end_tags_end_with_their_element():
 
 
 def brute_spans(lengths, window, surge):
-    sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
-    needed = min(surge, max(sums, default=0) / 2)
+    """Every pair of a surge and the dive after it, by all windows."""
+    sums = [sum(lengths[k : k + window]) for k in range(len(lengths))] + [0]
+    needed = min(surge, max(sums) / 2)
     out = []
-    for a in range(len(sums)):
-        for b in range(a, len(sums)):
-            whole = all(sums[a : b + 1]) and (a == 0 or not sums[a - 1]) and (b == len(sums) - 1 or not sums[b + 1])
-            if whole and max(sums[a : b + 1]) > needed:
+    for a in range(len(lengths)):
+        for b in range(a, len(lengths)):
+            runs = all(sums[a : b + 1]) and not sums[b + 1]
+            earlier = [k for k in range(a) if sums[k] > needed and all(sums[k : a + 1])]
+            if sums[a] > needed and runs and not earlier:
                 own = [k for k in range(a, b + 1) if lengths[k]]
                 out.append((own[0], own[-1]))
     return out
 
 
+def test_densities_decide_between_equal_elements():
+    """A page of nothing but divs: short lines about the text go, and so do stretches that never rise."""
+    div = lambda *lines: "".join(f"<div>{t}</div>" for t in lines)
+    page = div("Home", "News", "Sport", "Contact") + "<div><a>x</a></div>" * 3 + div(LONG, "A short line.", LONG) + "<div><a>y</a></div>" * 3 + div("About", "Terms", "Help")
+    read = H.Page(page)
+    assert not any(read.skipped()) and said(page) == [LONG.strip(), "A short line.", LONG.strip()]
+    assert said(page) != [line.text for line in read.lines]
+    # lines without links between are in no stretch of their own: it begins where the sum surges
+    page = div(*"abcdefgh", LONG, "tail")
+    assert said(page) == ["g", "h", LONG.strip(), "tail"]
+
+
+def test_nothing_of_an_article_is_dropped():
+    links = "".join(f"<div><a href=x>link {k}</a></div>" for k in range(4))
+    assert said(f"<article><p>{LONG}</p>{links}<p>Short tail.</p></article>") == [LONG.strip(), *(f"link {k}" for k in range(4)), "Short tail."]
+    assert said(f"<div>{LONG}</div><article><p>Tiny.</p></article><div>{LONG}</div>") == ["Tiny."]
+    for part in ("<p class='share-price'>{}</p>", "<section id='related-work'>{}</section>", "<section class='binary-search'>{}</section>", "<div class='login_flow'>{}</div>", "<p id='noticeOfTerms'>{}</p>"):
+        assert said(f"<article><p>Head.</p>{part.format(LONG)}</article>") == ["Head.", LONG.strip()], part
+    for name in ("share-buttons", "related posts", "relatedPosts", "site-nav", "ad", "ad-slot-2", "newsletter_signup", "cookie-banner", "post-comments", "sidebar"):
+        assert said(f"<article><p>{LONG}</p><div class='{name}'>Some other words</div></article>") == [LONG.strip()], name
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([0, 0, 0, 1, 30, 90]), max_size=25), st.integers(1, 4), st.integers(1, 120))
 def test_stretches_by_brute_force(lengths, window, surge):
