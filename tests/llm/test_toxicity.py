@@ -36,6 +36,27 @@ def test_held_out(spark, corpus):
     assert unseen.score(calm + "blorgfaces blorgfacce snarkfoool") > 0.5 > unseen.score(calm + "brightly window")
 
 
+def test_catch_on_a_given_table(spark):
+    """Rows of fold 0 of sf0.1: most toxic ones are caught, others left alone."""
+    from cuelight.llm.queries import op8_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = op8_toxicity(spark, sf).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    caught = [r.predicted for r in held if r.toxic == 1]
+    others = [r.predicted for r in held if r.toxic == 0]
+    assert sum(caught) >= 0.78 * len(caught) and sum(others) <= 0.04 * len(others)
+
+
+def test_the_cut_is_the_best():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        odds, labels = rng.normal(size=60).round(1), (rng.random(60) < 0.4).astype(int)
+        if 0 < labels.sum() < 60:
+            f1 = lambda c: (lambda tp, fp: 2 * tp / (tp + fp + 0.2))(0.2 * (odds[labels == 1] >= c).mean(), 0.8 * (odds[labels == 0] >= c).mean())
+            assert f1(T.best_cut(odds, labels, 0.2)) >= max(map(f1, [*odds, odds.max() + 1])) - T.SLACK - 1e-9
+
+
 def test_held_out_labels_are_not_used(spark, corpus):
     docs, labels = corpus
     twisted = labels.selectExpr("doc_id", "if(pmod(crc32(cast(doc_id as string)), 5) = 0, 1 - toxic, toxic) as toxic")
