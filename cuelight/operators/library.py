@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,8 +99,8 @@ def removal_cost(gone: DataFrame, montages: DataFrame, renders: DataFrame) -> Da
     )
 
 
-#: Bytes that a cache may hold where nothing is set, and the stretch of time that is summed in one task.
-CACHE_CAP, STRETCH_MS = 2 << 30, 3_600_000
+#: Bytes that a cache may hold where nothing is set, and the stretches of time that are summed in a task each.
+CACHE_CAP, STRETCHES = 2 << 30, 256
 # Fixed value: endings of files that are still being written.
 PARTIAL = r"\.(part|tmp|partial)\z"
 
@@ -116,13 +117,18 @@ def eviction_plan(files: DataFrame, cap: int = CACHE_CAP, by: str = "shelf", bus
     A file goes while those before it that went are less than what is over. Files
     that are partial, or in flight by ``busy(path)``, count but stay. Sums run in
     two levels, over stretches of time and in each, so a shelf isn't one task.
+    Stretches lie between quantiles of the times, so each has about as many files; those of
+    one time are in one.
     """
     free = ~F.col("path").rlike(PARTIAL)
     rows = files
     if busy is not None:
         rows = rows.join(busy.select("path", F.lit(True).alias("in_flight")).distinct(), "path", "left")
         free = free & F.col("in_flight").isNull()
-    rows = rows.withColumn("free", F.when(free, F.col("size")).otherwise(0)).withColumn("stretch", F.floor(F.col("mtime_ms") / STRETCH_MS))
+    edges = sorted(set(files.approxQuantile("mtime_ms", [k / STRETCHES for k in range(1, STRETCHES)], 0.25 / STRETCHES)))
+    rows = rows.withColumn("free", F.when(free, F.col("size")).otherwise(0)).withColumn("__time", F.col("mtime_ms").cast("double"))
+    deal = Bucketizer(splits=[float("-inf"), *(edges or [0.0]), float("inf")], inputCol="__time", outputCol="stretch", handleInvalid="keep")
+    rows = deal.transform(rows).drop("__time")
     earlier = Window.partitionBy(by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(by, "stretch").agg(F.sum("free").alias("free_sum"), F.sum("size").alias("size_sum"))
     bases = sums.select(

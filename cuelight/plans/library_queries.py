@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelight.operators import library as L
@@ -225,8 +225,7 @@ def episode_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").alias("title_id"), F.col("c_custkey").alias("video_id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 6).alias("season"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") % 11).alias("episode")
     )
-    w = Window.partitionBy("title_id").orderBy(F.asc_nulls_first("season"), F.asc_nulls_first("episode"), "video_id")
-    return c.select("title_id", "video_id", F.row_number().over(w).alias("place"))
+    return L.ordered_videos(c.withColumn("name", F.lit(""))).select("title_id", "video_id", "place")
 
 
 EPISODES_SQL = """

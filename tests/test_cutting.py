@@ -87,7 +87,7 @@ def test_eviction_leaves_what_is_busy(spark):
     files = spark.createDataFrame(rows, "shelf string, path string, size long, mtime_ms long")
     busy = spark.createDataFrame([("f1",)], "path string")
     assert sorted(r.path for r in L.eviction_plan(files, 4500, busy=busy).collect()) == ["f0", "f2", "f3"]
-    assert L.eviction_plan(files).count() == 0
+    assert L.eviction_plan(files).count() == 0 and L.eviction_plan(files.limit(0), 1).count() == 0
     assert [L.cache_cap(x) for x in (None, " ", "-5", "1.5", "12", "x")] == [L.CACHE_CAP] * 4 + [12, L.CACHE_CAP]
 
 

@@ -24,3 +24,41 @@ def test_phrases_and_stems(spark):
     terms = spark.createDataFrame([("he's",), ("runs",), ("absent",)], "term string")
     got = sorted(map(tuple, R.phrase_hits(lines, terms).select("term", "line_id", "tf").collect()))
     assert got == [("he's", 1, 2), ("runs", 1, 2), ("runs", 2, 1)]
+
+
+def test_query_by_stems_is_the_loop(spark, small):
+    """The ten best lines of every request, scored one by one with stems and phrases."""
+    import re
+    from collections import Counter, defaultdict
+    from math import log
+
+    from cuelight.functions import text as T
+    from cuelight.plans import scene_queries, views
+
+    tokens = lambda t: [stem(T.without_accents(w)) for w in re.findall(r"[^\W_]+", t.lower())]
+    lines = {r.line_id: tokens(r.text) for r in views.lines(spark, small).collect()}
+    mean = sum(map(len, lines.values())) / len(lines)
+    at = defaultdict(list)
+    for i, words in lines.items():
+        for k, w in enumerate(words):
+            at[w].append((i, k))
+
+    def hits(term):
+        parts = tokens(term)
+        return Counter(i for i, k in at[parts[0]] if lines[i][k : k + len(parts)] == parts)
+
+    want = set()
+    for q in views.requests(spark, small).collect():
+        asked = Counter(t for t in re.findall(r"(?:[^\W_]|')+", q.text.lower()) if len(t) > 1 and t not in T.STOP_WORDS)
+        scores = Counter()
+        for term, times in asked.items():
+            found = hits(term)
+            if found and log(len(lines) / len(found)) >= 3.0:
+                idf = max(log((len(lines) - len(found) + 0.5) / (len(found) + 0.5)), 1e-6)
+                for i, tf in found.items():
+                    scores[i] += times * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(lines[i]) / mean))
+        best = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:10]
+        want |= {(q.query_id, i, round(scores[i], 5), k + 1) for k, i in enumerate(best)}
+    got = {(r.query_id, r.line_id, round(r.bm25, 5), r["rank"]) for r in scene_queries.stemmed_bm25(spark, small).collect()}
+    assert len(want) > 40 and {w[:2] for w in want} == {g[:2] for g in got}
+    assert {w[:2] + w[3:] for w in want} == {g[:2] + g[3:] for g in got}
