@@ -13,6 +13,8 @@ from cuelight.functions import text as T
 SEARCH_LIMIT, CLIP_LIMIT = (8, 25), (6, 20)
 MOST_SCENES = 60
 BIT_RATES = (1_500_000, 12_000_000)
+#: Width of a preview and height of a title's picture where none is asked for.
+PREVIEW_WIDTH, IMAGE_HEIGHT = 640, 400
 
 
 class NotIndexed(LookupError):
@@ -94,6 +96,30 @@ def segment_url(base: Column, video_id: Column, source_id: Column, start_ticks:
     return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/Videos/"), F.url_encode(video_id), F.lit("/stream?"), query)
 
 
+def _address(base: Column, path: list[Column | str], parameters: dict[str, Column | str | None]) -> Column:
+    """An address with its parameters in order, those that are null left out."""
+    text = lambda v: F.lit(v) if isinstance(v, str) else v.cast("string")
+    told = [F.concat(F.lit(f"{k}="), F.url_encode(text(v))) for k, v in parameters.items() if v is not None]
+    parts = [F.lit(x) if isinstance(x, str) else F.url_encode(x) for x in path]
+    return F.concat(F.regexp_replace(base, "/+$", ""), *parts, F.lit("?"), F.concat_ws("&", *told))
+
+
+def stream_url(base: Column, video_id: Column, source_id: Column, key: Column) -> Column:
+    """Address of the file as it is, which a reader can seek in; null sources are left to the server."""
+    return _address(base, ["/Videos/", video_id, "/stream"], {"static": "true", "mediaSourceId": source_id, "ApiKey": key})
+
+
+def preview_url(base: Column, video_id: Column, start_ms: Column, key: Column, width: int = PREVIEW_WIDTH, audio: Column | None = None, device: str = "preview") -> Column:
+    """Address of a film that a browser plays, made on the way where it must be, from ``start_ms`` on."""
+    fixed = {"static": "false", "container": "mp4", "videoCodec": "h264", "audioCodec": "aac", "allowVideoStreamCopy": "true", "allowAudioStreamCopy": "true", "enableAutoStreamCopy": "true"}
+    ticks = F.floor(start_ms * 10_000 + F.lit(0.5)).cast("long")
+    return _address(base, ["/Videos/", video_id, "/stream.mp4"], {**fixed, "maxWidth": str(width), "startTimeTicks": ticks, "deviceId": device, "AudioStreamIndex": audio, "ApiKey": key})
+
+
+def image_url(base: Column, item_id: Column, key: Column, height: int = IMAGE_HEIGHT) -> Column:
+    return _address(base, ["/Items/", item_id, "/Images/Primary"], {"maxHeight": str(height), "ApiKey": key})
+
+
 def size_text(size: Column) -> Column:
     """Bytes in units of 1024: whole bytes, else one digit after the point."""
     power = F.when(size >= 1 << 30, 3).when(size >= 1 << 20, 2).when(size >= 1 << 10, 1).otherwise(0)

@@ -244,11 +244,32 @@ URLS_SQL = """
 SELECT p_partkey, 'http://media.example/Videos/' || p_partkey || '/stream?mediaSourceId=source+' || p_partkey || '&startTimeTicks=' || (p_partkey * 10000) ||
   '&maxWidth=' || (100 + p_size * 40) || '&videoBitRate=' || greatest(1500000, least(12000000, (100 + p_size * 40) * 8000)) || '&allowVideoStreamCopy=false' AS url FROM part"""
 
+
+
+def media_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of files, previews and pictures; every third file leaves its source to the server, every second preview its sound."""
+    k = F.col("p_partkey")
+    base, key, video = F.lit("http://media.example//"), F.concat(F.lit("key-"), k.cast("string")), F.concat(F.lit("v "), k.cast("string"))
+    return views.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        S.stream_url(base, video, F.when(k % 3 != 0, k.cast("string")), key).alias("stream"),
+        S.preview_url(base, video, k * 17, key, audio=F.when(k % 2 == 0, k % 5)).alias("preview"),
+        S.image_url(base, video, key).alias("image"),
+    )
+
+
+ADDRESSES_SQL = """
+SELECT p_partkey, 'http://media.example/Videos/v+' || p_partkey || '/stream?static=true' || CASE WHEN p_partkey % 3 <> 0 THEN '&mediaSourceId=' || p_partkey ELSE '' END || '&ApiKey=key-' || p_partkey AS stream,
+  'http://media.example/Videos/v+' || p_partkey || '/stream.mp4?static=false&container=mp4&videoCodec=h264&audioCodec=aac&allowVideoStreamCopy=true&allowAudioStreamCopy=true&enableAutoStreamCopy=true&maxWidth=640&startTimeTicks=' ||
+    (p_partkey * 170000) || '&deviceId=preview' || CASE WHEN p_partkey % 2 = 0 THEN '&AudioStreamIndex=' || (p_partkey % 5) ELSE '' END || '&ApiKey=key-' || p_partkey AS preview,
+  'http://media.example/Items/v+' || p_partkey || '/Images/Primary?maxHeight=400&ApiKey=key-' || p_partkey AS image FROM part"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scan_catalogue_dedupe, track_pick, library_rollup, title_counts, remote_annotate, latest_render, missing_ids, removal_cost, cascade_delete,
-        incremental_replace, upsert_titles, resume_skip, cache_evict_plan, tick_conversion, episode_order, media_urls,
+        incremental_replace, upsert_titles, resume_skip, cache_evict_plan, tick_conversion, episode_order, media_urls, media_addresses,
     )
 }
 SQL = {
@@ -268,4 +289,5 @@ SQL = {
     "tick_conversion": "SELECT l_orderkey, l_linenumber, CAST(floor((l_partkey * 12345 - l_suppkey * 2500) / 10000 + 0.5) AS BIGINT) AS ms, CAST(floor((l_partkey * 12345 - l_suppkey * 2500) / 10000 + 0.5) AS BIGINT) * 10000 AS ticks FROM lineitem",
     "episode_order": EPISODES_SQL,
     "media_urls": URLS_SQL,
+    "media_addresses": ADDRESSES_SQL,
 }

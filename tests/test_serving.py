@@ -27,6 +27,18 @@ def test_texts(spark):
     assert url == "http://x/Videos/a+b/stream?mediaSourceId=s&startTimeTicks=5&maxWidth=100&videoBitRate=1500000&allowVideoStreamCopy=false"
 
 
+def test_addresses(spark):
+    base, none = F.lit("http://x/m//"), F.lit(None).cast("string")
+    r = spark.range(1).select(
+        S.stream_url(base, F.lit("a/b"), none, F.lit("k y")).alias("stream"), S.preview_url(base, F.lit("v"), F.lit(1500), F.lit("k"), audio=F.lit(None).cast("int")).alias("preview"),
+        S.preview_url(base, F.lit("v"), F.lit(0), F.lit("k"), 320, F.lit(2), "d").alias("heard"), S.image_url(base, F.lit("i"), F.lit("k")).alias("image"),
+    ).first()
+    assert r.stream == "http://x/m/Videos/a%2Fb/stream?static=true&ApiKey=k+y" and r.image == "http://x/m/Items/i/Images/Primary?maxHeight=400&ApiKey=k"
+    fixed = "static=false&container=mp4&videoCodec=h264&audioCodec=aac&allowVideoStreamCopy=true&allowAudioStreamCopy=true&enableAutoStreamCopy=true"
+    assert r.preview == f"http://x/m/Videos/v/stream.mp4?{fixed}&maxWidth=640&startTimeTicks=15000000&deviceId=preview&ApiKey=k"
+    assert r.heard == f"http://x/m/Videos/v/stream.mp4?{fixed}&maxWidth=320&startTimeTicks=0&deviceId=d&AudioStreamIndex=2&ApiKey=k"
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("SERVER", "http://e/")
     assert S.setting({}, "server", "SERVER") == "http://e" and S.setting({"server": "http://s//"}, "server", "SERVER") == "http://s"
