@@ -132,6 +132,24 @@ def corpus_size(lines: DataFrame) -> DataFrame:
     )
 
 
+#: Stands for every line among its tokens; no token is it.
+EVERY_LINE = "\0"
+
+
+def term_statistics(lines: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`document_frequencies` of ``terms(term)`` and :func:`corpus_size`, of one reading of the lines.
+
+    A line has a mark besides its tokens, which counts lines and lengths; what is
+    written in between has a row for each term.
+    """
+    tokens = lines.select(T.index_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    words = tokens.select(F.size("tokens").alias("len"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(EVERY_LINE)))).alias("term"))
+    wanted = terms.select("term").distinct().unionByName(lines.sparkSession.range(1).select(F.lit(EVERY_LINE).alias("term")))
+    told = cut(words.join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == EVERY_LINE, F.col("len"))).alias("tokens")))
+    corpus = told.where(F.col("term") == EVERY_LINE).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("total"), (F.sum("tokens") / F.sum("df")).alias("avg_len"))
+    return told.where(F.col("term") != EVERY_LINE).select("term", "df"), corpus
+
+
 def term_rarity(lines: DataFrame, terms: DataFrame, min_idf: float = MIN_IDF) -> DataFrame:
     """``term, df, total, idf, rare`` of every wanted term; a term that no line holds is not rare."""
     wanted = terms.select("term").distinct()
@@ -188,6 +206,9 @@ def bm25(
     of :func:`corpus_size`.
     """
     terms = terms_of(queries).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    if hits is None and postings is None and not stemmed and scope is None:
+        counted, told = term_statistics(lines, terms)
+        corpus = told if corpus is None else corpus
     corpus = F.broadcast(corpus_size(lines) if corpus is None else corpus)  # one row
     rare = F.log(F.col("total") / F.col("df")) >= min_idf
     idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -199,7 +220,7 @@ def bm25(
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
         weights = df.crossJoin(corpus).where(rare if scope is None else F.lit(True)).select("term", "avg_len", idf.alias("idf"))
     else:  # what is rare is known before its postings are gathered
-        weights = document_frequencies(lines, terms).crossJoin(corpus).where(rare).select("term", "avg_len", idf.alias("idf"))
+        weights = counted.crossJoin(corpus).where(rare).select("term", "avg_len", idf.alias("idf"))
         hits = postings_of(lines, weights)
     met = terms.join(weights, "term").join(hits, "term")
     if scope is not None:
