@@ -36,12 +36,9 @@ def stems(vocabulary: DataFrame) -> DataFrame:
 def build_postings(lines: DataFrame) -> DataFrame:
     """``video_id, line_id, len, term, stem, places`` of all tokens of all lines; a null text has none."""
     tokens = lines.select("video_id", "line_id", T.index_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    # the places of a token, gathered inside its line: the lists are no longer than the line
-    distinct = tokens.select("video_id", "line_id", F.size("tokens").alias("len"), "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
-    placed = distinct.select(
-        "video_id", "line_id", "len", "term",
-        F.filter(F.transform("tokens", lambda t, i: F.when(t == F.col("term"), i)), lambda i: i.isNotNull()).alias("places"),
-    )
+    # a line is read in one task, so its places of a token are gathered before the shuffle
+    rows = tokens.select("video_id", "line_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("place", "term"))
+    placed = rows.groupBy("video_id", "line_id", "len", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
     return placed.join(stems(placed.select("term").distinct()), "term").select("video_id", "line_id", "len", "term", "stem", "places")
 
 

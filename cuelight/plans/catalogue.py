@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.plans import cut_queries, editing_queries, library_queries, retrieval_queries, scene_queries, serving_queries, text_queries
+from cuelight.plans import cut_queries, editing_queries, index_queries, library_queries, retrieval_queries, scene_queries, serving_queries, text_queries
 
-PARTS = (retrieval_queries, scene_queries, text_queries, cut_queries, editing_queries, library_queries, serving_queries)
+PARTS = (retrieval_queries, scene_queries, index_queries, text_queries, cut_queries, editing_queries, library_queries, serving_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
