@@ -49,8 +49,11 @@ def episode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edits_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of orders' lines in one form, by number as text; none where a line, or all of them, are too long."""
-    key, said = F.col("l_linenumber").cast("string"), F.concat(F.col("l_returnflag"), F.lit(" "), F.repeat(F.lit("ab "), (F.col("l_quantity") * 2 + F.when(F.col("l_orderkey") % 50 == 0, 200).otherwise(0)).cast("int")))
-    edits = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.map_from_entries(F.array_agg(F.struct(F.concat(key, F.lit("-"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")), said))).alias("edits"))
+    key = F.concat(F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))
+    said = F.concat(F.col("l_returnflag"), F.lit(" "), F.repeat(F.lit("ab "), (F.col("l_quantity") * 2 + F.when(F.col("l_orderkey") % 50 == 0, 200).otherwise(0)).cast("int")))
+    # one edit for each key, as a map has
+    lines = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", key.alias("k")).agg(F.max(said).alias("v"))
+    edits = lines.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("edits"))
     return edits.select("l_orderkey", F.sha1(E.canonical_edits(F.col("edits"))).alias("address"))
 
 
@@ -82,7 +85,7 @@ SELECT video_id, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS n_tokens, any_va
 SELECT line_id, CAST(CASE WHEN l > 0 THEN 1 ELSE 0 END AS DOUBLE) AS length, round(e[1] / CASE WHEN l > 0 THEN l ELSE 1 END, 3) AS first, round(e[len(e)] / CASE WHEN l > 0 THEN l ELSE 1 END, 3) AS last FROM n""",
     "episode_labels": """SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 THEN 'S' || lpad(CAST(c_custkey % 13 AS VARCHAR), CAST(greatest(2, length(CAST(c_custkey % 13 AS VARCHAR))) AS INT), '0') || 'E' ||
   lpad(CAST(c_custkey % 101 AS VARCHAR), CAST(greatest(2, length(CAST(c_custkey % 101 AS VARCHAR))) AS INT), '0') || ' ' || c_name ELSE c_name END AS label FROM customer""",
-    "edits_address": """WITH e AS (SELECT l_orderkey, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS k, l_returnflag || ' ' || repeat('ab ', CAST(l_quantity * 2 + CASE WHEN l_orderkey % 50 = 0 THEN 200 ELSE 0 END AS INT)) AS v FROM lineitem)
+    "edits_address": """WITH e AS (SELECT l_orderkey, l_linenumber || '-' || l_partkey AS k, max(l_returnflag || ' ' || repeat('ab ', CAST(l_quantity * 2 + CASE WHEN l_orderkey % 50 = 0 THEN 200 ELSE 0 END AS INT))) AS v FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, CASE WHEN max(length(v)) <= 300 AND sum(length(v)) <= 8000 THEN sha1('{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}') END AS address FROM e GROUP BY l_orderkey""",
     "picture_streams": """SELECT l_orderkey, 's' || l_orderkey AS source, min(l_linenumber) FILTER (l_suppkey % 3 = 0) AS stream FROM lineitem GROUP BY l_orderkey""",
     "served_videos": "SELECT c_custkey AS video_id, 'ok' AS subtitle_status FROM customer WHERE c_acctbal >= 0 AND c_custkey IN (SELECT o_custkey FROM orders)",
