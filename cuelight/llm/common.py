@@ -6,6 +6,8 @@ import re
 import tempfile
 import unicodedata
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,16 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def packed_text(column: str) -> Column:
+    """A text in UTF-8 as it is shuffled where texts are most of what is; null is empty."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(zstandard.ZstdCompressor().compress)
+
+    return pack(text_of(column).cast("binary"))
+
+
 #: Code points up to U+0377 are all assigned.
 BEYOND = re.compile("[^\x00-\u0377]")
 
