@@ -226,14 +226,12 @@ def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    v = views.vectors(spark, sf_dir).select("line_id", "embedding", array_to_vector(V.normalised(F.col("embedding"))).alias("unit"))
+    v = views.vectors(spark, sf_dir).where("embedding is not null").select("line_id", "embedding", array_to_vector(V.normalised(F.col("embedding"))).alias("unit"))
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=0.5, numHashTables=16, seed=7).fit(v)
-    hashed = model.transform(v).select("line_id", "embedding", F.posexplode("hashes").alias("tab", "h")).withColumn("h", F.col("h").cast("string"))
-    q = hashed.where(F.col("line_id") % EVERY == 0).select(F.col("line_id").alias("query_id"), F.col("embedding").alias("q"), "tab", "h")
-    met = hashed.join(q, ["tab", "h"]).dropDuplicates(["query_id", "line_id"])
-    order = Window.partitionBy("query_id").orderBy("distance", "line_id")
-    near = met.select("query_id", "line_id", F.round(V.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
-    return near.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    # a hash is a vector of one whole number
+    number = lambda h: F.regexp_replace(h.cast("string"), r"[\[\]]", "").cast("double").cast("int")
+    hashed = model.transform(v).select("line_id", "embedding", F.transform("hashes", number).alias("hashes"))
+    return R.hash_batch(hashed, hashed.where(F.col("line_id") % EVERY == 0).withColumnRenamed("line_id", "query_id"), 10)
 
 
 def cell_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
