@@ -38,28 +38,42 @@ def _by_scope(queries: DataFrame, episodes: DataFrame) -> tuple[DataFrame, DataF
     return queries, episodes
 
 
+def _one_each(episodes: DataFrame, *by: str) -> DataFrame:
+    """Of the episodes that are equal in ``by`` the one that is taken: many can have one name, and one answers all that ask for it."""
+    rest = [c for c in ("season", "episode", "video_id", "name") if c not in by]  # nulls first, as in every choice here
+    return episodes.groupBy(*by).agg(F.min(F.struct(*rest)).alias("one")).select(*by, "one.*")
+
+
 def quoted_episode(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     """The first quoted span that is an episode's name, by the key that names are compared by."""
     queries, episodes = _by_scope(queries, episodes)
     spans = queries.select("query_id", "scope", F.posexplode(T.quoted_spans(F.col("text"))).alias("at", "span")).withColumn("key", T.comparison_key(F.col("span")))
     named = episodes.withColumn("key", T.comparison_key(F.col("name"))).where("key <> ''")
-    hits = spans.join(named, ["scope", "key"])
+    hits = spans.join(_one_each(named, "scope", "key"), ["scope", "key"])
     return _first(hits, "at", F.asc_nulls_first("season"), F.asc_nulls_first("episode"), "video_id").select("query_id", "video_id", _label().alias("label"))
 
 
 def unquoted_episode(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     """The longest name of two words or more that stands in the text, case and all.
 
-    Names and texts meet by the names' first words, so only texts that hold it are
-    compared.
+    Names and texts are read as words and single other characters. A place of a
+    text is met by the lengths of the names that begin with its word, and what
+    stands there, so long, is looked up whole: names of one first word meet no
+    text that doesn't hold them.
     """
     queries, episodes = _by_scope(queries, episodes)
-    lines = queries.select("query_id", "scope", F.translate("text", "’‘", "''").alias("line"))
-    words = lines.select("query_id", "scope", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0)))).alias("first"))
+    pieces = lambda c: F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0))
     names = episodes.withColumn("plain", F.translate(T.trimmed(F.col("name")), "’‘", "''")).where(F.size(F.split("plain", f"[{T.BLANK}]+")) >= 2)
-    names = names.withColumn("first", F.regexp_extract("plain", "^([A-Za-z0-9]+|[^A-Za-z0-9])", 1))
-    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), "plain", F.lit(r"\E(?![A-Za-z0-9])"))
-    hits = words.join(names, ["scope", "first"]).where(F.expr("instr(line, plain) > 0")).where(F.regexp_like("line", pattern))
+    names = _one_each(names, "scope", "plain").withColumn("pieces", pieces(F.col("plain")))
+    begins = names.select("scope", F.get("pieces", 0).alias("piece"), F.size("pieces").alias("size")).distinct()
+    lines = queries.select("query_id", "scope", pieces(F.translate("text", "’‘", "''")).alias("line"))
+    places = lines.select("query_id", "scope", "line", F.posexplode("line").alias("at", "piece"))
+    outside = lambda k: ~F.coalesce(F.get("line", k), F.lit(" ")).rlike("[A-Za-z0-9]")
+    # words are whole pieces, so only a name that ends in another character can stand next to one
+    apart = outside(F.col("at") - 1) & outside(F.col("at") + F.col("size"))
+    met = places.join(begins, ["scope", "piece"]).where(F.col("at") + F.col("size") <= F.size("line")).where(apart)
+    stands = met.select("query_id", "scope", F.array_join(F.slice("line", F.col("at") + 1, F.col("size")), "").alias("plain"))
+    hits = stands.join(names.drop("pieces"), ["scope", "plain"])
     return _first(hits, F.desc(F.length("plain")), F.asc_nulls_first("season"), F.asc_nulls_first("episode"), "video_id").select(
         "query_id", "video_id", _label().alias("label")
     )
@@ -69,7 +83,7 @@ def numbered_episode(queries: DataFrame, episodes: DataFrame) -> DataFrame:
     """The episode whose season and number a text gives, forms in their order of trust."""
     queries, episodes = _by_scope(queries, episodes)
     forms = queries.select("query_id", "scope", F.posexplode(T.numbered_episodes(F.col("text"))).alias("at", "n")).select("query_id", "scope", "at", "n.season", "n.episode")
-    return _first(forms.join(episodes, ["scope", "season", "episode"]), "at", "video_id").select("query_id", "video_id", _label().alias("label"))
+    return _first(forms.join(_one_each(episodes, "scope", "season", "episode"), ["scope", "season", "episode"]), "at", "video_id").select("query_id", "video_id", _label().alias("label"))
 
 
 def season_scope(queries: DataFrame, episodes: DataFrame) -> DataFrame:

@@ -79,3 +79,27 @@ def test_split(spark):
     assert len(split(spark, "\n".join(f"scene number {k} there" for k in range(80)))) == 60
     names = spark.createDataFrame([("x", "the long dinner", 1, 1)], "video_id string, name string, season int, episode int")
     assert split(spark, 'the quarrel in "the long dinner."', episodes=names) == ['the quarrel in "the long dinner."']
+
+
+def test_episodes_of_one_name_meet_a_text_once(spark, monkeypatch):
+    """Many episodes share a name or a number: the one that is taken is found before texts meet it."""
+    from cuelight.operators import hints
+
+    rows, first = [], hints._first
+    monkeypatch.setattr(hints, "_first", lambda found, *order: rows.append(found.count()) or first(found, *order))
+    e = spark.range(150).selectExpr("cast(1000 - id as string) video_id", "'Old Plate' name", "cast(id % 3 as int) season", "1 episode")
+    q = spark.range(150).selectExpr("id query_id", "'s1e1 of \"old plate\", the Old Plate' text")
+    found = [f(q, e).collect() for f in (hints.quoted_episode, hints.unquoted_episode, hints.numbered_episode)]
+    assert max(rows) <= 150
+    assert [{(r.video_id, r.label) for r in f} for f in found] == [{("1000", "Old Plate (S0E1)")}, {("1000", "Old Plate (S0E1)")}, {("852", "Old Plate (S1E1)")}] and all(len(f) == 150 for f in found)
+
+
+def test_names_of_any_characters_stand_apart(spark):
+    """Names are looked up as they stand, also where they hold signs or begin and end with them, and not next to letters."""
+    from cuelight.operators.hints import unquoted_episode
+
+    names = [("a", r"A \E B"), ("b", "(So It"), ("c", "Went On)"), ("d", "It’s  Late 😀")]
+    e = spark.createDataFrame([(v, n, 1, k) for k, (v, n) in enumerate(names)], "video_id string, name string, season int, episode int")
+    texts = [r"on A \E B.", r"on A \E Bee", "x (So It was", "x(So It was", "he Went On)", "he Went On)s", "and It's  Late 😀", "It's Late 😀", None]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    assert {r.query_id: r.video_id for r in unquoted_episode(q, e).collect()} == {0: "a", 2: "b", 4: "c", 6: "d"}
