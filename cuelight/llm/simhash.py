@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from cuelight.llm.common import small_text_batches, stable, text_of
 from cuelight.llm.graph import connected_components
-from cuelight.llm.resemblance import similar_components
 
 BITS = np.arange(64, dtype=np.uint64)
 
@@ -44,7 +43,11 @@ def simhash(text: str, shingle: int = 3, seed: int = 42) -> int:
         digest = xxhash.xxh64_intdigest
         last = (ends[shingle - 1 :] - 1).tolist()
         hashes = [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), last)]
-    h = np.array(hashes, dtype=np.uint64)
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of unsigned hashes: the bits set in over half of them."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         part = np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -118,10 +121,13 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Components are those of texts whose sets of ``shingle`` words have at least
     this Jaccard similarity. Fingerprints of such texts can differ in many more
     bits than two, and blocks of 64 bits are too short to find those without
-    meeting nearly all pairs; so the pairs come from :mod:`cuelight.llm.resemblance`, which loses none. Rows
+    meeting nearly all pairs; so balls of two bits give the first pairs and a prefix of the sets those that
+    they lose, and all pass one exact test (:mod:`cuelight.llm.resemblance`). Rows
     that repeat a kept key with another text of the same component stay only once
     per key.
     """
+    from cuelight.llm.resemblance import similar_components
+
     classes = similar_components(docs, key, text, shingle, at_least)
     kept = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs[key].eqNullSafe(kept["__kept"]), "left_semi")
