@@ -23,14 +23,14 @@ def match_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The positional index by term: lines, occurrences, the sum of their places, the longest line."""
-    kept = P.build_postings(views.lines(spark, sf_dir))
+    kept = P.build_postings(views.spoken(spark, sf_dir), stemmed=False)
     places = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x)
     return kept.groupBy("term").agg(F.count("*").alias("n_lines"), F.sum(F.size("places")).alias("n"), F.sum(places).alias("places"), F.max("len").alias("longest"))
 
 
 def index_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and tokens of every video, and what they make of the corpus."""
-    sizes = P.build_sizes(views.lines(spark, sf_dir))
+    sizes = P.build_sizes(views.spoken(spark, sf_dir))
     corpus = P.corpus_of(sizes)
     return sizes.crossJoin(F.broadcast(corpus)).select("video_id", "n_lines", "n_tokens", "total", F.round("avg_len", 6).alias("avg_len"))  # one row
 

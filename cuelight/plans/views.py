@@ -49,6 +49,19 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(vectors, "line_id", "left")
 
 
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`lines` without their vectors, as often as there: texts aren't shuffled, as a line meets only ids of vectors that repeat."""
+    from cuelight.session import sent
+
+    i = F.col("doc_id")
+    ids = table(spark, sf_dir, "embeddings").groupBy(F.col("vec_id").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
+    often = F.explode(F.array_repeat(F.lit(0), F.coalesce("n", F.lit(1))))
+    docs = table(spark, sf_dir, "documents").join(sent(ids.where("n > 1")), "doc_id", "left").withColumn("one", often)
+    return docs.select(
+        i.alias("line_id"), F.col("source").alias("title_id"), F.col("lang").alias("video_id"), (i * 7000).alias("start_ms"), (i * 7000 + 4000).alias("end_ms"), F.coalesce("text", F.lit("")).alias("text")
+    )
+
+
 LINES_SQL = """
 lines AS (
   SELECT doc_id AS line_id, source AS title_id, lang AS video_id, doc_id * 7000 AS start_ms, doc_id * 7000 + 4000 AS end_ms,

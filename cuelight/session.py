@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that are sent to every task at most.
+SENT = 100_000
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -40,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """``df``, few short rows as a rule, cut and marked to be sent to every task; if it has more than :data:`SENT` it is joined by shuffles."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= SENT else kept
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder of the checkpoint folder, for a table that is written and read in one query."""
     return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"

@@ -62,3 +62,36 @@ def test_query_by_stems_is_the_loop(spark, small):
     got = {(r.query_id, r.line_id, round(r.bm25, 5), r["rank"]) for r in scene_queries.stemmed_bm25(spark, small).collect()}
     assert len(want) > 40 and {w[:2] for w in want} == {g[:2] for g in got}
     assert {w[:2] + w[3:] for w in want} == {g[:2] + g[3:] for g in got}
+
+
+def test_postings_are_gathered_without_a_shuffle(spark, monkeypatch):
+    """Places, lengths and stems are those of a loop, in batches of a few tokens too, and no token is shuffled."""
+    import re
+
+    from cuelight.operators import postings as P
+
+    texts = {1: "The dîner, the dinners: the end", 2: "", 3: None, 4: "to be or not to be " * 40, 5: "...", 6: "ends"}
+    lines = spark.createDataFrame([(f"v{k % 2}" if k != 6 else None, k, t) for k, t in texts.items()], "video_id string, line_id long, text string").coalesce(1)
+    monkeypatch.setattr(P, "GATHERED", 5)
+    made = P.build_postings(lines)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for k, t in texts.items():
+        words = re.findall(r"[^\W_]+", (t or "").lower())
+        want += [(f"v{k % 2}" if k != 6 else None, k, len(words), w, stem(P.T.without_accents(w)), [i for i, x in enumerate(words) if x == w]) for w in set(words)]
+    rows = sorted((tuple(r) for r in made.collect()), key=str)
+    assert rows == sorted(want, key=str)
+    assert sorted((r[:4] + r[5:] for r in rows), key=str) == sorted((tuple(r) for r in P.build_postings(lines, stemmed=False).collect()), key=str)
+
+
+def test_lines_without_vectors_are_as_many_and_not_shuffled(spark, small, tmp_path):
+    """A vector that is there three times makes three lines, as the join with vectors does."""
+    from cuelight.plans import views
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 30")
+    docs.unionByName(docs.where("doc_id = 7").selectExpr("cast(null as long) as doc_id", *docs.columns[1:])).write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id < 9")
+    vectors.unionByName(vectors.where("vec_id = 3")).unionByName(vectors.where("vec_id = 3")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got, want = views.spoken(spark, str(tmp_path)), views.lines(spark, str(tmp_path)).drop("embedding")
+    rows = lambda df: sorted(str(tuple(r)) for r in df.select(want.columns).collect())
+    assert rows(got) == rows(want) and got.where("line_id = 3").count() == 3
