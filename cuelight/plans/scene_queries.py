@@ -12,7 +12,7 @@ from cuelight.operators import retrieval as R
 from cuelight.plans import views
 from cuelight.plans.retrieval_queries import DISTANCE, TERMS_SQL, TOKENS_SQL
 from cuelight.plans.text_queries import EPISODES_SQL, PROMPTS_SQL, SPANS_SQL, B, episodes, key_sql, prompts, squeeze_sql
-from cuelight.session import cut
+from cuelight.session import shared_folder
 
 #: An episode by its numbers, in the forms' order of trust.
 NUMBERED = (
@@ -172,8 +172,10 @@ FROM best b JOIN lines l USING (line_id) JOIN requests a ON a.query_id = b.query
 
 def stemmed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best lines by stems and phrases, from a written positional index: lines are read once, to build it."""
-    lines, asked = views.lines(spark, sf_dir), views.requests(spark, sf_dir)
-    kept = cut(P.build_postings(lines))
+    lines, asked = views.spoken(spark, sf_dir), views.requests(spark, sf_dir)
+    path = shared_folder(spark, "postings")
+    P.build_postings(lines).write.parquet(path)
+    kept = spark.read.parquet(path)
     found = R.bm25(lines, asked, 10, min_idf=3.0, postings=kept, corpus=P.corpus_of(P.build_sizes(lines)))
     return found.select("query_id", "line_id", F.round("bm25", 6).alias("bm25"), "rank")
 

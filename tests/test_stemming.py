@@ -95,3 +95,20 @@ def test_lines_without_vectors_are_as_many_and_not_shuffled(spark, small, tmp_pa
     got, want = views.spoken(spark, str(tmp_path)), views.lines(spark, str(tmp_path)).drop("embedding")
     rows = lambda df: sorted(str(tuple(r)) for r in df.select(want.columns).collect())
     assert rows(got) == rows(want) and got.where("line_id = 3").count() == 3
+
+
+def test_postings_of_common_terms_are_not_gathered(spark, monkeypatch):
+    """What can't be rare is known from counts; a stem whose tokens are each rare enough, and a phrase, are counted whole."""
+    lines = spark.createDataFrame([(k, "v", "the common " + ("cat" if k < 12 else "cats" if k < 24 else f"dog's w{k}")) for k in range(40)], "line_id long, video_id string, text string")
+    queries = spark.createDataFrame([(1, "common cats dog's w30")], "query_id long, text string")
+    asked, whole = [], R.hits_of
+
+    def hits(postings, terms, stemmed=True):
+        asked.append(sorted(r.term for r in terms.select("term").distinct().collect()))
+        return whole(postings, terms, stemmed)
+
+    monkeypatch.setattr(R, "hits_of", hits)
+    got = {r.line_id for r in R.bm25(lines, queries, None, 1.0).collect()}
+    assert asked == [["cats", "dog's", "w30"]]
+    # 24 of 40 lines have the stem of cats and 16 the phrase, so only w30 is rare
+    assert got == {30}
