@@ -309,7 +309,7 @@ def montage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     embed = lambda text: V.hash_embedding(text, 64)
     pastes = views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    lines = views.lines(spark, sf_dir).withColumn("embedding", embed(F.col("text")))
+    lines = views.spoken(spark, sf_dir).withColumn("embedding", embed(F.col("text")))
     clips = build_cuts(pastes, lines, embed=embed, min_idf=3.0)
     return clips.select("query_id", "clip.description", F.size("clip.alternates").alias("n_alternates"), F.get("clip.alternates", 0)["line_id"].alias("line_id"))
 

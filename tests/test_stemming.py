@@ -112,3 +112,12 @@ def test_postings_of_common_terms_are_not_gathered(spark, monkeypatch):
     assert asked == [["cats", "dog's", "w30"]]
     # 24 of 40 lines have the stem of cats and 16 the phrase, so only w30 is rare
     assert got == {30}
+
+
+def test_tokens_meet_stems_before_any_shuffle(spark):
+    """Hits alone are shuffled where few terms are asked for, not the tokens of the lines."""
+    lines = spark.createDataFrame([(1, "it runs")], "line_id long, text string")
+    found = R.phrase_hits(lines, spark.createDataFrame([("run",)], "term string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(token" not in plan and "hashpartitioning(stem" not in plan and "BroadcastHashJoin" in plan
+    assert [r.line_id for r in found.collect()] == [1]
