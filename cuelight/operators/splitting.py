@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
 from cuelight.operators.hints import _by_scope
+from cuelight.session import sent
 
 # The marker line of a promoted post, the lines that close one, and a line that is one quotation.
-OPENS, CLOSES = r"(?i)\A(ad|promoted)\z", r"(?i)\Athumbnail image:|\A[a-z0-9-]+(\.[a-z0-9-]+)+\z"
+OPENS = rf"(?i)\A[{T.BLANK}]*(ad|promoted)[{T.BLANK}]*\z"
+CLOSES = rf"(?i)\A[{T.BLANK}]*(thumbnail image:|[a-z0-9-]+(\.[a-z0-9-]+)+[{T.BLANK}]*\z)"
 WRAPPED = "\\A['‘]([^'‘’]+)['’]\\z"
 
 
@@ -19,16 +21,11 @@ def drop_promoted(lines: DataFrame, reach: int = 12) -> DataFrame:
     A post opens with a bare marker line and closes with the first picture
     caption or bare domain within ``reach`` lines; one that doesn't close stays.
     A marker inside an open post opens nothing, so the posts of a paste are
-    found by a fold over the places of its markers and closers only.
+    found by a fold over the places of its markers and closers only, and no
+    other line is shuffled. Places of a paste's lines follow one another.
     """
-    trimmed = T.trimmed(F.col("line"))
-    marks = lines.select(
-        "doc_id",
-        "pos",
-        F.regexp_like(trimmed, F.lit(OPENS)).alias("opens"),
-        F.regexp_like(trimmed, F.lit(CLOSES)).alias("closes"),
-    )
-    after = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, reach - 1)
+    marks = lines.select("doc_id", "pos", F.col("line").rlike(OPENS).alias("opens"), F.col("line").rlike(CLOSES).alias("closes")).where("opens or closes")
+    after = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(1, reach - 1)
     spans = marks.withColumn("end", F.min(F.when(F.col("closes"), F.col("pos"))).over(after)).where("opens and end is not null")
     posts = spans.groupBy("doc_id").agg(
         F.aggregate(
@@ -38,7 +35,7 @@ def drop_promoted(lines: DataFrame, reach: int = 12) -> DataFrame:
         ).alias("posts")
     )
     inside = F.exists("posts", lambda p: (p["pos"] <= F.col("pos")) & (p["end"] >= F.col("pos")))
-    return lines.join(posts, "doc_id", "left").where(F.coalesce(~inside, F.lit(True))).drop("posts")
+    return lines.join(sent(posts), "doc_id", "left").where(F.coalesce(~inside, F.lit(True))).drop("posts")
 
 
 def split_descriptions(pastes: DataFrame, episodes: DataFrame | None = None, run_on: int = 200, most: int = 60) -> DataFrame:
@@ -69,8 +66,8 @@ def split_descriptions(pastes: DataFrame, episodes: DataFrame | None = None, run
     )
     candidates = quotes.select("doc_id", "pos", F.posexplode(parts).alias("at", "c")).select("doc_id", "pos", "at", "c.text", "c.quote").where(T.usable(F.col("text")))
     alone = F.count("*").over(Window.partitionBy("doc_id")) == 1
-    cut = F.filter(T.sentences(F.col("text")), T.usable)
-    pieces = F.when(F.col("alone") & ~F.col("quote") & (F.length("text") > run_on) & (F.size(cut) > 1), cut).otherwise(F.array("text"))
+    cut = T.once(F.filter(T.sentences(F.col("text")), T.usable), lambda found: F.when(F.size(found) > 1, found).otherwise(F.array("text")))
+    pieces = F.when(F.col("alone") & ~F.col("quote") & (F.length("text") > run_on), cut).otherwise(F.array("text"))
     rows = candidates.withColumn("alone", alone).select("doc_id", "pos", "at", F.posexplode(pieces).alias("part", "text"))
     first = Window.partitionBy("doc_id", "key").orderBy("pos", "at", "part")
     unique = rows.withColumn("key", T.distinct_key(F.col("text"))).withColumn("n", F.row_number().over(first)).where("n = 1")

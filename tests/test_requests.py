@@ -103,3 +103,15 @@ def test_names_of_any_characters_stand_apart(spark):
     texts = [r"on A \E B.", r"on A \E Bee", "x (So It was", "x(So It was", "he Went On)", "he Went On)s", "and It's  Late 😀", "It's Late 😀", None]
     q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
     assert {r.query_id: r.video_id for r in unquoted_episode(q, e).collect()} == {0: "a", 2: "b", 4: "c", 6: "d"}
+
+
+def test_only_marks_of_posts_are_shuffled(spark):
+    """Posts are found from their markers and closers, and met where lines are read; what is cut is as it was."""
+    from cuelight.operators.splitting import drop_promoted
+
+    texts = ["a\nAd\nx\nshop.example\nb", "\u00a0promoted \nx\nThumbnail image: y\nAd\nz", "Ad\n" + "x\n" * 11 + "shop.example", "Ad\n" + "x\n" * 10 + "shop.example\nb", "plain"]
+    rows = [(k, p, t) for k, text in enumerate(texts) for p, t in enumerate(text.split("\n"))]
+    kept = drop_promoted(spark.createDataFrame(rows, "doc_id int, pos int, line string"))
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    got = {k: [r.pos for r in kept.where(f"doc_id = {k}").orderBy("pos").collect()] for k in range(5)}
+    assert got == {0: [0, 4], 1: [3, 4], 2: list(range(13)), 3: [12], 4: [0]}
