@@ -6,8 +6,8 @@ The vectors and the softmax are trained jointly in numpy, on a bounded sample of
 the labelled rows of the training folds (``SAMPLE``). A misspelling that was
 never seen shares most n-grams with the word it stands for, and so its vector.
 
-Training text becomes sparse bags on the executors; the driver gets the bags of
-the sample. Scoring needs one number per bucket, the difference of its class
+Training text becomes sparse bags on the executors, and one task trains on those
+of the sample; the driver gets the model. Scoring needs one number per bucket, the difference of its class
 scores, so the model that is sent out is one array of fixed size, and a text's
 score is the weighted mean of the scores of its words.
 """
@@ -226,13 +226,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .join(told, ["doc_id", "print"], "left_semi")
         .dropDuplicates(["doc_id"])
         .select("doc_id", "label", "ids", "weights")
-        .toPandas()
     )
-    if rows["label"].nunique() < 2:
-        return None
-    rows = rows.sort_values("doc_id", ignore_index=True)
-    made = [(np.frombuffer(i, np.uint16), np.frombuffer(w, np.float32)) for i, w in zip(rows.pop("ids"), rows.pop("weights"))]
-    return train_and_cut(made, rows["label"].to_numpy(), shares[1] / (shares[0] + shares[1]))
+    prior = shares[1] / (shares[0] + shares[1])
+
+    def trained(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [p for p in parts if len(p)]
+        if not found:
+            return
+        sample = pd.concat(found).sort_values("doc_id", ignore_index=True)
+        found.clear()
+        if sample["label"].nunique() < 2:
+            return
+        made = [(np.frombuffer(i, np.uint16), np.frombuffer(w, np.float32)) for i, w in zip(sample.pop("ids"), sample.pop("weights"))]
+        model = train_and_cut(made, sample["label"].to_numpy(), prior)
+        yield pd.DataFrame({"kind": [model.buckets.dtype.str], "buckets": [model.buckets.tobytes()], "bias": [model.bias]})
+
+    # the sample is bounded, and trained on where one task is; the driver gets the model
+    told = rows.repartition(1).mapInPandas(trained, "kind string, buckets binary, bias double").collect()
+    return Model(np.frombuffer(told[0].buckets, told[0].kind), told[0].bias) if told else None
 
 
 def score_column(spark: SparkSession, model: Model | None, text: str) -> Column:

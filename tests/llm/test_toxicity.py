@@ -116,3 +116,15 @@ def test_long_words_and_the_bound_of_the_sample(spark, corpus, monkeypatch):
     assert T.fit(docs, labels) is not None
     monkeypatch.setattr(T, "SAMPLE_BUCKETS", 2)
     assert T.fit(docs, labels) is None
+
+
+def test_the_driver_gets_the_model_alone(spark, corpus, monkeypatch):
+    """A task trains on the bags of the sample; none of them come to the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def never(*_):
+        raise AssertionError("in the driver")
+
+    monkeypatch.setattr(DataFrame, "toPandas", never)
+    model = T.fit(*corpus)
+    assert model.buckets.shape == (T.BUCKETS,) and model.buckets.dtype == np.float32
