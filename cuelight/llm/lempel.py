@@ -13,7 +13,9 @@ and such windows are the duplicate spans; nothing shorter than a window is one.
 
 A document needs not meet blocks whose anchor it hasn't: they can't have a
 window of it. Blocks are counted before they are shuffled whole, so a passage of many copies
-is one row from each task, and no row holds more than a document.
+is one row from each task, and no row holds more than a document. Texts are
+shuffled only where windows are asked of them or spans are found in them, and a
+few others that a bitmap takes for such.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ ROWS = 50_000
 #: A run of windows is one number: its first window times this, and how many there are.
 RUN = 1 << 16
 BLOCK = "key_a long, key_b long, run long, mark long, whole long"
+#: A block with the hashes of its windows in order: written so, a window takes 8 bytes.
+OPENED = "key_a long, key_b long, run long, mark long, wholes array<long>"
+#: Bits of the map of keys that is sent to every task: 8 MB at any size of the table.
+BITS = 1 << 26
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -132,8 +138,8 @@ def _frame(parts: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(["key_a", "key_b", "run", "mark", "whole"])})
 
 
-def _windows(window: int, anchor: int):
-    """Hashes of the windows in the asked blocks of each text."""
+def _windows(window: int):
+    """The asked blocks of each text, with the hashes of their windows."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, unpack = Hashes(), zstandard.ZstdDecompressor().decompress
@@ -142,18 +148,18 @@ def _windows(window: int, anchor: int):
             for a, b, packed, asked in zip(batch["key_a"], batch["key_b"], batch["packed"], batch["asked"]):
                 sums = hashes.sums(unpack(packed).split())
                 run = np.fromiter((q["run"] for q in asked), np.int64, len(asked))
-                mark = np.fromiter((q["mark"] for q in asked), np.int64, len(asked))
                 many = run % RUN
                 # the windows of all runs, one after another
-                at = np.repeat(run // RUN - np.cumsum(many) + many, many) + np.arange(many.sum())
-                one = np.ones(len(at), np.int64)
-                parts.append((a * one, b * one, at * RUN + 1, np.repeat(mark, many), hashes.of(sums, 1, at, window).view(np.int64)))
+                ends = np.cumsum(many)
+                at = np.repeat(run // RUN - ends + many, many) + np.arange(ends[-1])
+                wholes = np.split(hashes.of(sums, 1, at, window).view(np.int64), ends[:-1])
+                parts += [(a, b, q["run"], q["mark"], w) for q, w in zip(asked, wholes)]
                 held += len(at)
                 if held >= ROWS:
-                    yield _frame(parts)
+                    yield pd.DataFrame(parts, columns=["key_a", "key_b", "run", "mark", "wholes"])
                     parts, held = [], 0
             if parts:
-                yield _frame(parts)
+                yield pd.DataFrame(parts, columns=["key_a", "key_b", "run", "mark", "wholes"])
 
     return rows
 
@@ -176,6 +182,16 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def _with_may(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` and ``may``: true where ``key_a`` is one of those in ``keys``, and for a few others that share its bit of a bitmap."""
+    bit = F.pmod("key_a", F.lit(BITS))
+    page, at = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+    pages = keys.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, 1)), 16, 10).cast("long")
+    met = rows.withColumn("page", page).join(F.broadcast(pages), "page", "left")
+    return met.withColumn("may", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("page", "bits")
+
+
 def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     """``key_a, key_b, spans``: for each text with any, its runs of duplicate windows, in no order."""
     # made twice, as a copy of all blocks would take more disk than their text
@@ -191,8 +207,10 @@ def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     again = mixed.join(kinds.where("times > 1").select("mark", "whole"), ["mark", "whole"], "left_semi").select(place)
     # different blocks under one anchor may share a window: that is where factors end
     asked = kinds.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("run", "mark")).alias("asked"))
-    texts = keyed.select("key_a", "key_b", _packed("body").alias("packed"))
-    windows = stable(texts.join(asked, ["key_a", "key_b"]).mapInPandas(_windows(window, anchor), BLOCK))
+    asked = stable(asked)
+    texts = _with_may(keyed, asked).where("may").select("key_a", "key_b", _packed("body").alias("packed"))
+    opened = stable(texts.join(asked, ["key_a", "key_b"]).mapInPandas(_windows(window), OPENED))
+    windows = opened.select("key_a", "key_b", "run", "mark", F.posexplode("wholes").alias("k", "whole")).withColumn("run", F.expr(f"(run div {RUN} + k) * {RUN} + 1"))
     met = stable(windows.groupBy("mark", "whole").agg(F.count("*").alias("times")).where("times > 1").select("mark", "whole"))
     single = windows.join(met, ["mark", "whole"], "left_semi").select(place)
     return alike.unionByName(again).unionByName(single).groupBy("key_a", "key_b").agg(F.collect_list("run").alias("spans"))
@@ -234,8 +252,10 @@ def duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def _with_spans(docs: DataFrame, key: str, text: str, window: int, anchor: int) -> DataFrame:
     small_text_batches(docs.sparkSession)
     keyed = _keyed(docs, key, text)
-    texts = keyed.select("doc_id", "key_a", "key_b", _packed("body").alias("packed"))
-    return texts.join(_spans(keyed, window, anchor), ["key_a", "key_b"], "left").select("doc_id", "packed", "spans")
+    spans = stable(_spans(keyed, window, anchor))
+    texts = _with_may(keyed, spans).select("doc_id", "key_a", "key_b", "may", _packed("body").alias("packed"))
+    met = texts.where("may").join(spans, ["key_a", "key_b"], "left").select("doc_id", "packed", "spans")
+    return met.unionByName(texts.where("not may").select("doc_id", "packed", F.lit(None).cast("array<long>").alias("spans")))
 
 
 def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -69,3 +70,28 @@ def test_odd_documents(spark, documents):
     want = brute([(r.doc_id, r.text) for r in documents.collect()], 35)
     assert sorted((tuple(r) for r in L.without_duplicates(documents).collect()), key=str) == want
     assert L.without_duplicates(documents.limit(0)).count() == 0
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    """What is written for them is their blocks, twice, and not their texts; bitmaps leave none out that has a passage."""
+    rng = random.Random(12)
+
+    def some(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(n))
+
+    shared = some(50)
+    # all anchors of the passage are in other surroundings, so that windows are asked
+    texts = [some(600) for _ in range(300)] + [f"{some(30)} {shared} {some(30)}" for _ in range(9)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    folders = [*env.blockManager().diskBlockManager().localDirsString(), spark.conf.get("spark.checkpoint.dir").removeprefix("file:")]
+
+    def files():
+        return {p: p.stat().st_size for f in folders for p in Path(f).rglob("*") if p.is_file() and p.name.startswith(("shuffle_", "part-"))}
+
+    before = files()
+    got = sorted((tuple(r) for r in L.without_duplicates(df).collect()), key=str)
+    written = sum(n for p, n in files().items() if p not in before)
+    assert got == brute(rows, 35)
+    assert written < 0.6 * sum(map(len, texts)), written / sum(map(len, texts))
