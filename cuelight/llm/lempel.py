@@ -182,6 +182,18 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """:func:`stable`, and then no shuffle files of ``df``: else they stay until the driver happens to collect its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        # what a frame leaves is settled when it is made
+        return stable(df.select("*"))
+    finally:
+        conf.set(key, before)
+
+
 def _with_may(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """``rows`` and ``may``: true where ``key_a`` is one of those in ``keys``, and for a few others that share its bit of a bitmap."""
     bit = F.pmod("key_a", F.lit(BITS))
@@ -198,20 +210,20 @@ def _spans(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     blocks = keyed.select("key_a", "key_b", "body").mapInPandas(_blocks(window, anchor), BLOCK)
     marks = blocks.groupBy("mark").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
     # written first, so that a join is all that its shuffle is for and hot anchors can be split there
-    marks = stable(marks.where("n > 1").select("mark", F.expr("low <> high").alias("mixed")))
-    found = stable(blocks.join(marks, "mark"))
+    marks = _written(marks.where("n > 1").select("mark", F.expr("low <> high").alias("mixed")))
+    found = _written(blocks.join(marks, "mark"))
     place = ["key_a", "key_b", "run"]
     alike, mixed = found.where("not mixed").select(place), found.where("mixed")
     # of equal blocks any one stands for all
-    kinds = stable(mixed.groupBy("mark", "whole").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in place]))
+    kinds = _written(mixed.groupBy("mark", "whole").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in place]))
     again = mixed.join(kinds.where("times > 1").select("mark", "whole"), ["mark", "whole"], "left_semi").select(place)
     # different blocks under one anchor may share a window: that is where factors end
     asked = kinds.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("run", "mark")).alias("asked"))
-    asked = stable(asked)
+    asked = _written(asked)
     texts = _with_may(keyed, asked).where("may").select("key_a", "key_b", _packed("body").alias("packed"))
-    opened = stable(texts.join(asked, ["key_a", "key_b"]).mapInPandas(_windows(window), OPENED))
+    opened = _written(texts.join(asked, ["key_a", "key_b"]).mapInPandas(_windows(window), OPENED))
     windows = opened.select("key_a", "key_b", "run", "mark", F.posexplode("wholes").alias("k", "whole")).withColumn("run", F.expr(f"(run div {RUN} + k) * {RUN} + 1"))
-    met = stable(windows.groupBy("mark", "whole").agg(F.count("*").alias("times")).where("times > 1").select("mark", "whole"))
+    met = _written(windows.groupBy("mark", "whole").agg(F.count("*").alias("times")).where("times > 1").select("mark", "whole"))
     single = windows.join(met, ["mark", "whole"], "left_semi").select(place)
     return alike.unionByName(again).unionByName(single).groupBy("key_a", "key_b").agg(F.collect_list("run").alias("spans"))
 
@@ -252,7 +264,7 @@ def duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def _with_spans(docs: DataFrame, key: str, text: str, window: int, anchor: int) -> DataFrame:
     small_text_batches(docs.sparkSession)
     keyed = _keyed(docs, key, text)
-    spans = stable(_spans(keyed, window, anchor))
+    spans = _written(_spans(keyed, window, anchor))
     texts = _with_may(keyed, spans).select("doc_id", "key_a", "key_b", "may", _packed("body").alias("packed"))
     met = texts.where("may").join(spans, ["key_a", "key_b"], "left").select("doc_id", "packed", "spans")
     return met.unionByName(texts.where("not may").select("doc_id", "packed", F.lit(None).cast("array<long>").alias("spans")))

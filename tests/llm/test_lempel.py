@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -72,7 +73,14 @@ def test_odd_documents(spark, documents):
     assert L.without_duplicates(documents.limit(0)).count() == 0
 
 
-def test_texts_without_repeats_are_not_shuffled(spark):
+def disk(spark):
+    """Files of shuffles and checkpoints, and their sizes."""
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    folders = [*env.blockManager().diskBlockManager().localDirsString(), spark.conf.get("spark.checkpoint.dir").removeprefix("file:")]
+    return {p: p.stat().st_size for f in folders for p in Path(f).rglob("*") if p.name.startswith(("shuffle_", "part-")) and p.is_file()}
+
+
+def test_texts_without_repeats_are_not_shuffled(spark, monkeypatch):
     """What is written for them is their blocks, twice, and not their texts; bitmaps leave none out that has a passage."""
     rng = random.Random(12)
 
@@ -84,14 +92,25 @@ def test_texts_without_repeats_are_not_shuffled(spark):
     texts = [some(600) for _ in range(300)] + [f"{some(30)} {shared} {some(30)}" for _ in range(9)]
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
-    env = spark._jvm.org.apache.spark.SparkEnv.get()
-    folders = [*env.blockManager().diskBlockManager().localDirsString(), spark.conf.get("spark.checkpoint.dir").removeprefix("file:")]
-
-    def files():
-        return {p: p.stat().st_size for f in folders for p in Path(f).rglob("*") if p.is_file() and p.name.startswith(("shuffle_", "part-"))}
-
-    before = files()
+    monkeypatch.setattr(L, "_written", L.stable, raising=False)  # so that all stays that was written
+    before = disk(spark)
     got = sorted((tuple(r) for r in L.without_duplicates(df).collect()), key=str)
-    written = sum(n for p, n in files().items() if p not in before)
+    written = sum(n for p, n in disk(spark).items() if p not in before)
     assert got == brute(rows, 35)
     assert written < 0.6 * sum(map(len, texts)), written / sum(map(len, texts))
+
+
+def test_spent_shuffles_go(spark):
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(passages(rng, words, 35, 60))), "doc_id long, text string")
+    before = disk(spark)
+    rows = L.without_duplicates(df)
+    for _ in range(50):
+        left = [p for p in disk(spark) if p not in before and p.name.startswith("shuffle_")]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert rows.count() == rows.distinct().count() == df.count()
